@@ -17,23 +17,23 @@ WEEKS_PER_MONTH = 4.348  # fixed value: factor from a weekly estimate
 
 
 def label_end(
-    pairs: DataFrame, edges: DataFrame, xy: tuple[str, str], out: str, tolerance: float | None,
+    rows: DataFrame, points: DataFrame, edges: DataFrame, xy: tuple[str, str], out: str, tolerance: float | None,
     cell: float = geo.CELL, ties: str = "all", stage: str | None = None,
 ) -> DataFrame:
-    """Attach the nearest region of one trip end.
+    """Attach the nearest region of one trip end; ``points`` holds all points of that end.
 
     ``tolerance`` matches labelled points within that distance, so near-duplicate points multiply
     rows; None matches equal coordinates.  With ``stage`` the label table is written once and read
     back with its true size.
     """
     def labels() -> DataFrame:
-        return geo.nearest_regions(geo.distinct_points(pairs, *xy), edges, cell, ties=ties).drop("distance")
+        return geo.nearest_regions(geo.distinct_points(points, *xy), edges, cell, ties=ties).drop("distance")
 
-    named = labels() if stage is None else materialize_once(pairs.sparkSession, stage, labels)
+    named = labels() if stage is None else materialize_once(rows.sparkSession, stage, labels)
     if tolerance is None:
-        return geo.label_points(pairs, named, xy, out, "inner")
+        return geo.label_points(rows, named, xy, out, "inner")
     near = named.select(F.col("x").alias("_lx"), F.col("y").alias("_ly"), F.col("region").alias(out))
-    return within_distance(pairs, near, xy, ("_lx", "_ly"), tolerance).drop("_lx", "_ly")
+    return within_distance(rows, near, xy, ("_lx", "_ly"), tolerance).drop("_lx", "_ly")
 
 
 def od_flow(
@@ -59,13 +59,15 @@ def od_flow(
     """
     ends = [*origin, *destination]
     measure = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    pairs = trips.dropna(subset=ends).groupBy(*ends).agg(measure.alias("_w"))
+    pairs = trips.groupBy(*ends).agg(measure.alias("_w"))
     edges = geo.polygon_edges(geo.drop_regions(regions, exclude))
     stage = (lambda end: None) if stage_dir is None else (lambda end: f"{stage_dir}/{end}_nearest")
-    one = label_end(pairs, edges, origin, "origin_region", origin_tolerance, cell, ties, stage("origin"))
+    one = label_end(pairs, pairs, edges, origin, "origin_region", origin_tolerance, cell, ties, stage("origin"))
     # pairs sharing a region at one end are merged before the other end is looked up
     one = one.groupBy("origin_region", *destination).agg(F.sum("_w").alias("_w"))
-    both = label_end(one, edges, destination, "destination_region", destination_tolerance, cell, ties, stage("destination"))
+    both = label_end(
+        one, pairs, edges, destination, "destination_region", destination_tolerance, cell, ties, stage("destination")
+    )
     total = F.sum("_w") if weight is None else F.sum("_w") * F.lit(factor)
     return both.groupBy("origin_region", "destination_region").agg(total.alias(out))
 

@@ -7,7 +7,8 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+
+from citylens.sources.schemas import schema as parse_schema
 
 # Settings every plan relies on: one time zone for all naive timestamps, loud casts, runtime
 # re-planning with skew handling.  Sizes (partitions, memory) are left to the deployment.
@@ -59,6 +60,6 @@ def parameter_table(spark: SparkSession, schema: str, rows: list[tuple]) -> Data
     Going through Arrow gives a local relation, so the planner can compare its true size with
     ``spark.sql.autoBroadcastJoinThreshold``; a list would become an RDD of unknown size.
     """
-    struct = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    struct = parse_schema(schema)
     columns = {f.name: [row[i] for row in rows] for i, f in enumerate(struct.fields)}
     return spark.createDataFrame(pa.table(columns), schema=struct)

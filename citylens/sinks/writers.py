@@ -47,9 +47,13 @@ def materialize_once(spark: SparkSession, path: str, build: Callable[[], DataFra
     return spark.read.parquet(path)
 
 
-def create_table(df: DataFrame, name: str, replace: bool = False) -> DataFrame:
-    """CREATE TABLE AS: keep an existing table unless ``replace``; returns the table."""
+def create_table(df: DataFrame, name: str, replace: bool = False, path: str | None = None) -> DataFrame:
+    """CREATE TABLE AS: keep an existing table unless ``replace``; returns the table.
+
+    ``path`` makes it an external table in that folder.
+    """
     spark = df.sparkSession
     if replace or not spark.catalog.tableExists(name):
-        df.write.mode("overwrite" if replace else "errorifexists").saveAsTable(name)
+        writer = df.write.mode("overwrite" if replace else "errorifexists").format("parquet")
+        (writer.option("path", path) if path else writer).saveAsTable(name)
     return spark.table(name)

@@ -7,8 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import types as T
 
 
-def schema(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)
+SCALARS = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(),
+    "boolean": T.BooleanType(), "date": T.DateType(), "timestamp": T.TimestampType(), "timestamp_ntz": T.TimestampNTZType(),
+}
+
+
+def schema(columns: str) -> T.StructType:
+    """``"name type, name type"`` of scalar columns as a schema; needs no running session."""
+    pairs = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, SCALARS[kind]) for name, kind in pairs])
 
 
 # Column names and order of the published feeds.

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citylens.sources.schemas import schema as parse_schema
-
 
 def read_csv_typed(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str | None = None) -> DataFrame:
     """CSV with header; types from ``schema``, or inferred, which costs one more pass over the text."""
@@ -42,20 +40,19 @@ def read_csv_headerless(
     return reader.csv(_paths(paths)).toDF(*names)
 
 
-def read_yearly_csv(spark: SparkSession, globs: Sequence[str], schema: T.StructType | str) -> DataFrame:
+def read_yearly_csv(spark: SparkSession, globs: Sequence[str], schema: T.StructType) -> DataFrame:
     """Per-month files in year folders, with the folder's year and the file as columns.
 
     The folder, not the timestamp, says which year a row belongs to.
     """
     rows = spark.read.option("header", True).schema(schema).csv(list(globs))
     path = F.col("_metadata.file_path")
-    names = (parse_schema(schema) if isinstance(schema, str) else schema).fieldNames()
-    return rows.select(*names, folder_year(path).alias("file_year"), path.alias("file_path"))
+    return rows.select(*schema.fieldNames(), folder_year(path).alias("file_year"), path.alias("file_path"))
 
 
 def folder_year(path: Column) -> Column:
-    """The four-digit folder directly above a file."""
-    return F.regexp_extract(path, r"/(\d{4})/[^/]+$", 1).try_cast("int")
+    """The year folder directly above a file: ``2024`` or ``name=2024``."""
+    return F.regexp_extract(path, r"/(?:[^/=]+=)?(\d{4})/[^/]+$", 1).try_cast("int")
 
 
 def read_parquet(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
