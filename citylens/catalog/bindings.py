@@ -164,7 +164,7 @@ SITES = [f"s{i:02d}" for i in range(26)] + ["s99"]
 HOURLY_SQL = """(SELECT 's' || lpad(CAST(user_id % 26 AS VARCHAR), 2, '0') AS site, ts, value, event_type,
     CAST(ts AS DATE) AS file FROM events)"""
 DAILY_SQL = """(SELECT 's' || lpad(CAST(o_custkey % 26 AS VARCHAR), 2, '0') AS site, CAST(o_orderdate AS DATE) AS date,
-    o_orderpriority AS method, o_orderstatus AS source, o_totalprice AS value,
+    o_orderpriority AS method, o_orderstatus AS source, floor(o_totalprice) AS value,
     CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
     strftime(o_orderdate, '%Y-%m') AS year_month FROM orders)"""
 
@@ -182,7 +182,7 @@ def hourly(spark: SparkSession, folder: str) -> DataFrame:
 def daily(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select(
         _site("o_custkey").alias("site"), F.to_date("o_orderdate").alias("date"), F.col("o_orderpriority").alias("method"),
-        F.col("o_orderstatus").alias("source"), F.col("o_totalprice").alias("value"),
+        F.col("o_orderstatus").alias("source"), F.floor("o_totalprice").cast("double").alias("value"),
         F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"),
         F.date_format("o_orderdate", "yyyy-MM").alias("year_month"),
     )

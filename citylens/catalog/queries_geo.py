@@ -20,8 +20,8 @@ def origins(spark, sf):
     return geo.distinct_points(b.trips(spark, sf), "ox", "oy")
 
 
-def edges(spark):
-    return geo.polygon_edges(b.rectangles(spark))
+def index(spark):
+    return geo.RegionIndex(b.rectangles(spark), b.CELL)
 
 
 @query("geo_distance", f"""SELECT DISTINCT x, y, region, round({b.GAP_SQL}, 9) AS distance
@@ -29,41 +29,41 @@ def edges(spark):
 def geo_distance(spark, sf):
     asked = F.concat(F.lit("r"), (F.col("event_id") % 4 + 1).cast("string")).alias("region")
     pairs = b.trips(spark, sf).select(F.col("ox").alias("x"), F.col("oy").alias("y"), asked)
-    return geo.region_distances(pairs, edges(spark)).withColumn("distance", F.round("distance", 9))
+    return geo.region_distances(pairs, index(spark)).withColumn("distance", F.round("distance", 9))
 
 
 @query("geo_nearest", f"""SELECT x, y, region, round(gap, 9) AS distance FROM (SELECT x, y, region, {b.GAP_SQL} AS gap
     FROM {ORIGINS_SQL} o, {b.RECTANGLES_SQL}) QUALIFY gap = min(gap) OVER (PARTITION BY x, y)""")
 def geo_nearest(spark, sf):
-    labels = geo.nearest_regions(origins(spark, sf), edges(spark), b.CELL)
+    labels = geo.nearest_regions(origins(spark, sf), index(spark))
     return labels.withColumn("distance", F.round("distance", 9))
 
 
 @query("geo_region_exclude", f"""SELECT x, y, region FROM (SELECT x, y, region, {b.GAP_SQL} AS gap
     FROM {ORIGINS_SQL} o, {b.RECTANGLES_SQL} WHERE region NOT IN ('r2')) QUALIFY gap = min(gap) OVER (PARTITION BY x, y)""")
 def geo_region_exclude(spark, sf):
-    kept = geo.polygon_edges(geo.drop_regions(b.rectangles(spark), ["r2"]))
-    return geo.nearest_regions(origins(spark, sf), kept, b.CELL).drop("distance")
+    kept = geo.RegionIndex(geo.drop_regions(b.rectangles(spark), ["r2"]), b.CELL)
+    return geo.nearest_regions(origins(spark, sf), kept).drop("distance")
 
 
 @query("join_point_within", f"""SELECT event_id, region FROM (SELECT event_id, ox AS x, oy AS y FROM {b.TRIPS_SQL} t), {b.RECTANGLES_SQL}
     WHERE {BOX_IN}""")
 def join_point_within(spark, sf):
-    labels = geo.within_regions(origins(spark, sf), edges(spark), b.CELL)
+    labels = geo.within_regions(origins(spark, sf), index(spark))
     return geo.label_points(b.trips(spark, sf), labels, ("ox", "oy"), "region", "inner").select("event_id", "region")
 
 
 @query("join_point_intersects", f"""SELECT event_id, region FROM (SELECT event_id, ox AS x, oy AS y FROM {b.TRIPS_SQL} t)
     LEFT JOIN {b.RECTANGLES_SQL} ON {BOX_ON}""")
 def join_point_intersects(spark, sf):
-    labels = geo.intersecting_regions(origins(spark, sf), edges(spark), b.CELL)
+    labels = geo.intersecting_regions(origins(spark, sf), index(spark))
     return geo.label_points(b.trips(spark, sf), labels, ("ox", "oy"), "region", "left").select("event_id", "region")
 
 
 @query("update_from_join", f"""SELECT event_id, min(region) AS region FROM (SELECT event_id, ox AS x, oy AS y FROM {b.TRIPS_SQL} t)
     LEFT JOIN {b.RECTANGLES_SQL} ON {BOX_ON} GROUP BY ALL""")
 def update_from_join(spark, sf):
-    labels = geo.intersecting_regions(origins(spark, sf), edges(spark), b.CELL)
+    labels = geo.intersecting_regions(origins(spark, sf), index(spark))
     return geo.label_points(b.trips(spark, sf), labels, ("ox", "oy"), "region", "left", "min").select("event_id", "region")
 
 
@@ -77,20 +77,20 @@ def groups(spark):
 
 @query("geo_dissolve", f"SELECT DISTINCT x, y, {AREA} AS region FROM {ORIGINS_SQL} o, {b.RECTANGLES_SQL} WHERE {BOX_ON}")
 def geo_dissolve(spark, sf):
-    return geo.dissolve(geo.intersecting_regions(origins(spark, sf), edges(spark), b.CELL), groups(spark))
+    return geo.dissolve(geo.intersecting_regions(origins(spark, sf), index(spark)), groups(spark))
 
 
 @query("geo_enrich", f"""SELECT DISTINCT event_id, event_type, {AREA} AS area FROM (SELECT event_id, event_type, ox AS x, oy AS y
     FROM {b.TRIPS_SQL} t) LEFT JOIN {b.RECTANGLES_SQL} ON {BOX_ON}""")
 def geo_enrich(spark, sf):
-    labels = geo.dissolve(geo.intersecting_regions(origins(spark, sf), edges(spark), b.CELL), groups(spark))
+    labels = geo.dissolve(geo.intersecting_regions(origins(spark, sf), index(spark)), groups(spark))
     rows = geo.label_points(b.trips(spark, sf), labels, ("ox", "oy"), "area", "left")
     return rows.select("event_id", "event_type", "area")
 
 
 @query("join_geom_equal", f"""SELECT event_id, region FROM {b.TRIPS_SQL} t JOIN {b.nearest_sql("ox", "oy")} n ON t.ox = n.x AND t.oy = n.y""")
 def join_geom_equal(spark, sf):
-    labels = geo.nearest_regions(origins(spark, sf), edges(spark), b.CELL)
+    labels = geo.nearest_regions(origins(spark, sf), index(spark))
     return geo.label_points(b.trips(spark, sf), labels, ("ox", "oy"), "region", "inner").select("event_id", "region")
 
 
@@ -98,7 +98,7 @@ def join_geom_equal(spark, sf):
     JOIN {b.nearest_sql("ox", "oy")} n ON sqrt((px - n.x) ** 2 + (py - n.y) ** 2) <= 1e-6""")
 def join_dwithin(spark, sf):
     shifted = b.trips(spark, sf).select("event_id", (F.col("ox") + (F.col("event_id") % 3) * 4e-7).alias("px"), F.col("oy").alias("py"))
-    labels = geo.nearest_regions(origins(spark, sf), edges(spark), b.CELL)
+    labels = geo.nearest_regions(origins(spark, sf), index(spark))
     return joins.within_distance(shifted, labels, ("px", "py"), ("x", "y"), 1e-6).select("event_id", "region")
 
 
@@ -106,7 +106,7 @@ def join_dwithin(spark, sf):
     WHERE floor(x) BETWEEN x0 - 1 AND x1 AND floor(y) BETWEEN y0 - 1 AND y1""")
 def join_cross(spark, sf):
     """The pairs a points x regions product would be searched for, found by grid cell instead."""
-    return geo.cell_candidates(origins(spark, sf), edges(spark), b.CELL)
+    return geo.cell_candidates(origins(spark, sf), index(spark))
 
 
 @query("win_min_qualify", """SELECT o_custkey, o_orderkey, price FROM (SELECT o_custkey, o_orderkey,

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from citylens.catalog import bindings as b
 from citylens.catalog.queries_basic import NAMED_SQL, VEHICLES_SQL, _vehicles, _zones, named_trips
-from citylens.catalog.queries_geo import BOX_IN, BOX_ON, groups
+from citylens.catalog.queries_geo import BOX_IN, BOX_ON, groups, index
 from citylens.catalog.queries_summaries import (
     COMPLETE_SQL, DAILY_TOTAL_SQL, GATED_SQL, PAIR, SHOWN_SITES, USABLE_SQL, classified, gated, rounded_years, seconds, side_by_side,
 )
@@ -87,8 +89,9 @@ def report_bike_zones(spark, sf):
         spark, "name string, cbd boolean, other_manhattan boolean, outside_cbd boolean",
         [(name, name == "r1", name == "r2", name != "r1") for name, *_ in b.RECTANGLES],
     )
-    rows = trips.neighbourhood_of(b.trips(spark, sf), ("ox", "oy"), b.rectangles(spark), "start_nta", b.CELL)
-    rows = trips.neighbourhood_of(rows, ("dx", "dy"), b.rectangles(spark), "end_nta", b.CELL)
+    areas, all_trips = index(spark), b.trips(spark, sf)
+    rows = trips.neighbourhood_of(all_trips, ("ox", "oy"), areas, "start_nta")
+    rows = trips.neighbourhood_of(rows, ("dx", "dy"), areas, "end_nta")
     return trips.zone_months(rows, "ts", "start_nta", "end_nta", zones)
 
 
@@ -174,7 +177,7 @@ def report_located_injuries(spark, sf):
         key.alias("COLLISION_ID"), ((key * 37 % 104).cast("double") / 8).alias("LONGITUDE"),
         ((key * 53 % 104).cast("double") / 8).alias("LATITUDE"),
     )
-    located = crashes.locate(crashes.classify_persons(b.persons(spark, sf).drop("area"), places), b.rectangles(spark), groups(spark), b.CELL)
+    located = crashes.locate(crashes.classify_persons(b.persons(spark, sf).drop("area"), places), index(spark), groups(spark))
     return located.groupBy("area", F.col("SEVERITY").alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -190,7 +193,7 @@ TAXI_SQL = f"""(SELECT *, CAST(o_orderkey * 37 % 104 AS DOUBLE) / 8 AS x, CAST(o
 def report_taxi_crashes(spark, sf):
     key = F.col("o_orderkey")
     rows = _vehicles(spark, sf).withColumns({"x": (key * 37 % 104).cast("double") / 8, "y": (key * 53 % 104).cast("double") / 8})
-    labels = geo.intersecting_regions(geo.distinct_points(rows, "x", "y"), geo.polygon_edges(b.rectangles(spark)), b.CELL)
+    labels = geo.intersecting_regions(geo.distinct_points(rows, "x", "y"), index(spark))
     return crashes.taxi_by_year(rows, labels, ["r1"])
 
 
@@ -239,14 +242,11 @@ AIR_ORDER = ["s03", "s01", "s77"]
 
 
 @query("report_air_sites", "SELECT o.site, " + ", ".join(
-    f"round(max(CASE WHEN year = {y} AND month = {m} AND n >= 7.2 THEN value END), 4) AS \"{m}/{y}\"" for y, m in AIR_MONTHS
+    f"max(CASE WHEN year = {y} AND month = {m} AND n >= 7.2 THEN value END) AS \"{m}/{y}\"" for y, m in AIR_MONTHS
 ) + f""", CAST(i AS INTEGER) AS position FROM (SELECT unnest({AIR_ORDER}) AS site, unnest(range(3)) AS i) o
     LEFT JOIN {GATED_SQL} g ON g.site = o.site GROUP BY ALL""")
 def report_air_sites(spark, sf):
-    import datetime
-
-    rounded = gated(spark, sf, False).withColumn("value", F.round("value", 4))
-    return air.site_month_table(rounded, "site", "year", "value", AIR_ORDER, [datetime.date(y, m, 1) for y, m in AIR_MONTHS])
+    return air.site_month_table(gated(spark, sf, False), "site", "year", "value", AIR_ORDER, [datetime.date(y, m, 1) for y, m in AIR_MONTHS])
 
 
 # --- response and traffic ------------------------------------------------------------------------------

@@ -264,7 +264,7 @@ def ts_yoy_columns(spark, sf):
 
 
 COMPLETE_SQL = f"""(SELECT year_month, site, coalesce(n, 0) AS valid_count FROM
-    (SELECT DISTINCT year_month FROM {b.DAILY_SQL}), (SELECT unnest({b.SITES}) AS site)
+    (SELECT * FROM (SELECT DISTINCT year_month FROM {b.DAILY_SQL}), (SELECT unnest({b.SITES}) AS site))
     LEFT JOIN (SELECT year_month, site, count(*) AS n FROM {b.DAILY_SQL} GROUP BY ALL) USING (year_month, site))"""
 
 
@@ -282,9 +282,9 @@ def gated(spark, sf, drop):
     return air.monthly_by_site(b.daily(spark, sf), gates, "site", "year", "value", drop)
 
 
-@query("ts_gated_mean", f"SELECT site, year, month, CASE WHEN n >= 7.2 THEN round(value, 4) END AS value FROM {GATED_SQL}")
+@query("ts_gated_mean", f"SELECT site, year, month, CASE WHEN n >= 7.2 THEN value END AS value FROM {GATED_SQL}")
 def ts_gated_mean(spark, sf):
-    return gated(spark, sf, False).withColumn("value", F.round("value", 4))
+    return gated(spark, sf, False)
 
 
 # --- reshaping --------------------------------------------------------------------------------------------
@@ -300,10 +300,9 @@ SHOWN_SITES = ["s00", "s01", "s02", "s99"]
 
 
 @query("pivot_agg", "SELECT year_month, " + ", ".join(
-    f"round(coalesce(avg(CASE WHEN site = '{s}' THEN value END), 0), 4) AS {s}" for s in SHOWN_SITES) + f" FROM {b.DAILY_SQL} GROUP BY ALL")
+    f"coalesce(avg(CASE WHEN site = '{s}' THEN value END), 0) AS {s}" for s in SHOWN_SITES) + f" FROM {b.DAILY_SQL} GROUP BY ALL")
 def pivot_agg(spark, sf):
-    wide = reshape.pivot_mean(b.daily(spark, sf), ["year_month"], "site", SHOWN_SITES, "value")
-    return wide.withColumns({s: F.round(s, 4) for s in SHOWN_SITES})
+    return reshape.pivot_mean(b.daily(spark, sf), ["year_month"], "site", SHOWN_SITES, "value")
 
 
 SITE_ORDER = ["s05", "s99", "s03", "s98"]
@@ -321,9 +320,9 @@ MONTHS = [datetime.date(1996, 2, 1), datetime.date(1995, 12, 1), datetime.date(1
 
 
 @query("cols_chronological", "SELECT site, " + ", ".join(
-    f"round(avg(CASE WHEN year = {d.year} AND month = {d.month} THEN value END), 4) AS \"{d.month}/{d.year}\"" for d in sorted(MONTHS)
+    f"avg(CASE WHEN year = {d.year} AND month = {d.month} THEN value END) AS \"{d.month}/{d.year}\"" for d in sorted(MONTHS)
 ) + f" FROM {b.DAILY_SQL} GROUP BY ALL")
 def cols_chronological(spark, sf):
     means = agg.group_mean(b.daily(spark, sf), ["site", "year", "month"], "value")
-    dated = means.select("site", F.make_date("year", "month", F.lit(1)).alias("month"), F.round("value", 4).alias("value"))
+    dated = means.select("site", F.make_date("year", "month", F.lit(1)).alias("month"), "value")
     return reshape.month_columns(dated, ["site"], "month", MONTHS, "value")

@@ -14,16 +14,21 @@ How the work is kept small:
   cell for the whole plane, so far points are answered exactly too.
 
 Every join here is an equi-join on cells or coordinates: there is no points x regions product.
+Region cells, distinct points and their first answers are written to the shared folder and read
+back.  That keeps plans short, survives lost executors, and tells the planner the true size of each
+side before it chooses to broadcast it.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citylens.functions.text import _c
 from citylens.operators.joins import salted_join
+from citylens.session import stage
 
 CELL = 0.01  # default grid width in degrees, about one kilometre
 LEVELS = 16  # each level doubles the width; one more level holds the whole plane
@@ -63,28 +68,21 @@ def geojson_point_wkt(geometry: Column | str) -> Column:
 
 
 # --- regions --------------------------------------------------------------------------------
+# Longer expressions below are SQL text: one call to the JVM instead of one per operator.
 
 def polygon_edges(regions: DataFrame, region: str = "region", wkt: str = "wkt") -> DataFrame:
     """(Multi)polygon WKT to edges ``(region, ring, x1, y1, x2, y2)``; holes are rings too."""
-    rings = regions.select(
-        F.col(region).alias("region"),
-        F.posexplode(F.regexp_extract_all(F.col(wkt), F.lit(r"\(([^()]+)\)"), F.lit(1))).alias("ring", "_body"),
-    )
-
-    def vertex(text: Column) -> Column:
-        xy = F.split(F.trim(text), r"\s+")
-        return F.struct(xy[0].cast("double").alias("x"), xy[1].cast("double").alias("y"))
-
-    vertices = rings.select("region", "ring", F.transform(F.split("_body", ","), vertex).alias("v"))
-    ends = F.arrays_zip(
-        F.slice("v", F.lit(1), F.size("v") - 1).alias("a"), F.slice("v", F.lit(2), F.size("v") - 1).alias("b")
+    rings = regions.selectExpr(
+        f"`{region}` AS region", f"posexplode(regexp_extract_all(`{wkt}`, '[(]([^()]+)[)]', 1)) AS (ring, body)"
     )
-    edges = vertices.where(F.size("v") > 1).select("region", "ring", F.explode(ends).alias("e")).select(
+    vertices = rings.selectExpr("region", "ring", "transform(split(body, ','), p -> split(trim(p), '[ \t\r\n]+')) AS v")
+    edges = vertices.where("size(v) > 1").selectExpr(
         "region", "ring",
-        F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"),
-        F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"),
+        """explode(transform(slice(v, 1, size(v) - 1), (p, i) -> struct(
+            CAST(p[0] AS DOUBLE) AS x1, CAST(p[1] AS DOUBLE) AS y1,
+            CAST(v[i + 1][0] AS DOUBLE) AS x2, CAST(v[i + 1][1] AS DOUBLE) AS y2))) AS e""",
     )
-    return edges.where((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
+    return edges.select("region", "ring", "e.*").where("x1 != x2 OR y1 != y2")
 
 
 def drop_regions(regions: DataFrame, names: list[str], region: str = "region") -> DataFrame:
@@ -92,8 +90,8 @@ def drop_regions(regions: DataFrame, names: list[str], region: str = "region") -
     return regions.where(~F.col(region).isin(names)) if names else regions.where(F.col(region).isNotNull())
 
 
-def _span(lo: Column, hi: Column, cell: float) -> Column:
-    return F.sequence(F.floor(lo / F.lit(cell)), F.floor(hi / F.lit(cell)))
+def _steps(lo: str, hi: str, cell: float) -> str:
+    return f"explode(sequence(floor(({lo}) / {cell!r}D), floor(({hi}) / {cell!r}D)))"
 
 
 def edge_cells(edges: DataFrame, cell: float) -> DataFrame:
@@ -102,46 +100,45 @@ def edge_cells(edges: DataFrame, cell: float) -> DataFrame:
     The edge is walked along its longer axis one grid line at a time, so the number of rows grows
     with its length, not with the area of its bounding box.
     """
-    pad = F.lit(cell * 1e-6)
-    flat = F.abs(F.col("x2") - F.col("x1")) >= F.abs(F.col("y2") - F.col("y1"))
-    pick = lambda a, b: F.when(flat, F.col(a)).otherwise(F.col(b))
-    walked = edges.withColumns({
-        "_flat": flat,
-        "_u1": pick("x1", "y1"), "_v1": pick("y1", "x1"), "_u2": pick("x2", "y2"), "_v2": pick("y2", "x2"),
-    }).withColumn("_cu", F.explode(_span(F.least("_u1", "_u2"), F.greatest("_u1", "_u2"), cell)))
-    slope = (F.col("_v2") - F.col("_v1")) / (F.col("_u2") - F.col("_u1"))
-    start = F.greatest(F.least("_u1", "_u2"), F.col("_cu") * F.lit(cell) - pad)
-    stop = F.least(F.greatest("_u1", "_u2"), (F.col("_cu") + 1) * F.lit(cell) + pad)
-    at = lambda u: F.col("_v1") + (u - F.col("_u1")) * slope
-    rows = walked.withColumns({"_va": at(start), "_vb": at(stop)}).withColumn(
-        "_cv", F.explode(_span(F.least("_va", "_vb") - pad, F.greatest("_va", "_vb") + pad, cell))
-    )
-    return rows.select(
-        *edges.columns,
-        F.when(F.col("_flat"), F.col("_cu")).otherwise(F.col("_cv")).alias("cx"),
-        F.when(F.col("_flat"), F.col("_cv")).otherwise(F.col("_cu")).alias("cy"),
+    cell = float(cell)
+    pad = f"{cell * 1e-6!r}D"
+    walked = edges.selectExpr("*", "abs(x2 - x1) >= abs(y2 - y1) AS flat").selectExpr(
+        "*", "IF(flat, x1, y1) AS u1", "IF(flat, y1, x1) AS v1", "IF(flat, x2, y2) AS u2", "IF(flat, y2, x2) AS v2"
+    ).selectExpr("*", _steps("least(u1, u2)", "greatest(u1, u2)", cell) + " AS cu")
+    at = "v1 + ({} - u1) * ((v2 - v1) / (u2 - u1))"
+    ends = walked.selectExpr(
+        "*",
+        at.format(f"greatest(least(u1, u2), cu * {cell!r}D - {pad})") + " AS va",
+        at.format(f"least(greatest(u1, u2), (cu + 1) * {cell!r}D + {pad})") + " AS vb",
     )
+    cells = ends.selectExpr("*", _steps(f"least(va, vb) - {pad}", f"greatest(va, vb) + {pad}", cell) + " AS cv")
+    return cells.selectExpr(*edges.columns, "IF(flat, cu, cv) AS cx", "IF(flat, cv, cu) AS cy")
 
 
 def edge_rows(edges: DataFrame, cell: float) -> DataFrame:
     """Each edge once per grid row its height covers."""
-    return edges.withColumn("cy", F.explode(_span(F.least("y1", "y2"), F.greatest("y1", "y2"), cell)))
+    return edges.selectExpr("*", _steps("least(y1, y2)", "greatest(y1, y2)", float(cell)) + " AS cy")
+
+
+# how many of the grouped edges a ray from the point towards +x crosses
+_CROSSINGS = """count_if((y1 > {y}) != (y2 > {y})
+    AND {x} < x1 + (x2 - x1) * ({y} - y1) / nullif(y2 - y1, 0D))"""
+# whether any of the grouped edges passes through the point
+_TOUCHES = """coalesce(bool_or((x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1) = 0
+    AND {x} BETWEEN least(x1, x2) AND greatest(x1, x2) AND {y} BETWEEN least(y1, y2) AND greatest(y1, y2)), false)"""
+# how far along the edge, from 0 to 1, its point nearest to (x, y) lies
+_ALONG = """greatest(0D, least(1D, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1))
+    / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))))"""
 
 
 def _crossings(x: str, y: str) -> Column:
-    """How many of the grouped edges a ray from the point towards +x crosses."""
-    spans = (F.col("y1") > F.col(y)) != (F.col("y2") > F.col(y))
-    at = (F.col("x2") - F.col("x1")) * (F.col(y) - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
-    return F.count_if(spans & (F.col(x) < at + F.col("x1")))
+    return F.expr(_CROSSINGS.format(x=x, y=y))
 
 
-def _touches(x: str, y: str) -> Column:
-    """Whether any of the grouped edges passes through the point."""
-    turn = (F.col("x2") - F.col("x1")) * (F.col(y) - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col(x) - F.col("x1"))
-    inside_box = F.col(x).between(F.least("x1", "x2"), F.greatest("x1", "x2")) & F.col(y).between(
-        F.least("y1", "y2"), F.greatest("y1", "y2")
-    )
-    return F.coalesce(F.bool_or((turn == 0) & inside_box), F.lit(False))
+def _least_gap() -> Column:
+    """Distance from point (x, y) to the nearest of the grouped edges."""
+    dx, dy = f"(x - (x1 + {_ALONG} * (x2 - x1)))", f"(y - (y1 + {_ALONG} * (y2 - y1)))"
+    return F.expr(f"min(sqrt({dx} * {dx} + {dy} * {dy}))")
 
 
 def region_cells(edges: DataFrame, cell: float = CELL) -> DataFrame:
@@ -151,147 +148,145 @@ def region_cells(edges: DataFrame, cell: float = CELL) -> DataFrame:
     neighbouring outline cells of a grid row the whole run has one answer, found by testing the
     centre of its first cell.
     """
+    cell = float(cell)
     outline = edge_cells(edges, cell).select("region", "cx", "cy").distinct()
-    following = F.lead("cx").over(W.partitionBy("region", "cy").orderBy("cx"))
-    runs = outline.withColumn("_next", following).where(F.col("_next") > F.col("cx") + 1).select(
-        "region", "cy", "cx", "_next",
-        ((F.col("cx") + 1.5) * F.lit(cell)).alias("_px"), ((F.col("cy") + 0.5) * F.lit(cell)).alias("_py"),
+    following = outline.selectExpr("*", "lead(cx) OVER (PARTITION BY region, cy ORDER BY cx) AS stop")
+    runs = following.where("stop > cx + 1").selectExpr(
+        "region", "cy", "cx", "stop", f"(cx + 1.5D) * {cell!r}D AS px", f"(cy + 0.5D) * {cell!r}D AS py"
     )
-    tested = runs.join(edge_rows(edges, cell), ["region", "cy"]).groupBy("region", "cy", runs["cx"], "_next", "_px", "_py")
-    inner = tested.agg(_crossings("_px", "_py").alias("_n")).where(F.col("_n") % 2 == 1)
-    whole = inner.select(
-        F.explode(F.sequence(F.col("cx") + 1, F.col("_next") - 1)).alias("cx"), "cy", "region", F.lit(True).alias("whole")
-    )
-    return outline.select("cx", "cy", "region", F.lit(False).alias("whole")).unionByName(whole)
+    tested = runs.join(edge_rows(edges, cell), ["region", "cy"]).groupBy("region", "cy", "cx", "stop")
+    inner = tested.agg(_crossings("px", "py").alias("n")).where("n % 2 = 1")
+    whole = inner.selectExpr("explode(sequence(cx + 1, stop - 1)) AS cx", "cy", "region", "true AS whole")
+    return outline.selectExpr("cx", "cy", "region", "false AS whole").unionByName(whole)
+
+
+class RegionIndex:
+    """Regions prepared for point questions; each part is built on first use and kept as a table.
+
+    ``cells``: grid cells per region.  ``rows``: edges per grid row.  ``levels``: edges per cell on
+    every level.
+    """
+
+    def __init__(self, regions: DataFrame, cell: float = CELL, levels: int = LEVELS, region: str = "region", wkt: str = "wkt"):
+        self.edges = polygon_edges(regions, region, wkt).drop("ring")
+        self.cell, self.top = float(cell), levels
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        return stage(region_cells(self.edges, self.cell), "region_cells")
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return stage(edge_rows(self.edges, self.cell), "region_rows")
+
+    @cached_property
+    def levels(self) -> DataFrame:
+        lifted = _lift(edge_cells(self.edges, self.cell), self.top, ["region", "x1", "y1", "x2", "y2"])
+        return stage(lifted.distinct(), "region_levels")
+
+    def place(self, points: DataFrame) -> DataFrame:
+        """Add the grid cell of each point."""
+        return points.selectExpr("*", f"floor(x / {self.cell!r}D) AS cx", f"floor(y / {self.cell!r}D) AS cy")
 
 
 # --- points against regions -----------------------------------------------------------------
 
 def distinct_points(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Distinct complete points as ``(x, y)``."""
+    """Distinct complete points ``(x, y)``, as a table of their own: several steps read them."""
     ok = F.col(x).isNotNull() & F.col(y).isNotNull()
-    return df.where(ok).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).distinct()
-
+    points = df.where(ok).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).distinct()
+    return stage(points, "points")
 
-def _in_cells(points: DataFrame, cell: float) -> DataFrame:
-    return points.withColumns({"cx": F.floor(F.col("x") / F.lit(cell)), "cy": F.floor(F.col("y") / F.lit(cell))})
 
-
-def touching_regions(points: DataFrame, edges: DataFrame, cell: float = CELL, salts: int = 8) -> DataFrame:
+def touching_regions(points: DataFrame, index: RegionIndex, salts: int = 8) -> DataFrame:
     """``(x, y, region, on_edge)`` for every region a distinct point lies in or on."""
-    found = salted_join(_in_cells(points, cell), region_cells(edges, cell), ["cx", "cy"], "inner", salts)
-    rows = edge_rows(edges, cell).select("region", "cy", "x1", "y1", "x2", "y2")
+    found = salted_join(index.place(points), index.cells, ["cx", "cy"], "inner", salts, ["x", "y"]).drop("cx")
     # a left join: points of whole cells need no edge and pass through with none
-    rows = rows.withColumn("whole", F.lit(False))
-    met = salted_join(found.drop("cx"), rows, ["region", "cy", "whole"], "left", salts, ["x", "y"])
+    rows = index.rows.withColumn("whole", F.lit(False))
+    met = salted_join(found, rows, ["region", "cy", "whole"], "left", salts, ["x", "y"])
     tested = met.groupBy("x", "y", "region").agg(
-        F.bool_or("whole").alias("_whole"), _crossings("x", "y").alias("_n"), _touches("x", "y").alias("on_edge")
+        F.bool_or("whole").alias("all_in"), _crossings("x", "y").alias("n"), F.expr(_TOUCHES.format(x="x", y="y")).alias("on_edge")
     )
-    inside = F.col("_whole") | F.col("on_edge") | (F.col("_n") % 2 == 1)
-    return tested.where(inside).select("x", "y", "region", "on_edge")
+    return tested.where("all_in OR on_edge OR n % 2 = 1").select("x", "y", "region", "on_edge")
 
 
-def within_regions(points: DataFrame, edges: DataFrame, cell: float = CELL, salts: int = 8) -> DataFrame:
+def within_regions(points: DataFrame, index: RegionIndex, salts: int = 8) -> DataFrame:
     """Regions a point lies strictly inside of; the outline does not count."""
-    return touching_regions(points, edges, cell, salts).where(~F.col("on_edge")).drop("on_edge")
+    return touching_regions(points, index, salts).where(~F.col("on_edge")).drop("on_edge")
 
 
-def intersecting_regions(points: DataFrame, edges: DataFrame, cell: float = CELL, salts: int = 8) -> DataFrame:
+def intersecting_regions(points: DataFrame, index: RegionIndex, salts: int = 8) -> DataFrame:
     """Regions a point lies in or on the outline of."""
-    return touching_regions(points, edges, cell, salts).drop("on_edge")
-
-
-def _segment_gap() -> Column:
-    """Distance from point (x, y) to segment (x1, y1)-(x2, y2)."""
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    along = ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / (dx * dx + dy * dy)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-    ex, ey = F.col("x") - (F.col("x1") + t * dx), F.col("y") - (F.col("y1") + t * dy)
-    return F.sqrt(ex * ex + ey * ey)
+    return touching_regions(points, index, salts).drop("on_edge")
 
 
-def region_distances(pairs: DataFrame, edges: DataFrame, salts: int = 8) -> DataFrame:
+def region_distances(pairs: DataFrame, index: RegionIndex, salts: int = 8) -> DataFrame:
     """Distance of the given ``(x, y, region)`` pairs, 0 in or on the region.
 
     The caller names the pairs, so the work is those pairs times the edges of their region; the
     least distance is taken per task before anything is shuffled by point.
     """
-    outline = edges.select("region", "x1", "y1", "x2", "y2")
     asked = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select("x", "y", "region").distinct()
-    met = salted_join(asked, outline, ["region"], "inner", salts, ["x", "y"])
-    least = met.groupBy("x", "y", "region").agg(F.min(_segment_gap()).alias("_gap"), _crossings("x", "y").alias("_n"))
-    return least.select("x", "y", "region", F.when(F.col("_n") % 2 == 1, 0.0).otherwise(F.col("_gap")).alias("distance"))
+    met = salted_join(asked, index.edges, ["region"], "inner", salts, ["x", "y"])
+    least = met.groupBy("x", "y", "region").agg(_least_gap().alias("gap"), _crossings("x", "y").alias("n"))
+    return least.selectExpr("x", "y", "region", "IF(n % 2 = 1, 0D, gap) AS distance")
 
 
-def cell_candidates(points: DataFrame, edges: DataFrame, cell: float = CELL, salts: int = 8) -> DataFrame:
+def cell_candidates(points: DataFrame, index: RegionIndex, salts: int = 8) -> DataFrame:
     """``(x, y, region)`` pairs worth testing: the region reaches into the point's grid cell.
 
     This equi-join takes the place of a points x regions product.
     """
-    return salted_join(_in_cells(points, cell), region_cells(edges, cell), ["cx", "cy"], "inner", salts).select("x", "y", "region")
+    met = salted_join(index.place(points), index.cells, ["cx", "cy"], "inner", salts, ["x", "y"])
+    return met.select("x", "y", "region")
 
 
-def _levels(df: DataFrame, levels: int, columns: list[str]) -> DataFrame:
+def _lift(df: DataFrame, top: int, columns: list[str]) -> DataFrame:
     """Repeat cells on every level; the last one is a single cell."""
-    up = df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
-    last = F.col("level") == levels
-    key = lambda c: F.when(last, F.lit(0).cast("bigint")).otherwise(
-        F.call_function("shiftright", F.col(c), F.col("level"))
-    )
-    return up.withColumns({"kx": key("cx"), "ky": key("cy")}).select(*columns, "level", "kx", "ky")
+    up = df.selectExpr("*", f"explode(sequence(0, {top})) AS level")
+    return up.selectExpr(*columns, "level", *_lifted(top))
+
+
+def _lifted(top: int) -> list[str]:
+    return [f"IF(level = {top}, 0L, shiftright({c}, level)) AS {k}" for c, k in (("cx", "kx"), ("cy", "ky"))]
 
 
 def _around(df: DataFrame, radius: int) -> DataFrame:
-    steps = F.sequence(F.lit(-radius), F.lit(radius))
-    wide = df.withColumn("kx", F.explode(F.transform(steps, lambda d: F.col("kx") + d)))
-    return wide.withColumn("ky", F.explode(F.transform(steps, lambda d: F.col("ky") + d)))
+    others = [c for c in df.columns if c not in ("kx", "ky")]
+    wide = df.selectExpr(*others, "kx", f"explode(sequence(ky - {radius}, ky + {radius})) AS ky")
+    return wide.selectExpr(*others, f"explode(sequence(kx - {radius}, kx + {radius})) AS kx", "ky")
 
 
-def nearest_outside(points: DataFrame, edges: DataFrame, cell: float = CELL, levels: int = LEVELS, salts: int = 8) -> DataFrame:
+def nearest_outside(points: DataFrame, index: RegionIndex, salts: int = 8) -> DataFrame:
     """Distance from distinct points outside every region to each region that could be nearest.
 
     For each occupied cell the finest level with an edge in the 3 x 3 cells around it is found.
     An edge there is less than 2 * sqrt(2) widths away, so the nearest one lies within three cells
     on that level, and only those edges are measured.
     """
-    placed = _in_cells(points, cell)
+    placed = index.place(points)
     cells = placed.select("cx", "cy").distinct()
-    outline = edge_cells(edges.select("region", "x1", "y1", "x2", "y2"), cell)
-    by_level = _levels(outline, levels, ["region", "x1", "y1", "x2", "y2"]).distinct()
-    occupied = _levels(outline.select("cx", "cy").distinct(), levels, []).distinct()
-
-    probes = _around(_levels(cells, levels, ["cx", "cy"]), 1)
+    occupied = index.levels.select("level", "kx", "ky").distinct()
+    probes = _around(_lift(cells, index.top, ["cx", "cy"]), 1)
     best = probes.join(occupied, ["level", "kx", "ky"], "left_semi").groupBy("cx", "cy").agg(F.min("level").alias("level"))
-    top = F.col("level") == levels
-    home = best.withColumns({
-        k: F.when(top, F.lit(0).cast("bigint")).otherwise(F.call_function("shiftright", F.col(c), F.col("level")))
-        for k, c in (("kx", "cx"), ("ky", "cy"))
-    })
-    candidates = _around(home, 3).join(by_level, ["level", "kx", "ky"]).select(
-        "cx", "cy", "region", "x1", "y1", "x2", "y2"
-    ).distinct()
+    home = best.selectExpr("*", *_lifted(index.top))
+    candidates = _around(home, 3).join(index.levels, ["level", "kx", "ky"]).drop("level", "kx", "ky").distinct()
     met = salted_join(placed, candidates, ["cx", "cy"], "inner", salts, ["x", "y"])
-    return met.groupBy("x", "y", "region").agg(F.min(_segment_gap()).alias("distance"))
+    return met.groupBy("x", "y", "region").agg(_least_gap().alias("distance"))
 
 
-def nearest_regions(
-    points: DataFrame,
-    edges: DataFrame,
-    cell: float = CELL,
-    levels: int = LEVELS,
-    ties: str = "all",
-    salts: int = 8,
-) -> DataFrame:
+def nearest_regions(points: DataFrame, index: RegionIndex, ties: str = "all", salts: int = 8) -> DataFrame:
     """``(x, y, region, distance)`` of the nearest region per distinct point.
 
     A point in or on regions has distance 0 to each of them.  ``ties="all"`` keeps every region at
     the least distance, ``"first"`` the smallest name.
     """
-    inside = intersecting_regions(points, edges, cell, salts).withColumn("distance", F.lit(0.0))
+    inside = stage(intersecting_regions(points, index, salts).withColumn("distance", F.lit(0.0)), "points_inside")
     outside = points.join(inside.select("x", "y").distinct(), ["x", "y"], "left_anti")
-    measured = nearest_outside(outside, edges, cell, levels, salts)
-    by_gap = W.partitionBy("x", "y").orderBy("distance")
-    closest = measured.withColumn("_rank", F.rank().over(by_gap)).where(F.col("_rank") == 1).drop("_rank")
+    measured = nearest_outside(outside, index, salts)
+    # the window holds one row per candidate region of a point
+    ranked = measured.selectExpr("*", "rank() OVER (PARTITION BY x, y ORDER BY distance) AS place")
+    closest = ranked.where("place = 1").drop("place")
     labels = inside.select("x", "y", "region", "distance").unionByName(closest)
     if ties == "all":
         return labels

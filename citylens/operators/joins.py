@@ -33,9 +33,9 @@ def salted_join(
         raise ValueError(f"salted_join cannot keep {how} rows exact")
     if null_safe and how not in {"left_semi", "left_anti"}:
         raise ValueError("null_safe needs a semi or anti join")
-    source = [F.col(f"`{c}`") for c in (spread or big.columns)]
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*source), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    source = ", ".join(f"`{c}`" for c in (spread or big.columns))
+    left = big.selectExpr("*", f"CAST(pmod(xxhash64({source}), {salts}) AS INT) AS _salt")
+    right = small.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS _salt")
     if null_safe:
         same = [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in on]
         met = left.alias("l").join(right.alias("r"), [*same, F.col("l._salt") == F.col("r._salt")], how)

@@ -34,13 +34,13 @@ def classify_persons(persons: DataFrame, crashes: DataFrame) -> DataFrame:
     return joined.withColumn("SEVERITY", letter)
 
 
-def locate(persons: DataFrame, regions: DataFrame, groups: DataFrame, cell: float = geo.CELL) -> DataFrame:
+def locate(persons: DataFrame, index: geo.RegionIndex, groups: DataFrame) -> DataFrame:
     """Add ``area``: the group of neighbourhoods the crash lies in or on.
 
     Rows on the outline of several areas appear once per area, rows outside all keep NULL.
     """
     placed = geo.with_point(persons, "LONGITUDE", "LATITUDE")
-    touching = geo.intersecting_regions(geo.distinct_points(placed, "x", "y"), geo.polygon_edges(regions), cell)
+    touching = geo.intersecting_regions(geo.distinct_points(placed, "x", "y"), index)
     return geo.label_points(placed, geo.dissolve(touching, groups), ("x", "y"), "area", "left")
 
 

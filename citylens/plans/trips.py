@@ -11,25 +11,25 @@ from citylens.operators.aggregates import count_where, group_sum
 from citylens.operators.joins import lookup_all, salted_join, within_distance, zone_flags
 from citylens.operators.reshape import pivot_once
 from citylens.plans.places import NOT_NEAREST
+from citylens.session import stage
 from citylens.sinks.writers import materialize_once
 
 WEEKS_PER_MONTH = 4.348  # fixed value: factor from a weekly estimate
 
 
 def label_end(
-    rows: DataFrame, points: DataFrame, edges: DataFrame, xy: tuple[str, str], out: str, tolerance: float | None,
-    cell: float = geo.CELL, ties: str = "all", stage: str | None = None,
+    rows: DataFrame, points: DataFrame, index: geo.RegionIndex, xy: tuple[str, str], out: str, tolerance: float | None,
+    ties: str = "all", path: str | None = None,
 ) -> DataFrame:
     """Attach the nearest region of one trip end; ``points`` holds all points of that end.
 
     ``tolerance`` matches labelled points within that distance, so near-duplicate points multiply
-    rows; None matches equal coordinates.  With ``stage`` the label table is written once and read
-    back with its true size.
+    rows; None matches equal coordinates.  ``path`` keeps the label table for later runs.
     """
     def labels() -> DataFrame:
-        return geo.nearest_regions(geo.distinct_points(points, *xy), edges, cell, ties=ties).drop("distance")
+        return geo.nearest_regions(geo.distinct_points(points, *xy), index, ties).drop("distance")
 
-    named = labels() if stage is None else materialize_once(rows.sparkSession, stage, labels)
+    named = stage(labels(), "labels") if path is None else materialize_once(rows.sparkSession, path, labels)
     if tolerance is None:
         return geo.label_points(rows, named, xy, out, "inner")
     near = named.select(F.col("x").alias("_lx"), F.col("y").alias("_ly"), F.col("region").alias(out))
@@ -59,14 +59,14 @@ def od_flow(
     """
     ends = [*origin, *destination]
     measure = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    pairs = trips.groupBy(*ends).agg(measure.alias("_w"))
-    edges = geo.polygon_edges(geo.drop_regions(regions, exclude))
-    stage = (lambda end: None) if stage_dir is None else (lambda end: f"{stage_dir}/{end}_nearest")
-    one = label_end(pairs, pairs, edges, origin, "origin_region", origin_tolerance, cell, ties, stage("origin"))
+    pairs = stage(trips.groupBy(*ends).agg(measure.alias("_w")), "pairs")
+    index = geo.RegionIndex(geo.drop_regions(regions, exclude), cell)
+    kept = {end: stage_dir and f"{stage_dir}/{end}_nearest" for end in ("origin", "destination")}
+    one = label_end(pairs, pairs, index, origin, "origin_region", origin_tolerance, ties, kept["origin"])
     # pairs sharing a region at one end are merged before the other end is looked up
     one = one.groupBy("origin_region", *destination).agg(F.sum("_w").alias("_w"))
     both = label_end(
-        one, pairs, edges, destination, "destination_region", destination_tolerance, cell, ties, stage("destination")
+        one, pairs, index, destination, "destination_region", destination_tolerance, ties, kept["destination"]
     )
     total = F.sum("_w") if weight is None else F.sum("_w") * F.lit(factor)
     return both.groupBy("origin_region", "destination_region").agg(total.alias(out))
@@ -111,13 +111,13 @@ def zone_months(
 
 
 def neighbourhood_of(
-    trips: DataFrame, xy: tuple[str, str], regions: DataFrame, out: str, cell: float = geo.CELL, stage: str | None = None
+    trips: DataFrame, xy: tuple[str, str], index: geo.RegionIndex, out: str, path: str | None = None
 ) -> DataFrame:
     """Neighbourhood strictly containing a trip end, NULL outside all; the smallest name if several."""
     def labels() -> DataFrame:
-        return geo.within_regions(geo.distinct_points(trips, *xy), geo.polygon_edges(regions), cell)
+        return geo.within_regions(geo.distinct_points(trips, *xy), index)
 
-    named = labels() if stage is None else materialize_once(trips.sparkSession, stage, labels)
+    named = stage(labels(), "labels") if path is None else materialize_once(trips.sparkSession, path, labels)
     return geo.label_points(trips, named, xy, out, "left", "min")
 
 
@@ -129,8 +129,8 @@ def board_totals(
 
     Stops are added up per point before labels are attached.
     """
-    per_point = group_sum(stops, list(xy), {c: c for c in sums.values()})
-    edges = geo.polygon_edges(geo.drop_regions(regions, exclude))
-    labels = geo.nearest_regions(geo.distinct_points(per_point, *xy), edges, cell, ties="first")
+    per_point = stage(group_sum(stops, list(xy), {c: c for c in sums.values()}), "per_point")
+    index = geo.RegionIndex(geo.drop_regions(regions, exclude), cell)
+    labels = geo.nearest_regions(geo.distinct_points(per_point, *xy), index, ties="first")
     labelled = geo.label_points(per_point, labels, xy, "community_board", "left")
     return group_sum(labelled, ["community_board"], sums)

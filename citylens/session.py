@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from citylens.sources.schemas import schema as parse_schema
@@ -54,12 +53,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/citylens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    Later steps restart from the files if executors are lost, and the planner knows their size.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parameter_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     """Fixed parameters (labels, holidays, positions) as a table whose exact size Catalyst knows.
 
-    Going through Arrow gives a local relation, so the planner can compare its true size with
+    Inline values become a local relation, so the planner can compare its true size with
     ``spark.sql.autoBroadcastJoinThreshold``; a list would become an RDD of unknown size.
     """
-    struct = parse_schema(schema)
-    columns = {f.name: [row[i] for row in rows] for i, f in enumerate(struct.fields)}
-    return spark.createDataFrame(pa.table(columns), schema=struct)
+    fields = parse_schema(schema).fields
+    if not rows:
+        return spark.createDataFrame([], parse_schema(schema))
+    values = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
+    names = ", ".join(f"`{f.name}`" for f in fields)
+    casts = [f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in fields]
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})").selectExpr(*casts)
+
+
+def _literal(value: object) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(value)
