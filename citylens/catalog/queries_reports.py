@@ -15,6 +15,7 @@ from citylens.catalog.queries_summaries import (
 from citylens.catalog.registry import query, table
 from citylens.functions.text import cast_commas
 from citylens.operators import geo
+from citylens.operators.windows import completeness
 from citylens.plans import air, crashes, response, traffic, trips
 from citylens.session import parameter_table
 
@@ -89,9 +90,8 @@ def report_bike_zones(spark, sf):
         spark, "name string, cbd boolean, other_manhattan boolean, outside_cbd boolean",
         [(name, name == "r1", name == "r2", name != "r1") for name, *_ in b.RECTANGLES],
     )
-    areas, all_trips = index(spark), b.trips(spark, sf)
-    rows = trips.neighbourhood_of(all_trips, ("ox", "oy"), areas, "start_nta")
-    rows = trips.neighbourhood_of(rows, ("dx", "dy"), areas, "end_nta")
+    ends = {"start_nta": ("ox", "oy"), "end_nta": ("dx", "dy")}
+    rows = trips.with_neighbourhoods(b.trips(spark, sf), ends, index(spark))
     return trips.zone_months(rows, "ts", "start_nta", "end_nta", zones)
 
 
@@ -218,9 +218,7 @@ def report_air_completeness(spark, sf):
     f"max(CASE WHEN site = '{s}' THEN round_even(CAST(valid_count AS DOUBLE) / 31 * 100, 2) END) AS {s}" for s in SHOWN_SITES
 ) + f" FROM {COMPLETE_SQL} GROUP BY ALL")
 def report_air_validity(spark, sf):
-    gates = air.gate(air.grid_fill(
-        b.daily(spark, sf).groupBy("site", "year_month").agg(F.count(F.lit(1)).alias("valid_count")),
-        b.daily(spark, sf), ["year_month"], {"site": b.SITES}, "valid_count"), 7.2, 31)
+    gates = completeness(b.daily(spark, sf), "site", "year_month", b.SITES, 7.2, 31)
     return air.validity_table(gates, "year_month", "site", SHOWN_SITES)
 
 
@@ -237,6 +235,16 @@ def report_air_monthly(spark, sf):
     return air.across_sites(gated(spark, sf, True), "year", "value").withColumn("value", F.round("value", 4))
 
 
+@query("report_air_daily", f"""SELECT g.site, g.year, g.month, coalesce(n, 0) AS valid_count, CAST(3 AS DOUBLE) AS cutoff, coalesce(n, 0) >= 3 AS valid,
+    round_even(coalesce(CAST(n AS DOUBLE), 0) / 31 * 100, 2) AS valid_pct, CASE WHEN n >= 3 THEN v END AS mean
+    FROM (SELECT site, year, CAST(month AS INTEGER) AS month FROM (SELECT unnest({b.SITES}) AS site), (SELECT DISTINCT year FROM {b.DAILY_SQL}),
+    (SELECT unnest(range(1, 13)) AS month)) g LEFT JOIN (SELECT site, year, month, count(*) AS n, avg(value) AS v FROM {b.DAILY_SQL}
+    WHERE method IN ('1-URGENT', '2-HIGH') OR source = 'P' GROUP BY ALL) c ON g.site = c.site AND g.year = c.year AND g.month = c.month""")
+def report_air_daily(spark, sf):
+    chosen = air.daily_selection(b.daily(spark, sf), b.SITES, ["1-URGENT", "2-HIGH"], "P")
+    return air.daily_by_month(chosen, "site", "date", "value", b.SITES, 3)
+
+
 AIR_MONTHS = [(1996, 1), (1996, 2), (1996, 3)]
 AIR_ORDER = ["s03", "s01", "s77"]
 

@@ -16,7 +16,7 @@ def first_match(rules: list[tuple[Column, object]], default: object = None) -> C
         return F.lit(default)
     head, *rest = rules
     chain = reduce(lambda acc, rule: acc.when(rule[0], F.lit(rule[1])), rest, F.when(head[0], F.lit(head[1])))
-    return chain.otherwise(F.lit(default))
+    return chain.otherwise(F.lit(default))  # lit leaves a column as it is
 
 
 def label_by_sets(column: Column, sets: dict[str, list], default: object = None) -> Column:
@@ -44,22 +44,21 @@ UNSTATED_BODY_PART = ["UNKNOWN", "DOES NOT APPLY"]
 def severity(injury: str, status: str, complaint: str, body_part: str) -> Column:
     """K killed, A serious, B minor, C possible, U unknown.
 
-    Only rules that can decide a row are listed: further distinctions by body part among minor
-    complaints never change the letter, because the general rule before them matches first.  A
-    missing value belongs to no word list, so it falls through to U.
+    Only distinctions that can decide a row are made: the body part of a minor complaint never
+    changes its letter.  A missing value belongs to no word list, so it falls through to U.
     """
     hurt, state = clean_text(injury), clean_text(status)
     pain, part = clean_text(complaint), clean_text(body_part)
-    injured = hurt == "INJURED"
-    ordinary = injured & state.isin(ORDINARY_STATUS)
-    return first_match(
+    # a decision tree, so each text is cleaned a few times per row and not once per rule
+    unhurt = (state == "CONSCIOUS") & part.isin(UNSTATED_BODY_PART)
+    by_complaint = first_match(
         [
-            (hurt == "KILLED", "K"),
-            (injured & state.isin(SEVERE_STATUS), "A"),
-            (ordinary & pain.isin(SERIOUS_COMPLAINT), "A"),
-            (ordinary & pain.isin(MINOR_COMPLAINT), "B"),
-            (injured & (state == "CONSCIOUS") & pain.isin(NO_COMPLAINT) & part.isin(UNSTATED_BODY_PART), "U"),
-            (ordinary & pain.isin(NO_COMPLAINT + ["WHIPLASH"]), "C"),
+            (pain.isin(SERIOUS_COMPLAINT), "A"),
+            (pain.isin(MINOR_COMPLAINT), "B"),
+            (pain == "WHIPLASH", "C"),
+            (pain.isin(NO_COMPLAINT), F.when(unhurt, "U").otherwise("C")),
         ],
         default="U",
     )
+    by_status = first_match([(state.isin(SEVERE_STATUS), "A"), (state.isin(ORDINARY_STATUS), by_complaint)], default="U")
+    return first_match([(hurt == "KILLED", "K"), (hurt == "INJURED", by_status)], default="U")

@@ -88,10 +88,11 @@ def distinct_grid(df: DataFrame, row: str, column: str, ids: str, rows: DataFram
     """Distinct ids per row label x column label, 0 where there are none.
 
     ``rows`` lists the wanted row labels in column ``row``; one aggregation answers all cells.
+    Other column labels are left to the pivot: a filter here would be pushed below the expressions
+    that make the label and evaluate them twice.
     """
     counted = (
-        df.where(F.col(column).isin(columns))
-        .groupBy(row, column).agg(F.count_distinct(ids).alias("_n"))
+        df.groupBy(row, column).agg(F.count_distinct(ids).alias("_n"))
         .groupBy(row).pivot(column, columns).agg(F.first("_n"))
     )
     return rows.select(row).join(counted, row, "left").fillna(0, subset=[str(c) for c in columns])

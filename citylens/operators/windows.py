@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from citylens.operators.joins import salted_join
 from citylens.operators.reshape import grid_fill
+from citylens.session import stage
 
 
 def least_per_group(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -60,8 +61,10 @@ def completeness(
     Every listed site appears with every period seen in the data, count 0 where it has no rows.
     Rows count whether or not their value is missing, and the percentage may exceed 100.
     """
-    counts = df.where(F.col(site).isin(sites)).groupBy(site, period).agg(F.count(F.lit(1)).alias("valid_count"))
-    return gate(grid_fill(counts, df, [period], {site: sites}, "valid_count", axis_limit=axis_limit), cutoff, per_period)
+    # one pass over the rows; the few counts serve both as cells and as the list of periods
+    counts = stage(df.groupBy(site, period).agg(F.count(F.lit(1)).alias("valid_count")), "period_counts")
+    grid = grid_fill(counts, counts, [period], {site: sites}, "valid_count", axis_limit=axis_limit)
+    return gate(grid, cutoff, per_period)
 
 
 def gate(counts: DataFrame, cutoff: float, per_period: int) -> DataFrame:

@@ -11,6 +11,7 @@ from citylens.functions.dates import fractional_hour_text, in_month_range, time_
 from citylens.operators.aggregates import group_mean, mean_of_means
 from citylens.operators.reshape import grid_fill, in_given_order, month_columns, pivot_mean
 from citylens.operators.windows import gate, gated_mean
+from citylens.session import stage
 
 VALID_SHARE = 0.6  # fixed value: least share of readings in a 30-day month
 HOURLY_CUTOFF, HOURS_PER_MONTH = VALID_SHARE * 24 * 30, 24 * 31
@@ -66,8 +67,9 @@ def file_completeness(
     partial = hourly.groupBy(file, site).agg(
         F.count(F.lit(1)).alias("valid_count"), F.min(F.substring(F.col(time).cast("string"), 1, 7)).alias("_first")
     )
+    partial = stage(partial, "file_counts")
     months = partial.groupBy(file).agg(F.min("_first").alias("year_month"))
-    grid = grid_fill(partial.where(F.col(site).isin(sites)), partial, [file], {site: sites}, "valid_count")
+    grid = grid_fill(partial, partial, [file], {site: sites}, "valid_count")
     return gate(grid.join(months, file), cutoff, per_month)
 
 
@@ -90,6 +92,23 @@ def monthly_by_site(
     return gated_mean(means, gates.withColumn("valid", F.lit(True)), [site, year, "month"], value, drop)
 
 
+def daily_by_month(
+    daily: DataFrame, site: str, date: str, value: str, sites: list[str],
+    cutoff: float = DAILY_CUTOFF, per_month: int = DAYS_PER_MONTH,
+) -> DataFrame:
+    """Counts, gate and gated mean per site, year and month of a daily feed in one pass.
+
+    All twelve months of every year seen appear for every listed site.  ``mean`` is NULL unless the
+    month passes the gate.
+    """
+    when = F.to_date(F.col(date))
+    grouped = daily.where(F.col(site).isin(sites)).groupBy(site, F.year(when).alias("year"), F.month(when).alias("month"))
+    counts = stage(grouped.agg(F.count(F.lit(1)).alias("valid_count"), F.avg(value).alias("mean")), "daily_months")
+    grid = grid_fill(counts, counts, ["year"], {site: sites, "month": list(range(1, 13))}, "valid_count")
+    gated = gate(grid, cutoff, per_month).join(counts.select(site, "year", "month", "mean"), [site, "year", "month"], "left")
+    return gated.withColumn("mean", F.when(F.col("valid"), F.col("mean")))
+
+
 def across_sites(monthly: DataFrame, year: str, value: str) -> DataFrame:
     """Mean over sites of their gated monthly means."""
     return group_mean(monthly, [year, "month"], value)
@@ -103,9 +122,11 @@ def hourly_profile(readings: DataFrame, site: str, sites: list[str], year: str,
     return profile.withColumn("hour", fractional_hour_text("local_time"))
 
 
-def daily_selection(daily: DataFrame, sites: list[str] = DAILY_ORDER) -> DataFrame:
+def daily_selection(
+    daily: DataFrame, sites: list[str] = DAILY_ORDER, methods: list[str] = DAILY_METHODS, source: str = DAILY_SOURCE
+) -> DataFrame:
     """Rows of listed sites measured by an accepted method or delivered by the accepted source."""
-    accepted = F.col("method").isin(DAILY_METHODS) | (F.col("source") == DAILY_SOURCE)
+    accepted = F.col("method").isin(methods) | (F.col("source") == source)
     return daily.where(F.col("site").isin(sites) & accepted)
 
 

@@ -15,6 +15,7 @@ from citylens.operators.project import any_equal, keep_or
 from citylens.operators.reshape import grid_fill
 from citylens.operators.windows import change_percent
 from citylens.plans.places import CBD_BOARDS, CRZ, REPORTED_AREAS
+from citylens.session import stage
 
 SEVERITIES = ["K", "A", "B", "C"]
 ADJACENT = [a for a in REPORTED_AREAS if a != CRZ]
@@ -55,7 +56,7 @@ def monthly_counts(rows: DataFrame, date: str = "CRASH_DATE", areas: list[str] =
         keep_or(F.col("area"), areas, "Other").alias("grouped"), F.lit(1).alias("count"),
     )
     keys = ["CRASH_YEAR", "CRASH_MONTH", "SEVERITY"]
-    counts = group_sum(dated, [*keys, "grouped"], {"count": "count"}, keep_missing=False)
+    counts = stage(group_sum(dated, [*keys, "grouped"], {"count": "count"}, keep_missing=False), "monthly_counts")
     return grid_fill(counts, counts, keys, {"grouped": [*areas, "Other"]}, axis_limit=10_000)
 
 

@@ -17,22 +17,25 @@ from citylens.sinks.writers import materialize_once
 WEEKS_PER_MONTH = 4.348  # fixed value: factor from a weekly estimate
 
 
-def label_end(
-    rows: DataFrame, points: DataFrame, index: geo.RegionIndex, xy: tuple[str, str], out: str, tolerance: float | None,
-    ties: str = "all", path: str | None = None,
-) -> DataFrame:
-    """Attach the nearest region of one trip end; ``points`` holds all points of that end.
+def end_points(rows: DataFrame, ends: dict[str, tuple[str, str]]) -> DataFrame:
+    """Distinct points of several trip ends in one pass: ``(x, y)`` and one flag per end."""
+    each = ", ".join(
+        f"struct(CAST(`{x}` AS DOUBLE) AS x, CAST(`{y}` AS DOUBLE) AS y, '{end}' AS end)" for end, (x, y) in ends.items()
+    )
+    points = rows.selectExpr(f"inline(array({each}))").where("x IS NOT NULL AND y IS NOT NULL")
+    flags = [F.bool_or(F.col("end") == end).alias(end) for end in ends]
+    return stage(points.groupBy("x", "y").agg(*flags), "points")
+
+
+def attach_end(rows: DataFrame, labels: DataFrame, xy: tuple[str, str], out: str, tolerance: float | None) -> DataFrame:
+    """Attach the region of one trip end; rows without a labelled point drop out.
 
     ``tolerance`` matches labelled points within that distance, so near-duplicate points multiply
-    rows; None matches equal coordinates.  ``path`` keeps the label table for later runs.
+    rows; None matches equal coordinates.
     """
-    def labels() -> DataFrame:
-        return geo.nearest_regions(geo.distinct_points(points, *xy), index, ties).drop("distance")
-
-    named = stage(labels(), "labels") if path is None else materialize_once(rows.sparkSession, path, labels)
     if tolerance is None:
-        return geo.label_points(rows, named, xy, out, "inner")
-    near = named.select(F.col("x").alias("_lx"), F.col("y").alias("_ly"), F.col("region").alias(out))
+        return geo.label_points(rows, labels, xy, out, "inner")
+    near = labels.select(F.col("x").alias("_lx"), F.col("y").alias("_ly"), F.col("region").alias(out))
     return within_distance(rows, near, xy, ("_lx", "_ly"), tolerance).drop("_lx", "_ly")
 
 
@@ -49,25 +52,28 @@ def od_flow(
     destination_tolerance: float | None = None,
     cell: float = geo.CELL,
     ties: str = "all",
-    stage_dir: str | None = None,
+    label_path: str | None = None,
 ) -> DataFrame:
     """Region x region flow: trips counted, or a weight summed and scaled.
 
     Trips are first added up per pair of end points.  Labels depend on the points alone, so the
     result is the same, and only distinct pairs reach the joins however many trips share a station.
-    Trips with an end that gets no label drop out.
+    Trips with an end that gets no label drop out.  ``label_path`` keeps the label table for later runs.
     """
     ends = [*origin, *destination]
     measure = F.count(F.lit(1)) if weight is None else F.sum(weight)
     pairs = stage(trips.groupBy(*ends).agg(measure.alias("_w")), "pairs")
+    points = end_points(pairs, {"origin": origin, "destination": destination})
     index = geo.RegionIndex(geo.drop_regions(regions, exclude), cell)
-    kept = {end: stage_dir and f"{stage_dir}/{end}_nearest" for end in ("origin", "destination")}
-    one = label_end(pairs, pairs, index, origin, "origin_region", origin_tolerance, ties, kept["origin"])
+
+    def nearest() -> DataFrame:
+        return geo.nearest_regions(points.select("x", "y"), index, ties).drop("distance").join(points, ["x", "y"])
+
+    labels = stage(nearest(), "labels") if label_path is None else materialize_once(trips.sparkSession, label_path, nearest)
+    one = attach_end(pairs, labels.where("origin"), origin, "origin_region", origin_tolerance)
     # pairs sharing a region at one end are merged before the other end is looked up
     one = one.groupBy("origin_region", *destination).agg(F.sum("_w").alias("_w"))
-    both = label_end(
-        one, pairs, index, destination, "destination_region", destination_tolerance, ties, kept["destination"]
-    )
+    both = attach_end(one, labels.where("destination"), destination, "destination_region", destination_tolerance)
     total = F.sum("_w") if weight is None else F.sum("_w") * F.lit(factor)
     return both.groupBy("origin_region", "destination_region").agg(total.alias(out))
 
@@ -110,15 +116,21 @@ def zone_months(
     )
 
 
-def neighbourhood_of(
-    trips: DataFrame, xy: tuple[str, str], index: geo.RegionIndex, out: str, path: str | None = None
+def with_neighbourhoods(
+    trips: DataFrame, ends: dict[str, tuple[str, str]], index: geo.RegionIndex, label_path: str | None = None
 ) -> DataFrame:
-    """Neighbourhood strictly containing a trip end, NULL outside all; the smallest name if several."""
+    """Neighbourhood strictly containing each trip end, ``{output: (x, y)}``; NULL outside all.
+
+    The smallest name is taken if there are several.  Points of all ends are tested together.
+    """
     def labels() -> DataFrame:
-        return geo.within_regions(geo.distinct_points(trips, *xy), index)
+        points = end_points(trips, {f"end{i}": xy for i, xy in enumerate(ends.values())}).select("x", "y")
+        return geo.within_regions(points, index)
 
-    named = stage(labels(), "labels") if path is None else materialize_once(trips.sparkSession, path, labels)
-    return geo.label_points(trips, named, xy, out, "left", "min")
+    named = stage(labels(), "labels") if label_path is None else materialize_once(trips.sparkSession, label_path, labels)
+    for out, xy in ends.items():
+        trips = geo.label_points(trips, named, xy, out, "left", "min")
+    return trips
 
 
 def board_totals(
