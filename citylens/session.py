@@ -38,14 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     A local master may fall back to a new temporary folder; a cluster without the setting is an
     error, because a machine-local folder would be lost with its machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    base = tempfile.mkdtemp(prefix="citylens-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="citylens-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def read_html_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per file: ``(path, html)``."""
-    files = spark.read.option("wholetext", True).text(paths)
+    files = spark.read.text(paths, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
 
 
