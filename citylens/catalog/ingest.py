@@ -24,14 +24,14 @@ def rows(spark, sf):
 
 
 def shown(spark, path):
-    return ingest.read_target(spark, path, FEED.schema).select("event_id", "event_type", "value")
+    return ingest.read_target(spark, path, FEED).select("event_id", "event_type", "value")
 
 
 @query("ingest_watermark", """SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events WHERE ts < TIMESTAMP '2024-01-11')""")
 def ingest_watermark(spark, sf):
     path = scratch_path(spark, "ingest_mark")
     ingest.insert_new(rows(spark, sf).where(FIRST_DAYS), path, FEED)
-    mark = ingest.high_water(ingest.read_target(spark, path, FEED.schema), FEED.time)
+    mark = ingest.high_water(ingest.stored(spark, path, FEED), FEED)
     return ingest.since(rows(spark, sf), "ts", mark).select("event_id")
 
 

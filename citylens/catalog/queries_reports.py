@@ -10,7 +10,8 @@ from citylens.catalog import bindings as b
 from citylens.catalog.queries_basic import NAMED_SQL, VEHICLES_SQL, _vehicles, _zones, named_trips
 from citylens.catalog.queries_geo import BOX_IN, BOX_ON, groups, index
 from citylens.catalog.queries_summaries import (
-    COMPLETE_SQL, DAILY_TOTAL_SQL, GATED_SQL, PAIR, SHOWN_SITES, USABLE_SQL, classified, gated, rounded_years, seconds, side_by_side,
+    COMPLETE_SQL, DAILY_TOTAL_SQL, GATED_SQL, PAIR, SHOWN_SITES, USABLE_SQL, gated, hour_cells, rounded_years, seconds,
+    side_by_side,
 )
 from citylens.catalog.registry import query, table
 from citylens.functions.text import cast_commas
@@ -71,7 +72,7 @@ def report_bike_flow(spark, sf):
     CAST(sum(CASE WHEN s = 0 AND e = 0 THEN 1 ELSE 0 END) AS BIGINT) AS within_cbd, count(*) AS total_trips
     FROM {NAMED_SQL} GROUP BY ALL""")
 def report_zone_months(spark, sf):
-    return trips.zone_months(named_trips(spark, sf), "ts", "start_name", "end_name", _zones(spark, sf), {"year": 2024})
+    return trips.zone_months(named_trips(spark, sf), F.month("ts"), "start_name", "end_name", _zones(spark, sf), {"year": 2024})
 
 
 def _inside_sql(x, y):
@@ -90,9 +91,7 @@ def report_bike_zones(spark, sf):
         spark, "name string, cbd boolean, other_manhattan boolean, outside_cbd boolean",
         [(name, name == "r1", name == "r2", name != "r1") for name, *_ in b.RECTANGLES],
     )
-    ends = {"start_nta": ("ox", "oy"), "end_nta": ("dx", "dy")}
-    rows = trips.with_neighbourhoods(b.trips(spark, sf), ends, index(spark))
-    return trips.zone_months(rows, "ts", "start_nta", "end_nta", zones)
+    return trips.located_zone_months(b.trips(spark, sf), "ts", ("ox", "oy"), ("dx", "dy"), index(spark), zones)
 
 
 STOPS_SQL = f"""(SELECT user_id AS ons, event_id % 17 AS offs, CASE WHEN event_id % 50 <> 0 THEN ox END AS x,
@@ -289,13 +288,19 @@ def report_zero_times(spark, sf):
 
 @query("report_traffic_daily", f"SELECT * FROM {DAILY_TOTAL_SQL}")
 def report_traffic_daily(spark, sf):
-    return traffic.daily_totals(classified(spark, sf))
+    return traffic.daily_totals(hour_cells(spark, sf))
+
+
+@query("report_traffic_rows", f"SELECT date, direction, hour, count, day_type, year, month, day FROM {USABLE_SQL}")
+def report_traffic_rows(spark, sf):
+    rows = traffic.classify_counts(b.counts(spark, sf), traffic.holiday_table(spark, b.TEST_HOLIDAYS))
+    return traffic.usable(rows).drop("valid")
 
 
 @query("report_traffic_hourly", side_by_side(
     f"(SELECT direction, day_type, hour, year, avg(count) AS v FROM {USABLE_SQL} GROUP BY ALL)", "direction, day_type, hour"))
 def report_traffic_hourly(spark, sf):
-    return rounded_years(traffic.hourly_comparison(classified(spark, sf), PAIR))
+    return rounded_years(traffic.hourly_comparison(hour_cells(spark, sf), PAIR))
 
 
 @query("report_traffic_pages", """SELECT page_id, '2024-01-0' || d AS date, 'All' AS direction, lpad(CAST(h AS VARCHAR), 2, '0') || ':00:00' AS hour,

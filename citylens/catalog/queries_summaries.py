@@ -249,8 +249,8 @@ def side_by_side(source: str, index: str) -> str:
     return f"SELECT {index}, {shown}, {changes} FROM (SELECT {index}, {cells} FROM {source} GROUP BY ALL)"
 
 
-def classified(spark, sf):
-    return traffic.classify_counts(b.counts(spark, sf), traffic.holiday_table(spark, b.TEST_HOLIDAYS))
+def hour_cells(spark, sf):
+    return traffic.hour_cells(b.counts(spark, sf), traffic.holiday_table(spark, b.TEST_HOLIDAYS))
 
 
 def rounded_years(df):
@@ -260,7 +260,7 @@ def rounded_years(df):
 @query("ts_yoy_columns", side_by_side(
     f"(SELECT direction, day_type, month, year, avg(count) AS v FROM {DAILY_TOTAL_SQL} GROUP BY ALL)", "direction, day_type, month"))
 def ts_yoy_columns(spark, sf):
-    return rounded_years(traffic.monthly_comparison(traffic.daily_totals(classified(spark, sf)), PAIR))
+    return rounded_years(traffic.monthly_comparison(traffic.daily_totals(hour_cells(spark, sf)), PAIR))
 
 
 COMPLETE_SQL = f"""(SELECT year_month, site, coalesce(n, 0) AS valid_count FROM

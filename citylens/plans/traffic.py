@@ -9,7 +9,7 @@ from citylens.functions.dates import with_day_type
 from citylens.functions.rules import first_match
 from citylens.operators.aggregates import group_mean, group_sum
 from citylens.operators.windows import all_present, year_columns
-from citylens.session import parameter_table
+from citylens.session import parameter_table, stage
 from citylens.sources.markup import long_table
 
 # Body rows per direction block, and the blocks in order.
@@ -60,20 +60,37 @@ def counts_from_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     )
 
 
+def hour_cells(counts: DataFrame, holidays: DataFrame) -> DataFrame:
+    """One row per date, direction and hour with day type, validity and calendar parts.
+
+    ``total`` and ``n`` are the sum and number of counts in the cell.  The raw rows are read once;
+    a date is valid when no count is missing in any of its directions, which is found and joined
+    back on the cells.
+    """
+    present = F.bool_and(F.col("count").isNotNull())
+    cells = counts.groupBy("date", "direction", "hour").agg(
+        F.coalesce(F.sum("count"), F.lit(0.0)).alias("total"), F.count("count").alias("n"), present.alias("_whole")
+    )
+    cells = stage(cells.withColumn("_whole", F.when(F.col("_whole"), True)), "hour_cells")
+    checked = all_present(cells, ["date"], "_whole", "valid").drop("_whole")
+    typed = with_day_type(checked, "date", holidays)
+    return typed.withColumns({"year": F.year("date"), "month": F.month("date"), "day": F.dayofmonth("date")})
+
+
 def classify_counts(counts: DataFrame, holidays: DataFrame) -> DataFrame:
-    """Add day type, validity of the whole date over all directions, and calendar parts."""
-    typed = with_day_type(counts, "date", holidays)
-    checked = all_present(typed, ["date"], "count", "valid")
+    """Add day type, validity of the whole date and calendar parts to every raw row."""
+    checked = all_present(with_day_type(counts, "date", holidays), ["date"], "count", "valid")
     return checked.withColumns({"year": F.year("date"), "month": F.month("date"), "day": F.dayofmonth("date")})
 
 
-def usable(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("valid") & F.col("day_type").isin(COMPARED_DAYS))
+def usable(cells: DataFrame) -> DataFrame:
+    return cells.where(F.col("valid") & F.col("day_type").isin(COMPARED_DAYS))
 
 
-def daily_totals(rows: DataFrame) -> DataFrame:
+def daily_totals(cells: DataFrame) -> DataFrame:
     """Vehicles per valid day and direction."""
-    return group_sum(usable(rows), ["year", "month", "day", "direction", "day_type"], {"count": "count"}, keep_missing=False)
+    keys = ["year", "month", "day", "direction", "day_type"]
+    return group_sum(usable(cells), keys, {"count": "total"}, keep_missing=False)
 
 
 def monthly_comparison(daily: DataFrame, years: list[int]) -> DataFrame:
@@ -82,7 +99,9 @@ def monthly_comparison(daily: DataFrame, years: list[int]) -> DataFrame:
     return year_columns(monthly, ["direction", "day_type", "month"], "year", "count", years)
 
 
-def hourly_comparison(rows: DataFrame, years: list[int]) -> DataFrame:
+def hourly_comparison(cells: DataFrame, years: list[int]) -> DataFrame:
     """Mean counts per hour of day, years side by side with their change."""
-    hourly = group_mean(usable(rows), ["direction", "day_type", "year", "hour"], "count")
+    keys = ["direction", "day_type", "year", "hour"]
+    sums = group_sum(usable(cells), keys, {"total": "total", "n": "n"}, keep_missing=False)
+    hourly = sums.select(*keys, F.try_divide("total", "n").alias("count"))
     return year_columns(hourly, ["direction", "day_type", "hour"], "year", "count", years)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citylens.functions.text import natural_order, thousands
 from citylens.operators import geo
-from citylens.operators.aggregates import count_where, group_sum
+from citylens.operators.aggregates import group_sum
 from citylens.operators.joins import lookup_all, salted_join, within_distance, zone_flags
 from citylens.operators.reshape import pivot_once
 from citylens.plans.places import NOT_NEAREST
@@ -98,24 +98,45 @@ def flow_matrix(flow: DataFrame, names: list[str], value: str, order: bool = Tru
 
 
 def zone_months(
-    trips: DataFrame, start_time: str, start_name: str, end_name: str, zones: DataFrame, tag: dict[str, object] | None = None
+    trips: DataFrame, month: Column, start_name: str, end_name: str, zones: DataFrame,
+    tag: dict[str, object] | None = None, weight: str | None = None,
 ) -> DataFrame:
     """Monthly trips into, out of and inside the business district in one pass over the trips.
 
-    The year of the report is the source's tag, not the timestamp's year.
+    The year of the report is the source's tag, not the timestamp's year.  ``weight`` is the number
+    of trips a row stands for, when trips were added up beforehand.
     """
     flagged = zone_flags(trips, start_name, zones, {"cbd": "s_cbd", "other_manhattan": "s_mnh", "outside_cbd": "s_out"})
     flagged = zone_flags(flagged, end_name, zones, {"cbd": "e_cbd", "outside_cbd": "e_out"})
     keys = [F.lit(v).alias(k) for k, v in (tag or {}).items()]
-    return flagged.groupBy(*keys, F.month(start_time).alias("month")).agg(
-        count_where(F.col("s_out") & F.col("e_cbd")).alias("non_cbd_to_cbd"),
-        count_where(F.col("s_cbd") & F.col("e_out")).alias("cbd_to_non_cbd"),
-        count_where(F.col("s_mnh") & F.col("e_cbd")).alias("non_cbd_mnh_to_cbd_mnh"),
-        count_where(F.col("s_cbd") & F.col("e_cbd")).alias("within_cbd"),
-        F.count(F.lit(1)).alias("total_trips"),
+    number = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+
+    def total(start: str, end: str, out: str) -> Column:
+        return F.sum(F.when(F.col(start) & F.col(end), number).otherwise(0)).alias(out)
+
+    return flagged.groupBy(*keys, month.alias("month")).agg(
+        total("s_out", "e_cbd", "non_cbd_to_cbd"),
+        total("s_cbd", "e_out", "cbd_to_non_cbd"),
+        total("s_mnh", "e_cbd", "non_cbd_mnh_to_cbd_mnh"),
+        total("s_cbd", "e_cbd", "within_cbd"),
+        F.sum(number).alias("total_trips"),
     )
 
 
+def located_zone_months(
+    trips: DataFrame, start_time: str, start: tuple[str, str], end: tuple[str, str], index: geo.RegionIndex, zones: DataFrame,
+    tag: dict[str, object] | None = None, label_path: str | None = None,
+) -> DataFrame:
+    """``zone_months`` from coordinates.
+
+    Trips are counted per month and pair of end points first, so a busy dock is a few rows by the
+    time neighbourhoods are attached.
+    """
+    pairs = stage(trips.groupBy(F.month(start_time).alias("month"), *start, *end).agg(F.count(F.lit(1)).alias("_n")), "pairs")
+    named = with_neighbourhoods(pairs, {"start_nta": start, "end_nta": end}, index, label_path)
+    return zone_months(named, F.col("month"), "start_nta", "end_nta", zones, tag, "_n")
+
+
 def with_neighbourhoods(
     trips: DataFrame, ends: dict[str, tuple[str, str]], index: geo.RegionIndex, label_path: str | None = None
 ) -> DataFrame:

@@ -32,6 +32,16 @@ def get_session(app: str = "citylens", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def size_shuffles(spark: SparkSession, shuffled_bytes: int, target_bytes: int = 128 << 20) -> int:
+    """Set the number of shuffle partitions for an expected volume; AQE merges small ones later.
+
+    AQE never adds partitions, so a large run needs enough of them from the start.
+    """
+    number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shuffled_bytes // target_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", str(number))
+    return number
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 

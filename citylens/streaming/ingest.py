@@ -1,7 +1,9 @@
 """Insert-if-new ingest of keyed feeds.
 
-A target is a Parquet folder that only grows.  Loading the same rows twice changes nothing, so a
-task, a micro-batch or a whole run can be repeated after a failure.
+A target is a Parquet folder that only grows, with one subfolder per day of the feed's time column.
+Finding the newest time reads one day, and looking for known keys reads the days of the batch.
+Loading the same rows twice changes nothing, so a task, a micro-batch or a whole run can be repeated
+after a failure.
 """
 
 from __future__ import annotations
@@ -17,20 +19,30 @@ from citylens.operators.project import align_to_schema
 from citylens.sinks.writers import write_parquet
 from citylens.sources.schemas import Feed
 
+DAY = "feed_day"
 BEGINNING = "1900-01-01 00:00:00"  # fixed value: before any feed starts
 
 
-def read_target(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The target table, empty when nothing was written yet."""
+def stored(spark: SparkSession, path: str, feed: Feed) -> DataFrame:
+    """The target with its day column, empty when nothing was written yet."""
+    schema = T.StructType([*feed.schema.fields, T.StructField(DAY, T.DateType())])
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
 
 
-def high_water(target: DataFrame, time: str) -> str:
-    """Newest time in the target as text; this one value reaches the driver."""
-    return target.agg(F.max(time).cast("string")).first()[0] or BEGINNING
+def read_target(spark: SparkSession, path: str, feed: Feed) -> DataFrame:
+    """The target's rows in feed columns."""
+    return stored(spark, path, feed).drop(DAY)
+
+
+def high_water(target: DataFrame, feed: Feed) -> str:
+    """Newest time in the stored target as text; only single values reach the driver."""
+    newest = target.agg(F.max(DAY)).first()[0]  # a partition column: no data pages are read
+    if newest is None:
+        return BEGINNING
+    return target.where(F.col(DAY) == F.lit(newest)).agg(F.max(feed.time).cast("string")).first()[0]
 
 
 def since(rows: DataFrame, time: str, mark: str) -> DataFrame:
@@ -44,16 +56,16 @@ def _at_or_after(rows: DataFrame, time: str, mark: str) -> Column:
 
 
 def new_rows(batch: DataFrame, target: DataFrame, feed: Feed) -> DataFrame:
-    """Rows of the batch whose key is not in the target, one per key.
+    """Rows of the batch whose key is not in the stored target, one per key.
 
-    Keys contain the time column, so only target rows from the batch's earliest time on can clash:
-    that bound goes down to the Parquet scan.  Missing key parts compare equal.
+    Keys contain the time column, so only target rows from the batch's earliest day on can clash;
+    earlier days are pruned before the scan.  Missing key parts compare equal.
     """
     single = first_per_key(align_to_schema(batch, feed.schema), list(feed.key))
     if feed.time in feed.key:
-        start = batch.agg(F.min(feed.time).cast("string")).first()[0]
+        start = batch.agg(F.min(F.to_date(feed.time))).first()[0]
         if start is not None:
-            target = target.where(_at_or_after(target, feed.time, start) | F.col(feed.time).isNull())
+            target = target.where((F.col(DAY) >= F.lit(start)) | F.col(DAY).isNull())
     known = target.select(*feed.key)
     return salted_join(single, known.distinct(), feed.key, "left_anti", null_safe=True)
 
@@ -61,12 +73,14 @@ def new_rows(batch: DataFrame, target: DataFrame, feed: Feed) -> DataFrame:
 def insert_new(batch: DataFrame, path: str, feed: Feed) -> None:
     """Append the new rows of a batch to the target."""
     spark = batch.sparkSession
-    new_rows(batch, read_target(spark, path, feed.schema), feed).write.mode("append").parquet(path)
+    rows = new_rows(batch, stored(spark, path, feed), feed).withColumn(DAY, F.to_date(feed.time))
+    # few files per day, and a day with very many rows is split over tasks
+    rows.hint("rebalance", DAY).write.mode("append").partitionBy(DAY).parquet(path)
 
 
 def ingest_landing(landing: DataFrame, path: str, feed: Feed) -> None:
     """One batch run: landing rows from the target's newest time on, inserted if new."""
-    mark = high_water(read_target(landing.sparkSession, path, feed.schema), feed.time)
+    mark = high_water(stored(landing.sparkSession, path, feed), feed)
     insert_new(since(landing, feed.time, mark), path, feed)
 
 
@@ -102,7 +116,7 @@ def ingest_stream(
 
 def publish(spark: SparkSession, path: str, feed: Feed, out: str, n: int = 3) -> tuple[DataFrame, DataFrame]:
     """Write the target for readers; return its row count and latest rows as DataFrames."""
-    target = read_target(spark, path, feed.schema)
+    target = read_target(spark, path, feed)
     write_parquet(target, out, overwrite=True)
     count = target.agg(F.count(F.lit(1)).alias("row_count"))
     return count, latest(target, feed.time, n, *[k for k in feed.key if k != feed.time])

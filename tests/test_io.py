@@ -97,7 +97,7 @@ def pages(spark):
 
 
 def state(spark, path):
-    return sorted(str(tuple(r)) for r in ingest.read_target(spark, path, FEED.schema).collect())
+    return sorted(str(tuple(r)) for r in ingest.read_target(spark, path, FEED).collect())
 
 
 def test_ingest_twice_changes_nothing(spark):
@@ -111,9 +111,9 @@ def test_ingest_twice_changes_nothing(spark):
 
 def test_ingest_from_high_water(spark):
     path = scratch_path(spark, "target")
-    assert ingest.high_water(ingest.read_target(spark, path, FEED.schema), "ts") == ingest.BEGINNING
+    assert ingest.high_water(ingest.stored(spark, path, FEED), FEED) == ingest.BEGINNING
     ingest.insert_new(pages(spark).where(F.col("ts") <= F.lit(stamp(2))), path, FEED)
-    mark = ingest.high_water(ingest.read_target(spark, path, FEED.schema), "ts")
+    mark = ingest.high_water(ingest.stored(spark, path, FEED), FEED)
     assert mark == "2024-05-01 02:00:00"
     assert ingest.since(pages(spark), "ts", mark).count() == 4
     ingest.ingest_landing(pages(spark), path, FEED)
@@ -126,7 +126,7 @@ def test_stream_equals_batch_and_replays_safely(spark):
     ingest.insert_new(spark.read.parquet(landing), batch, FEED)
     raw = schema("ts timestamp, kind string, n int, extra string")
     ingest.ingest_stream(spark, landing, stream, scratch_path(spark, "cp"), FEED, raw, files_per_batch=1)
-    keys = lambda p: sorted(str((r.ts, r.kind)) for r in ingest.read_target(spark, p, FEED.schema).collect())
+    keys = lambda p: sorted(str((r.ts, r.kind)) for r in ingest.read_target(spark, p, FEED).collect())
     assert keys(batch) == keys(stream)
     # a lost checkpoint reads every page again
     ingest.ingest_stream(spark, landing, stream, scratch_path(spark, "cp"), FEED, raw, files_per_batch=2)
