@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from citylens.functions.text import _c
 from citylens.operators.joins import salted_join
-from citylens.session import stage
+from citylens.session import stage, together
 
 CELL = 0.01  # default grid width in degrees, about one kilometre
 LEVELS = 16  # each level doubles the width; one more level holds the whole plane
@@ -184,6 +184,10 @@ class RegionIndex:
         lifted = _lift(edge_cells(self.edges, self.cell), self.top, ["region", "x1", "y1", "x2", "y2"])
         return stage(lifted.distinct(), "region_levels")
 
+    def build(self, *parts: str) -> None:
+        """Build several parts at the same time."""
+        together(*[lambda part=part: getattr(self, part) for part in parts])
+
     def place(self, points: DataFrame) -> DataFrame:
         """Add the grid cell of each point."""
         return points.selectExpr("*", f"floor(x / {self.cell!r}D) AS cx", f"floor(y / {self.cell!r}D) AS cy")
@@ -200,6 +204,7 @@ def distinct_points(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def touching_regions(points: DataFrame, index: RegionIndex, salts: int = 8) -> DataFrame:
     """``(x, y, region, on_edge)`` for every region a distinct point lies in or on."""
+    index.build("cells", "rows")
     found = salted_join(index.place(points), index.cells, ["cx", "cy"], "inner", salts, ["x", "y"]).drop("cx")
     # a left join: points of whole cells need no edge and pass through with none
     rows = index.rows.withColumn("whole", F.lit(False))
@@ -281,6 +286,7 @@ def nearest_regions(points: DataFrame, index: RegionIndex, ties: str = "all", sa
     A point in or on regions has distance 0 to each of them.  ``ties="all"`` keeps every region at
     the least distance, ``"first"`` the smallest name.
     """
+    index.build("cells", "rows", "levels")
     inside = stage(intersecting_regions(points, index, salts).withColumn("distance", F.lit(0.0)), "points_inside")
     outside = points.join(inside.select("x", "y").distinct(), ["x", "y"], "left_anti")
     measured = nearest_outside(outside, index, salts)

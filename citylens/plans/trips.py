@@ -11,7 +11,7 @@ from citylens.operators.aggregates import group_sum
 from citylens.operators.joins import lookup_all, salted_join, within_distance, zone_flags
 from citylens.operators.reshape import pivot_once
 from citylens.plans.places import NOT_NEAREST
-from citylens.session import stage
+from citylens.session import stage, together
 from citylens.sinks.writers import materialize_once
 
 WEEKS_PER_MONTH = 4.348  # fixed value: factor from a weekly estimate
@@ -62,10 +62,14 @@ def od_flow(
     """
     ends = [*origin, *destination]
     measure = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    pairs = stage(trips.groupBy(*ends).agg(measure.alias("_w")), "pairs")
-    points = end_points(pairs, {"origin": origin, "destination": destination})
     index = geo.RegionIndex(geo.drop_regions(regions, exclude), cell)
 
+    def summed() -> tuple[DataFrame, DataFrame]:
+        sums = stage(trips.groupBy(*ends).agg(measure.alias("_w")), "pairs")
+        return sums, end_points(sums, {"origin": origin, "destination": destination})
+
+    (pairs, points), _ = together(summed, lambda: index.build("cells", "rows", "levels"))
+
     def nearest() -> DataFrame:
         return geo.nearest_regions(points.select("x", "y"), index, ties).drop("distance").join(points, ["x", "y"])
 
@@ -162,8 +166,11 @@ def board_totals(
 
     Stops are added up per point before labels are attached.
     """
-    per_point = stage(group_sum(stops, list(xy), {c: c for c in sums.values()}), "per_point")
     index = geo.RegionIndex(geo.drop_regions(regions, exclude), cell)
+    per_point, _ = together(
+        lambda: stage(group_sum(stops, list(xy), {c: c for c in sums.values()}), "per_point"),
+        lambda: index.build("cells", "rows", "levels"),
+    )
     labels = geo.nearest_regions(geo.distinct_points(per_point, *xy), index, ties="first")
     labelled = geo.label_points(per_point, labels, xy, "community_board", "left")
     return group_sum(labelled, ["community_board"], sums)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,6 +75,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def together(*jobs: Callable[[], object]) -> list:
+    """Run independent Spark jobs at the same time, so small ones do not leave the cluster idle."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [done.result() for done in [pool.submit(job) for job in jobs]]
+
+
 def parameter_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     """Fixed parameters (labels, holidays, positions) as a table whose exact size Catalyst knows.
 
