@@ -31,6 +31,7 @@ from citylens.operators.joins import salted_join
 from citylens.session import stage, together
 
 CELL = 0.01  # default grid width in degrees, about one kilometre
+NEAR_LEVELS = 4  # boxes below this level are measured without being opened
 LEVELS = 16  # each level doubles the width; one more level holds the whole plane
 
 
@@ -262,20 +263,64 @@ def _around(df: DataFrame, radius: int) -> DataFrame:
     return wide.selectExpr(*others, f"explode(sequence(kx - {radius}, kx + {radius})) AS kx", "ky")
 
 
+def _nearest_boxes(boxes: DataFrame, index: RegionIndex) -> DataFrame:
+    """Drop boxes that cannot hold the edge nearest to any point of the cell ``(cx, cy)``.
+
+    Every box holds part of an edge, so some edge is no farther than the least "far" distance; a
+    box whose "near" distance exceeds that is out.  A cell has a few hundred boxes at most.
+    """
+    cell = f"{index.cell!r}D"
+    size = f"({cell} * power(2D, level))"
+
+    def near(k: str, c: str) -> str:
+        return f"greatest(0D, {k} * {size} - ({c} + 1) * {cell}, {c} * {cell} - ({k} + 1) * {size})"
+
+    def far(k: str, c: str) -> str:
+        return f"greatest(abs(({k} + 1) * {size} - {c} * {cell}), abs(({c} + 1) * {cell} - {k} * {size}))"
+
+    whole = f"level = {index.top}"
+    measured = boxes.selectExpr(
+        "*",
+        f"IF({whole}, 0D, hypot({near('kx', 'cx')}, {near('ky', 'cy')})) AS near",
+        f"IF({whole}, double('Infinity'), hypot({far('kx', 'cx')}, {far('ky', 'cy')})) AS far",
+    ).selectExpr("*", "min(far) OVER (PARTITION BY cx, cy) AS bound")
+    return measured.where(f"near <= bound + {index.cell * 1e-5!r}D").drop("near", "far", "bound")
+
+
+def _finer_boxes(boxes: DataFrame, occupied: DataFrame, target: int, top: int) -> DataFrame:
+    """Replace boxes up to four levels above ``target`` by the occupied boxes on it inside them."""
+    parents = occupied.where(f"level = {target}").selectExpr(
+        "kx AS fx", "ky AS fy", f"explode(sequence({max(target + 1, NEAR_LEVELS)}, {min(target + 4, top)})) AS level"
+    )
+    up = [f"IF(level = {top}, 0L, shiftright({f}, level - {target})) AS {k}" for f, k in (("fx", "kx"), ("fy", "ky"))]
+    joined = boxes.join(parents.selectExpr("fx", "fy", "level", *up), ["level", "kx", "ky"], "left")
+    return joined.selectExpr(
+        "cx", "cy", f"IF(fx IS NULL, level, {target}) AS level", "coalesce(fx, kx) AS kx", "coalesce(fy, ky) AS ky"
+    )
+
+
 def nearest_outside(points: DataFrame, index: RegionIndex, salts: int = 8) -> DataFrame:
     """Distance from distinct points outside every region to each region that could be nearest.
 
     For each occupied cell the finest level with an edge in the 3 x 3 cells around it is found.
     An edge there is less than 2 * sqrt(2) widths away, so the nearest one lies within three cells
-    on that level, and only those edges are measured.
+    on that level.  Of these boxes only those that can hold it are kept; for cells far from any
+    region they are opened four levels at a time and thinned again, so that distant points do not
+    meet every edge.
     """
     placed = index.place(points)
     cells = placed.select("cx", "cy").distinct()
     occupied = index.levels.select("level", "kx", "ky").distinct()
     probes = _around(_lift(cells, index.top, ["cx", "cy"]), 1)
-    best = probes.join(occupied, ["level", "kx", "ky"], "left_semi").groupBy("cx", "cy").agg(F.min("level").alias("level"))
-    home = best.selectExpr("*", *_lifted(index.top))
-    candidates = _around(home, 3).join(index.levels, ["level", "kx", "ky"]).drop("level", "kx", "ky").distinct()
+    found = probes.join(occupied, ["level", "kx", "ky"], "left_semi").groupBy("cx", "cy").agg(F.min("level").alias("level"))
+    home = stage(found, "cell_levels")
+    farthest = home.agg(F.max("level")).first()[0] or 0  # one value: how many times boxes are opened
+    around = _around(home.selectExpr("*", *_lifted(index.top)), 3).join(occupied, ["level", "kx", "ky"], "left_semi")
+    boxes = _nearest_boxes(around, index)
+    if farthest >= NEAR_LEVELS:
+        for target in range((farthest - 1) // 4 * 4, -1, -4):
+            boxes = _nearest_boxes(_finer_boxes(boxes, occupied, target, index.top), index)
+    candidates = boxes.join(index.levels, ["level", "kx", "ky"]).drop("level", "kx", "ky").distinct()
     met = salted_join(placed, candidates, ["cx", "cy"], "inner", salts, ["x", "y"])
     return met.groupBy("x", "y", "region").agg(_least_gap().alias("distance"))
 

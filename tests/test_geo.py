@@ -56,6 +56,7 @@ def points(spark, xs):
 def sample():
     rng = random.Random(7)
     fixed = [(1, 1), (3, 3), (4, 1), (2, 3), (0, 0), (13, 3), (12, 3), (11, 1), (6, 11), (6, 13), (3, 11), (4, 0), (5, 1), (-500, 900)]
+    fixed += [(900.0 + i / 7, -300.0 + i) for i in range(40)]  # a far cloud
     return fixed + [(rng.randrange(-16, 160) / 8, rng.randrange(-16, 120) / 8) for _ in range(400)] + [
         (rng.uniform(-3, 20), rng.uniform(-3, 15)) for _ in range(200)
     ]
@@ -79,7 +80,7 @@ def test_touching_and_within_match_brute_force(spark, sample, cell):
     assert within == want_in
 
 
-@pytest.mark.parametrize("cell,levels", [(0.7, 16), (0.05, 6), (3.0, 2)])
+@pytest.mark.parametrize("cell,levels", [(0.7, 16), (0.05, 6), (0.05, 16), (3.0, 2)])
 def test_nearest_matches_brute_force(spark, sample, cell, levels):
     index = geo.RegionIndex(regions(spark), cell, levels)
     got = {}
