@@ -30,9 +30,10 @@ from citylens.functions.text import _c
 from citylens.operators.joins import salted_join
 from citylens.session import stage, together
 
-CELL = 0.01  # default grid width in degrees, about one kilometre
+CELL = 0.002  # default grid width in degrees, about 200 m: a few outline edges per cell
+CELL_POINTS = 20_000  # a cell with more points is handled in several parts
 NEAR_LEVELS = 4  # boxes below this level are measured without being opened
-LEVELS = 16  # each level doubles the width; one more level holds the whole plane
+LEVELS = 18  # each level doubles the width; the last one is a single cell for the whole plane
 
 
 # --- points ---------------------------------------------------------------------------------
@@ -299,7 +300,7 @@ def _finer_boxes(boxes: DataFrame, occupied: DataFrame, target: int, top: int) -
     )
 
 
-def nearest_outside(points: DataFrame, index: RegionIndex, salts: int = 8) -> DataFrame:
+def nearest_outside(points: DataFrame, index: RegionIndex) -> DataFrame:
     """Distance from distinct points outside every region to each region that could be nearest.
 
     For each occupied cell the finest level with an edge in the 3 x 3 cells around it is found.
@@ -309,19 +310,27 @@ def nearest_outside(points: DataFrame, index: RegionIndex, salts: int = 8) -> Da
     meet every edge.
     """
     placed = index.place(points)
-    cells = placed.select("cx", "cy").distinct()
+    cells = placed.groupBy("cx", "cy").agg(F.expr(f"1 + count(1) DIV {CELL_POINTS}").alias("salts"))
     occupied = index.levels.select("level", "kx", "ky").distinct()
-    probes = _around(_lift(cells, index.top, ["cx", "cy"]), 1)
-    found = probes.join(occupied, ["level", "kx", "ky"], "left_semi").groupBy("cx", "cy").agg(F.min("level").alias("level"))
+    probes = _around(_lift(cells, index.top, ["cx", "cy", "salts"]), 1)
+    found = probes.join(occupied, ["level", "kx", "ky"], "left_semi").groupBy("cx", "cy", "salts").agg(F.min("level").alias("level"))
     home = stage(found, "cell_levels")
     farthest = home.agg(F.max("level")).first()[0] or 0  # one value: how many times boxes are opened
-    around = _around(home.selectExpr("*", *_lifted(index.top)), 3).join(occupied, ["level", "kx", "ky"], "left_semi")
-    boxes = _nearest_boxes(around, index)
+    near = home.select("cx", "cy", "level", *[F.expr(k) for k in _lifted(index.top)])
+    boxes = _nearest_boxes(_around(near, 3).join(occupied, ["level", "kx", "ky"], "left_semi"), index)
     if farthest >= NEAR_LEVELS:
         for target in range((farthest - 1) // 4 * 4, -1, -4):
             boxes = _nearest_boxes(_finer_boxes(boxes, occupied, target, index.top), index)
     candidates = boxes.join(index.levels, ["level", "kx", "ky"]).drop("level", "kx", "ky").distinct()
-    met = salted_join(placed, candidates, ["cx", "cy"], "inner", salts, ["x", "y"])
+    # cells crowded with points are split; only their edges are repeated
+    crowded = home.where("salts > 1").select("cx", "cy", "salts")
+    spread = placed.join(crowded, ["cx", "cy"], "left").selectExpr(
+        "x", "y", "cx", "cy", "CAST(pmod(xxhash64(x, y), coalesce(salts, 1)) AS INT) AS salt"
+    )
+    split = candidates.join(crowded, ["cx", "cy"], "left").selectExpr(
+        *candidates.columns, "explode(sequence(0, CAST(coalesce(salts, 1) AS INT) - 1)) AS salt"
+    )
+    met = spread.join(split, ["cx", "cy", "salt"])
     return met.groupBy("x", "y", "region").agg(_least_gap().alias("distance"))
 
 
@@ -334,7 +343,7 @@ def nearest_regions(points: DataFrame, index: RegionIndex, ties: str = "all", sa
     index.build("cells", "rows", "levels")
     inside = stage(intersecting_regions(points, index, salts).withColumn("distance", F.lit(0.0)), "points_inside")
     outside = points.join(inside.select("x", "y").distinct(), ["x", "y"], "left_anti")
-    measured = nearest_outside(outside, index, salts)
+    measured = nearest_outside(outside, index)
     # the window holds one row per candidate region of a point
     ranked = measured.selectExpr("*", "rank() OVER (PARTITION BY x, y ORDER BY distance) AS place")
     closest = ranked.where("place = 1").drop("place")
