@@ -157,7 +157,7 @@ def sink_parquet(spark, sf):
 @query("sink_parquet_overwrite", SEGMENT_SQL)
 def sink_parquet_overwrite(spark, sf):
     path = scratch_path(spark, "sink_over")
-    writers.write_parquet(_segments(spark, sf).limit(1), path)
+    writers.write_parquet(_segments(spark, sf).where(F.col("n") < 0), path)
     writers.write_parquet(_segments(spark, sf), path, overwrite=True)
     return spark.read.parquet(path)
 
@@ -179,7 +179,7 @@ def sink_report(spark, sf):
 def materialize_once(spark, sf):
     path = scratch_path(spark, "stage")
     writers.materialize_once(spark, path, lambda: _segments(spark, sf))
-    return writers.materialize_once(spark, path, lambda: _segments(spark, sf).limit(0))
+    return writers.materialize_once(spark, path, lambda: _segments(spark, sf).where(F.col("n") < 0))
 
 
 @query("ctas", SEGMENT_SQL)

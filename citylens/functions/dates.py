@@ -40,9 +40,11 @@ def fractional_hour_text(value: Column | str) -> Column:
 
 
 def seconds_between(start: Column | str, end: Column | str) -> Column:
-    """Seconds from start to end with the fraction kept."""
-    micros = F.unix_micros(_c(end).cast("timestamp")) - F.unix_micros(_c(start).cast("timestamp"))
-    return micros / F.lit(1e6)
+    """Seconds from start to end with the fraction kept.
+
+    Naive timestamps are subtracted as they are, whatever the session's time zone.
+    """
+    return (_c(end) - _c(start)).cast("interval second").cast("decimal(20,6)").cast("double")
 
 
 def month_start(year: Column | str, month: Column | str) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citylens.operators.joins import salted_join
+
 
 def replace_last(df: DataFrame, column: str, value: Column) -> DataFrame:
     """Recompute a column from its old value and move it to the end."""
@@ -40,7 +42,7 @@ def keep_or(column: Column, values: list, other: object) -> Column:
 def blank_unless(df: DataFrame, column: str, valid: DataFrame, on: list[str]) -> DataFrame:
     """Set ``column`` to NULL on rows whose key is not in ``valid``; every row is kept."""
     marks = valid.select(*on).distinct().withColumn("_valid", F.lit(True))
-    joined = df.join(marks, on, "left")
+    joined = salted_join(df, marks, on, "left")
     return joined.withColumn(column, F.when(F.col("_valid"), F.col(column))).drop("_valid")
 
 
