@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-
 
 def _c(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -28,9 +26,8 @@ def cast_commas(value: Column | str, dtype: str = "double") -> Column:
 
 def text_to_int(value: Column | str) -> Column:
     """Numeric text to the nearest int (halves away from zero); anything else gives NULL."""
-    text = _c(value)
-    number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
-    return F.round(number).try_cast("int")
+    # a decimal cast takes plain and exponent notation only, where a double would also read "1d" or "NaN"
+    return F.round(_c(value).try_cast("decimal(38,18)")).try_cast("int")
 
 
 def try_int_commas(value: Column | str) -> Column:

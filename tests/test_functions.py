@@ -16,6 +16,7 @@ def one(spark, column):
 
 @pytest.mark.parametrize("value,want", [
     ("12", 12), ("1.6", 2), ("0.4", 0), ("-1.5", -2), ("", None), ("n/a", None), (None, None), ("99999999999", None), ("1e3", 1000),
+    ("1d", None), ("NaN", None), (" 7 ", 7), ("0.4999999", 0), ("2.5", 3),
 ])
 def test_text_to_int(spark, value, want):
     assert one(spark, text.text_to_int(F.lit(value).cast("string"))) == want
