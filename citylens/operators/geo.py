@@ -166,7 +166,8 @@ class RegionIndex:
     """Regions prepared for point questions; each part is built on first use and kept as a table.
 
     ``cells``: grid cells per region.  ``rows``: edges per grid row.  ``levels``: edges per cell on
-    every level.
+    every level.  The number of cells grows with area / cell ** 2, so the width should suit the
+    regions: a few outline edges per cell.
     """
 
     def __init__(self, regions: DataFrame, cell: float = CELL, levels: int = LEVELS, region: str = "region", wkt: str = "wkt"):

@@ -105,8 +105,16 @@ def ingest_stream(
         .format(source)
         .load(landing)
     )
+
+    def load(batch: DataFrame, _: int) -> None:
+        batch.persist()  # its earliest day is looked up before its rows are written
+        try:
+            insert_new(batch, path, feed)
+        finally:
+            batch.unpersist()
+
     query = (
-        pages.writeStream.foreachBatch(lambda batch, _: insert_new(batch, path, feed))
+        pages.writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

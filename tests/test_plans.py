@@ -42,8 +42,20 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == shared_dir(spark) and (named is None or shared_dir(spark) == named.rstrip("/"))
 
 
-@pytest.mark.parametrize("key", ["report_subway_flow", "report_injury_summary", "report_traffic_daily", "src_html_table", "ingest_stream"])
-def test_queries_match_their_sql(spark, key):
+@pytest.fixture(params=[True, False], ids=["broadcast", "shuffle"])
+def broadcasting(spark, request):
+    """Small sides broadcast, or every join shuffled as with sides too big to broadcast."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in names:
+        if not request.param:
+            spark.conf.set(name, "-1")
+    yield request.param
+    for name in names:
+        spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("key", ["report_subway_flow", "report_injury_summary", "report_traffic_daily", "join_dwithin", "ingest_stream"])
+def test_queries_match_their_sql(spark, key, broadcasting):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     for name in os.listdir(SMALL):
