@@ -22,6 +22,8 @@ from citylens.session import scratch_path, stage
 
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Many small stores: no disk space is set aside for them, and memory is bounded for all of an executor together.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }
@@ -124,7 +126,7 @@ def _with_text_key(docs: DataFrame, digest: Callable[[bytes], str]) -> DataFrame
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), work, "doc_id long, digest string, body_key string")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _digest_column(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: sha256_hex((t or "").encode().lower()))
 
