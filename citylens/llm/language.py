@@ -77,7 +77,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     sizes = sorted(train.groupBy("lang").count().collect())
     languages = [r[0] for r in sizes]
     if not languages:
-        return [], np.zeros((COLUMNS, 0), np.float32)
+        return [], np.zeros((COLUMNS + 1, 0), np.float32)
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003))
     share = lambda bound: F.coalesce(*[F.when(F.col("lang") == r[0], F.lit(min(1.0, bound / r[1]))) for r in sizes])
     fit = stage(train.filter(place < share(FIT_PER_LANGUAGE) * 1_000_003).select("lang", "text", place.alias("place")), "language-sample")

@@ -91,7 +91,8 @@ def learn_evidence(docs: DataFrame, labels: DataFrame) -> dict:
     for target in TARGETS:
         n = every["n"] if every else 0
         bad = every[target] if every else 0
-        p = (bad + 1) / (n + 2)
+        # Without labels nothing speaks against a document.
+        p = (bad + 1) / (n + 2) if n else 1e-3
         model["prior"][target] = p
         if not bad or bad == n:
             continue
