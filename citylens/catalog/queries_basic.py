@@ -41,7 +41,23 @@ def src_csv_infer(spark, sf):
 
 @query("src_csv_override", ORDERS_TEXT_SQL)
 def src_csv_override(spark, sf):
-    return tabular.read_csv_override(spark, _csv(spark, _orders_text(spark, sf), "csv_override"), ["order_id"])
+    schema = schemas.schema("order_id string, price double, priority string")
+    return tabular.read_csv_override(spark, _csv(spark, _orders_text(spark, sf), "csv_override"), ["order_id"], schema)
+
+
+MISSING_TEXT = ["NaN", "NA", "N/A", "null", ""]
+
+
+@query("src_csv_missing", """SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 7 >= 5 THEN o_totalprice END AS price,
+    CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS priority FROM orders""")
+def src_csv_missing(spark, sf):
+    tokens = F.array(*[F.lit(t) for t in MISSING_TEXT])
+    key = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(
+        key.alias("order_id"), F.when(key % 7 >= 5, F.col("o_totalprice").cast("string")).otherwise(F.get(tokens, (key % 7).cast("int"))).alias("price"),
+        F.when(key % 5 != 0, F.col("o_orderpriority")).otherwise(F.get(tokens, (key % 4).cast("int"))).alias("priority"),
+    )
+    return tabular.read_csv_missing(spark, _csv(spark, rows, "csv_missing"), "order_id bigint, price double, priority string")
 
 
 @query("src_csv_text", "SELECT order_id, CAST(CAST(price AS DECIMAL(18, 2)) AS VARCHAR) AS price, priority FROM (" + ORDERS_TEXT_SQL + ")")
@@ -661,11 +677,11 @@ def geo_polygon_wkt(spark, sf):
     return geo.polygon_edges(parcels).drop("ring")
 
 
-@query("unpivot_long", """SELECT hour, date, n FROM (SELECT CAST(hour(ts) AS INTEGER) AS hour, CAST(sum(CASE WHEN day(ts) = 1 THEN 1 END) AS BIGINT) AS "2024-01-01",
-    CAST(sum(CASE WHEN day(ts) = 2 THEN 1 END) AS BIGINT) AS "2024-01-02" FROM events GROUP BY ALL)
-    UNPIVOT INCLUDE NULLS (n FOR date IN ("2024-01-01", "2024-01-02"))""")
+@query("unpivot_long", """SELECT hour, date, n FROM (SELECT CAST(hour(ts) AS INTEGER) AS hour, """ + ", ".join(
+    f"CAST(sum(CASE WHEN day(ts) = {d} THEN 1 END) AS BIGINT) AS \"2024-01-{d:02d}\"" for d in range(1, 31)
+) + " FROM events GROUP BY ALL) UNPIVOT INCLUDE NULLS (n FOR date IN (" + ", ".join(f'"2024-01-{d:02d}"' for d in range(1, 31)) + "))")
 def unpivot_long(spark, sf):
-    days = ["2024-01-01", "2024-01-02"]
+    days = [f"2024-01-{d:02d}" for d in range(1, 31)]
     events = table(spark, sf, "events").select(F.hour("ts").alias("hour"), F.date_format("ts", "yyyy-MM-dd").alias("date"))
     wide = events.groupBy("hour").pivot("date", days).count()
     return reshape.unpivot_long(wide, ["hour"], None, "date", "n")

@@ -55,7 +55,7 @@ def report_subway_flow(spark, sf):
 def report_subway_matrix(spark, sf):
     labels = parameter_table(spark, "code string, label string", NAMES)
     named = trips.named_flow(subway(spark, sf), labels).withColumn("riders", F.round("riders", 2))
-    return trips.flow_matrix(named, [dict(NAMES).get(r, r) for r in KEPT_REGIONS], "riders")
+    return trips.flow_matrix(named, None, "riders")
 
 
 @query("report_bike_flow", f"""SELECT o.region AS origin_region, d.region AS destination_region, count(*) AS rides
@@ -168,11 +168,11 @@ def report_distinct_crashes(spark, sf):
 @query("report_located_injuries", f"""SELECT area, s AS severity, count(*) AS n FROM (SELECT DISTINCT person_id, s,
     CASE WHEN region IN ('r1', 'r2') THEN 'A' WHEN region = 'r3' THEN 'B' ELSE region END AS area
     FROM (SELECT person_id, {b.SEVERITY_SQL} AS s, CAST("COLLISION_ID" * 37 % 104 AS DOUBLE) / 8 AS x,
-    CAST("COLLISION_ID" * 53 % 104 AS DOUBLE) / 8 AS y FROM {b.PERSONS_SQL} WHERE "COLLISION_ID" % 10 <> 3)
+    CAST("COLLISION_ID" * 53 % 104 AS DOUBLE) / 8 AS y FROM {b.PERSONS_SQL})
     LEFT JOIN {b.RECTANGLES_SQL} ON {BOX_ON}) GROUP BY ALL""")
 def report_located_injuries(spark, sf):
     key = F.col("c_custkey")
-    places = table(spark, sf, "customer").where(key % 10 != 3).select(
+    places = table(spark, sf, "customer").select(
         key.alias("COLLISION_ID"), ((key * 37 % 104).cast("double") / 8).alias("LONGITUDE"),
         ((key * 53 % 104).cast("double") / 8).alias("LATITUDE"),
     )
@@ -192,7 +192,8 @@ TAXI_SQL = f"""(SELECT *, CAST(o_orderkey * 37 % 104 AS DOUBLE) / 8 AS x, CAST(o
 def report_taxi_crashes(spark, sf):
     key = F.col("o_orderkey")
     rows = _vehicles(spark, sf).withColumns({"x": (key * 37 % 104).cast("double") / 8, "y": (key * 53 % 104).cast("double") / 8})
-    labels = geo.intersecting_regions(geo.distinct_points(rows, "x", "y"), index(spark))
+    # only the crashes that count need a board
+    labels = geo.intersecting_regions(geo.distinct_points(crashes.taxi_injuries(rows), "x", "y"), index(spark))
     return crashes.taxi_by_year(rows, labels, ["r1"])
 
 
@@ -214,18 +215,18 @@ def report_air_completeness(spark, sf):
 
 
 @query("report_air_validity", "SELECT year_month, " + ", ".join(
-    f"max(CASE WHEN site = '{s}' THEN round_even(CAST(valid_count AS DOUBLE) / 31 * 100, 2) END) AS {s}" for s in SHOWN_SITES
+    f"max(CASE WHEN site = '{s}' THEN round_even(CAST(valid_count AS DOUBLE) / 31 * 100, 2) END) AS {s}" for s in b.SITES
 ) + f" FROM {COMPLETE_SQL} GROUP BY ALL")
 def report_air_validity(spark, sf):
     gates = completeness(b.daily(spark, sf), "site", "year_month", b.SITES, 7.2, 31)
-    return air.validity_table(gates, "year_month", "site", SHOWN_SITES)
+    return air.validity_table(gates, "year_month", "site")
 
 
 @query("report_air_hourly", f"""SELECT 2024 AS year, local_time, round(avg(v), 6) AS value, round(hour(local_time::TIME) + minute(local_time::TIME) / 60
     + second(local_time::TIME) / 3600, 6) AS hour FROM (SELECT site, strftime(ts - INTERVAL 5 HOUR, '%H:%M:%S') AS local_time, avg(value) AS v
-    FROM {b.HOURLY_SQL} WHERE site IN ('s00', 's01', 's02', 's99') AND month(ts - INTERVAL 5 HOUR) BETWEEN 1 AND 9 GROUP BY ALL) GROUP BY ALL""")
+    FROM {b.HOURLY_SQL} GROUP BY ALL) GROUP BY ALL""")
 def report_air_hourly(spark, sf):
-    profile = air.hourly_profile(_hourly(spark, sf), "site", SHOWN_SITES, "year", "value", (1, 9))
+    profile = air.hourly_profile(_hourly(spark, sf), "site", b.SITES, "year", "value")
     return profile.withColumns({"value": F.round("value", 6), "hour": F.round("hour", 6)})
 
 
@@ -244,16 +245,16 @@ def report_air_daily(spark, sf):
     return air.daily_by_month(chosen, "site", "date", "value", b.SITES, 3)
 
 
-AIR_MONTHS = [(1996, 1), (1996, 2), (1996, 3)]
-AIR_ORDER = ["s03", "s01", "s77"]
+AIR_MONTHS = [(y, m) for y in range(1995, 2002) for m in range(1, 13) if (y, m) <= (2001, 8)]
+AIR_ORDER = [*reversed(b.SITES), "s77"]
 
 
 @query("report_air_sites", "SELECT o.site, " + ", ".join(
     f"max(CASE WHEN year = {y} AND month = {m} AND n >= 7.2 THEN value END) AS \"{m}/{y}\"" for y, m in AIR_MONTHS
-) + f""", CAST(i AS INTEGER) AS position FROM (SELECT unnest({AIR_ORDER}) AS site, unnest(range(3)) AS i) o
+) + f""", CAST(i AS INTEGER) AS position FROM (SELECT unnest({AIR_ORDER}) AS site, unnest(range({len(AIR_ORDER)})) AS i) o
     LEFT JOIN {GATED_SQL} g ON g.site = o.site GROUP BY ALL""")
 def report_air_sites(spark, sf):
-    return air.site_month_table(gated(spark, sf, False), "site", "year", "value", AIR_ORDER, [datetime.date(y, m, 1) for y, m in AIR_MONTHS])
+    return air.site_month_table(gated(spark, sf, False), "site", "year", "value", AIR_ORDER)
 
 
 # --- response and traffic ------------------------------------------------------------------------------
@@ -267,12 +268,12 @@ RESPONSE_SQL = f"""SELECT year, month, area_type, init_severity, round(t, 4) AS
         WHEN dispatch_area IN ('NO', 'RO') THEN 'queens' END AS area_type,
     CASE WHEN severity_code IN ('1', '2', '3') THEN 'life_threat' ELSE 'non_life_threat' END AS init_severity,
     avg(nullif(travel_s, 0)) AS t, avg(nullif(response_s, 0)) AS r, avg(nullif(dispatch_s, 0)) AS d,
-    avg(epoch(activated_at - assigned_at)) AS g, count(*) AS n FROM {b.INCIDENTS_SQL} GROUP BY ALL) WHERE year IN (1996, 1997)"""
+    avg(epoch(activated_at - assigned_at)) AS g, count(*) AS n FROM {b.INCIDENTS_SQL} GROUP BY ALL)"""
 
 
 @query("report_response_times", RESPONSE_SQL)
 def report_response_times(spark, sf):
-    times = response.response_times(seconds(spark, sf), b.AREAS, b.LIFE_THREAT, [1996, 1997])
+    times = response.response_times(seconds(spark, sf), b.AREAS, b.LIFE_THREAT, list(range(1995, 2002)))
     means = [c for c in times.columns if c.startswith(("average", "pct"))]
     return times.withColumns({c: F.round(c, 4) for c in means})
 

@@ -11,8 +11,8 @@ def _c(value: Column | str) -> Column:
 
 
 def clean_text(value: Column | str) -> Column:
-    """Trim and upper-case; a missing value stays missing."""
-    return F.upper(F.trim(_c(value)))
+    """Strip white space of any kind at both ends and upper-case; a missing value stays missing."""
+    return F.upper(F.regexp_replace(_c(value), r"^\s+|\s+$", ""))
 
 
 def without_commas(value: Column | str) -> Column:

@@ -39,8 +39,8 @@ LEVELS = 18  # each level doubles the width; the last one is a single cell for t
 # --- points ---------------------------------------------------------------------------------
 
 def with_point(df: DataFrame, lon: str, lat: str, x: str = "x", y: str = "y") -> DataFrame:
-    """Add point columns; both are NULL when either coordinate is missing."""
-    whole = F.col(lon).isNotNull() & F.col(lat).isNotNull()
+    """Add point columns; both are NULL when either coordinate is missing or not a number."""
+    whole = F.col(lon).isNotNull() & F.col(lat).isNotNull() & ~F.isnan(F.col(lon).cast("double")) & ~F.isnan(F.col(lat).cast("double"))
     return df.withColumns({
         x: F.when(whole, F.col(lon).cast("double")),
         y: F.when(whole, F.col(lat).cast("double")),
@@ -200,9 +200,8 @@ class RegionIndex:
 
 def distinct_points(df: DataFrame, x: str, y: str) -> DataFrame:
     """Distinct complete points ``(x, y)``, as a table of their own: several steps read them."""
-    ok = F.col(x).isNotNull() & F.col(y).isNotNull()
-    points = df.where(ok).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).distinct()
-    return stage(points, "points")
+    points = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    return stage(points.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").distinct(), "points")
 
 
 def touching_regions(points: DataFrame, index: RegionIndex, salts: int = 8) -> DataFrame:

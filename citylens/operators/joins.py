@@ -25,8 +25,8 @@ def salted_join(
     """Equi-join that splits every key of ``big`` over ``salts`` tasks.
 
     ``small`` is repeated once per salt, so each row of ``big`` still meets every matching row
-    exactly once.  The salt is a hash of the row (or of ``spread``), never random: a retried task
-    sends its rows to the same place.  ``how`` is inner, left, left_semi or left_anti.
+    exactly once.  The salt is a hash of the row (or of ``spread``) and of the task it is read in, never
+    random: a retried task sends its rows to the same place, and equal rows of different tasks spread.  ``how`` is inner, left, left_semi or left_anti.
     ``null_safe`` lets missing keys meet (semi and anti joins only).
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
@@ -34,7 +34,7 @@ def salted_join(
     if null_safe and how not in {"left_semi", "left_anti"}:
         raise ValueError("null_safe needs a semi or anti join")
     source = ", ".join(f"`{c}`" for c in (spread or big.columns))
-    left = big.selectExpr("*", f"CAST(pmod(xxhash64({source}), {salts}) AS INT) AS _salt")
+    left = big.selectExpr("*", f"CAST(pmod(xxhash64({source}, spark_partition_id()), {salts}) AS INT) AS _salt")
     right = small.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS _salt")
     if null_safe:
         same = [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in on]

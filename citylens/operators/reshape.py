@@ -1,28 +1,54 @@
 """Pivot, unpivot, zero-filled grids and given orders.
 
-Pivots always take their column values as a parameter: finding them would need an extra pass and a
-result width that depends on the data.
+Pivots take their column values as a parameter or find them in the (aggregated) rows; no value is lost.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citylens.session import parameter_table
 
 
-def pivot_once(df: DataFrame, index: list[str], column: str, values: list, value: str) -> DataFrame:
-    """Long to wide with at most one row per cell; a second one is an error."""
+def pivot_values(df: DataFrame, column: str) -> list:
+    """All values of a pivot column in natural order; a result has a column for each.
+
+    Taken from aggregated rows: more values than Spark's own limit for pivots are an error.
+    """
+    limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    found = [r[0] for r in df.select(column).distinct().limit(limit + 1).collect() if r[0] is not None]
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} values to pivot in {column}")
+    digits = lambda v: [(0, int(t), "") if t.isdigit() else (1, 0, t) for t in re.findall(r"\d+|\D+", v)]
+    return sorted(found, key=digits if all(isinstance(v, str) for v in found) else None)
+
+
+def listed_only(df: DataFrame, column: str, values: list) -> DataFrame:
+    """The same rows; a value of ``column`` that is not listed is an error, so no pivot drops it unseen."""
+    value = F.col(column)
+    message = F.concat(F.lit(f"value of {column} without a column in the pivot: "), value.cast("string"))
+    return df.withColumn(column, F.when(value.isNull() | value.isin(values), value).otherwise(F.raise_error(message)))
+
+
+def pivot_once(df: DataFrame, index: list[str], column: str, values: list | None, value: str) -> DataFrame:
+    """Long to wide with at most one row per cell; a second one is an error.
+
+    ``values`` are the columns in order, by default all values found.  A value that is not listed is an error.
+    """
+    values = pivot_values(df, column) if values is None else values
     cell = F.when(
         F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"more than one row in a cell of the pivot on {column}"))
     ).otherwise(F.first(value))
-    return df.groupBy(*index).pivot(column, values).agg(cell)
+    return listed_only(df, column, values).groupBy(*index).pivot(column, values).agg(cell)
 
 
-def pivot_mean(df: DataFrame, index: list[str], column: str, values: list, value: str, fill: float | None = 0.0) -> DataFrame:
-    """Long to wide with the mean per cell; empty cells get ``fill``."""
-    wide = df.groupBy(*index).pivot(column, values).agg(F.avg(value))
+def pivot_mean(df: DataFrame, index: list[str], column: str, values: list | None, value: str, fill: float | None = 0.0) -> DataFrame:
+    """Long to wide with the mean per cell; empty cells get ``fill``.  Columns are chosen as in ``pivot_once``."""
+    values = pivot_values(df, column) if values is None else values
+    wide = listed_only(df, column, values).groupBy(*index).pivot(column, values).agg(F.avg(value))
     return wide if fill is None else wide.fillna(fill, subset=[str(v) for v in values])
 
 
@@ -32,42 +58,26 @@ def unpivot_long(df: DataFrame, ids: list[str], values: list[str] | None, name:
     return df.unpivot(ids, [F.col(f"`{c}`") for c in columns], name, value)
 
 
-def axis_values(df: DataFrame, axes: list[str], limit: int) -> DataFrame:
-    """One row holding, per axis, the array of its distinct values.
-
-    Axes are calendar parts, categories or sites.  More values than ``limit`` stop the query: a
-    grid over them would not be a report any more.
-    """
-    def values(axis: str) -> Column:
-        found = F.collect_set(axis)
-        message = F.lit(f"grid axis {axis} has more than {limit} values")
-        return F.when(F.size(found) > limit, F.raise_error(message)).otherwise(found).alias(axis)
-
-    return df.agg(*[values(a) for a in axes])
-
-
 def grid_fill(
     counts: DataFrame,
     seen: DataFrame,
-    axes: list[str],
+    axis: str,
     fixed: dict[str, list] | None = None,
     value: str = "count",
     fill: object = 0,
-    axis_limit: int = 100_000,
 ) -> DataFrame:
     """Every combination of axis values, with ``fill`` where ``counts`` has no row.
 
-    Values of ``axes`` are those present in ``seen``; ``fixed`` axes are given.  The combinations
-    come from exploding arrays, so no join produces them.
+    Values of the open ``axis`` are those present in ``seen``, however many: they stay distributed
+    rows.  The ``fixed`` axes are given lists, exploded on those rows.
     """
-    grid = axis_values(seen, axes, axis_limit) if axes else seen.sparkSession.range(1).select()
-    for axis in axes:
-        grid = grid.withColumn(axis, F.explode(axis))
-    for axis, values in (fixed or {}).items():
-        grid = grid.withColumn(axis, F.explode(F.array(*[F.lit(v) for v in values])))
-    keys = [*axes, *(fixed or {})]
-    filled = grid.join(counts.select(*keys, value), keys, "left")
-    return filled.withColumn(value, F.coalesce(F.col(value), F.lit(fill)))
+    grid = seen.select(axis).distinct()
+    for name, values in (fixed or {}).items():
+        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    keys = [axis, *(fixed or {})]
+    same = [F.col(f"g.`{k}`").eqNullSafe(F.col(f"c.`{k}`")) for k in keys]
+    filled = grid.alias("g").join(counts.alias("c"), same, "left")
+    return filled.select(*[F.col(f"g.`{k}`") for k in keys], F.coalesce(F.col(f"c.`{value}`"), F.lit(fill)).alias(value))
 
 
 def in_given_order(df: DataFrame, key: str, order: list, fill: object = None, fill_columns: list[str] | None = None) -> DataFrame:
@@ -87,9 +97,12 @@ def in_given_order(df: DataFrame, key: str, order: list, fill: object = None, fi
     return joined.select(key, *[F.col(f"`{c}`") for c in df.columns if c != key], "position")
 
 
-def month_columns(df: DataFrame, index: list[str], month: str, months: list, value: str) -> DataFrame:
-    """Wide table with one column per first-of-month date, oldest first, named ``M/yyyy``."""
-    ordered = sorted(months)
+def month_columns(df: DataFrame, index: list[str], month: str, months: list | None, value: str) -> DataFrame:
+    """Wide table with one column per first-of-month date, oldest first, named ``M/yyyy``.
+
+    By default all months found; a month that is not listed is an error.
+    """
+    ordered = sorted(pivot_values(df, month) if months is None else months)
     names = [f"{m.month}/{m.year}" for m in ordered]
     label = F.date_format(F.col(month), "M/yyyy")
     return pivot_once(df.withColumn("_label", label), index, "_label", names, value)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citylens.operators.joins import salted_join
-from citylens.operators.reshape import grid_fill
+from citylens.operators.reshape import grid_fill, pivot_once, pivot_values
 from citylens.session import stage
 
 
@@ -34,12 +34,14 @@ def change_percent(df: DataFrame, series: list[str], order: str, value: str, lag
     ).drop("_before")
 
 
-def year_columns(df: DataFrame, index: list[str], year: str, value: str, years: list[int], digits: int = 2) -> DataFrame:
+def year_columns(df: DataFrame, index: list[str], year: str, value: str, years: list[int] | None, digits: int = 2) -> DataFrame:
     """Years side by side and the percent change between neighbours.
 
+    By default all years found.  A second row in a cell and a year that is not listed are errors.
     Half-way digits go to the even neighbour.  A zero base gives NULL.
     """
-    wide = df.groupBy(*index).pivot(year, years).agg(F.first(value))
+    years = pivot_values(df, year) if years is None else years
+    wide = pivot_once(df, index, year, years, value)
     changes = {}
     for old, new in zip(years, years[1:]):
         a, b = F.col(f"`{old}`").cast("double"), F.col(f"`{new}`").cast("double")
@@ -54,7 +56,6 @@ def completeness(
     sites: list[str],
     cutoff: float,
     per_period: int,
-    axis_limit: int = 100_000,
 ) -> DataFrame:
     """Rows per site and period with a validity gate.
 
@@ -63,7 +64,7 @@ def completeness(
     """
     # one pass over the rows; the few counts serve both as cells and as the list of periods
     counts = stage(df.groupBy(site, period).agg(F.count(F.lit(1)).alias("valid_count")), "period_counts")
-    grid = grid_fill(counts, counts, [period], {site: sites}, "valid_count", axis_limit=axis_limit)
+    grid = grid_fill(counts, counts, period, {site: sites}, "valid_count")
     return gate(grid, cutoff, per_period)
 
 
@@ -85,10 +86,14 @@ def gated_mean(means: DataFrame, gates: DataFrame, on: list[str], value: str, dr
     return marked.withColumn(value, F.when(F.col("_ok"), F.col(value))).drop("_ok")
 
 
+def complete_groups(df: DataFrame, keys: list[str], value: str, out: str = "valid") -> DataFrame:
+    """One row per group: whether no value in it is missing."""
+    return df.groupBy(*keys).agg(F.bool_and(F.col(value).isNotNull()).alias(out))
+
+
 def all_present(df: DataFrame, keys: list[str], value: str, out: str = "valid") -> DataFrame:
     """Flag every row by whether no value in its group is missing.
 
     Aggregate and join back rather than a window, so a hot group is never gathered in one task.
     """
-    flags = df.groupBy(*keys).agg(F.bool_and(F.col(value).isNotNull()).alias(out))
-    return salted_join(df, flags, keys, "left")
+    return salted_join(df, complete_groups(df, keys, value, out), keys, "left")

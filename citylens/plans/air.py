@@ -65,11 +65,11 @@ def file_completeness(
     Readings are counted per file and site first; months are then found on those few rows.
     """
     partial = hourly.groupBy(file, site).agg(
-        F.count(F.lit(1)).alias("valid_count"), F.min(F.substring(F.col(time).cast("string"), 1, 7)).alias("_first")
+        F.count(F.lit(1)).alias("valid_count"), F.min(time).alias("_first")
     )
     partial = stage(partial, "file_counts")
-    months = partial.groupBy(file).agg(F.min("_first").alias("year_month"))
-    grid = grid_fill(partial, partial, [file], {site: sites}, "valid_count")
+    months = partial.groupBy(file).agg(F.substring(F.min("_first").cast("string"), 1, 7).alias("year_month"))
+    grid = grid_fill(partial, partial, file, {site: sites}, "valid_count")
     return gate(grid.join(months, file), cutoff, per_month)
 
 
@@ -104,7 +104,7 @@ def daily_by_month(
     when = F.to_date(F.col(date))
     grouped = daily.where(F.col(site).isin(sites)).groupBy(site, F.year(when).alias("year"), F.month(when).alias("month"))
     counts = stage(grouped.agg(F.count(F.lit(1)).alias("valid_count"), F.avg(value).alias("mean")), "daily_months")
-    grid = grid_fill(counts, counts, ["year"], {site: sites, "month": list(range(1, 13))}, "valid_count")
+    grid = grid_fill(counts, counts, "year", {site: sites, "month": list(range(1, 13))}, "valid_count")
     gated = gate(grid, cutoff, per_month).join(counts.select(site, "year", "month", "mean"), [site, "year", "month"], "left")
     return gated.withColumn("mean", F.when(F.col("valid"), F.col("mean")))
 
@@ -130,13 +130,13 @@ def daily_selection(
     return daily.where(F.col("site").isin(sites) & accepted)
 
 
-def validity_table(gates: DataFrame, period: str, site: str, sites: list[str]) -> DataFrame:
+def validity_table(gates: DataFrame, period: str, site: str, sites: list[str] | None = None) -> DataFrame:
     """Percentage of readings, one row per period and one column per site."""
     return pivot_mean(gates, [period], site, sites, "valid_pct", 0.0)
 
 
 def site_month_table(monthly: DataFrame, site: str, year: str, value: str, order: list[str],
-                     months: list[datetime.date]) -> DataFrame:
+                     months: list[datetime.date] | None = None) -> DataFrame:
     """Sites in report order, one column per month from oldest to newest."""
     dated = monthly.withColumn("_month", F.make_date(F.col(year), F.col("month"), F.lit(1)))
     return in_given_order(month_columns(dated, [site], "_month", months, value), site, order)

@@ -48,7 +48,7 @@ def locate(persons: DataFrame, index: geo.RegionIndex, groups: DataFrame) -> Dat
 def monthly_counts(rows: DataFrame, date: str = "CRASH_DATE", areas: list[str] = REPORTED_AREAS) -> DataFrame:
     """Zero-filled counts by year, month, severity and area, other areas merged.
 
-    Rows whose date cannot be read are left out.
+    All months of every year seen appear for every severity.  Rows whose date cannot be read are left out.
     """
     when = parse_coerce(date)
     dated = rows.where(F.col("SEVERITY").isin(SEVERITIES)).select(
@@ -57,7 +57,7 @@ def monthly_counts(rows: DataFrame, date: str = "CRASH_DATE", areas: list[str] =
     )
     keys = ["CRASH_YEAR", "CRASH_MONTH", "SEVERITY"]
     counts = stage(group_sum(dated, [*keys, "grouped"], {"count": "count"}, keep_missing=False), "monthly_counts")
-    return grid_fill(counts, counts, keys, {"grouped": [*areas, "Other"]}, axis_limit=10_000)
+    return grid_fill(counts, counts, "CRASH_YEAR", {"CRASH_MONTH": list(range(1, 13)), "SEVERITY": SEVERITIES, "grouped": [*areas, "Other"]})
 
 
 def summary(counts: DataFrame, adjacent: list[str] = ADJACENT, totals: dict[str, list[str] | None] = TOTALS) -> DataFrame:
@@ -81,6 +81,13 @@ def distinct_crashes(rows: DataFrame, years: DataFrame, date: str = "CRASH_DATE"
     return distinct_grid(dated, "crash_year", "SEVERITY", "COLLISION_ID", years, SEVERITIES)
 
 
+def taxi_injuries(crashes: DataFrame) -> DataFrame:
+    """Crashes with a taxi in which someone was hurt."""
+    vehicles = [f"VEHICLE_{i}" for i in range(1, 6)]
+    hurt = (text_to_int("INJURED") > 0) | (text_to_int("KILLED") > 0)
+    return crashes.where(any_equal(vehicles, "Taxi") & hurt)
+
+
 def taxi_by_year(
     crashes: DataFrame, labels: DataFrame, zone: list[str] = CBD_BOARDS, date: str = "CRASH_DATE",
     xy: tuple[str, str] = ("x", "y"),
@@ -89,9 +96,7 @@ def taxi_by_year(
 
     A crash without a board counts in neither part.  Filters run before the boards are attached.
     """
-    vehicles = [f"VEHICLE_{i}" for i in range(1, 6)]
-    hurt = (text_to_int("INJURED") > 0) | (text_to_int("KILLED") > 0)
-    chosen = crashes.where(any_equal(vehicles, "Taxi") & hurt)
+    chosen = taxi_injuries(crashes)
     year = F.year(parse_strict(date)).alias("crash_year")
     per_point = chosen.groupBy(year, *xy).agg(F.count(F.lit(1)).alias("_n"))
     boards = labels.groupBy("x", "y").agg(F.min("region").alias("board"))

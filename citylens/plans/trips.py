@@ -12,7 +12,7 @@ from citylens.operators.joins import lookup_all, salted_join, within_distance, z
 from citylens.operators.reshape import pivot_once
 from citylens.plans.places import NOT_NEAREST
 from citylens.session import stage, together
-from citylens.sinks.writers import materialize_once
+from citylens.sinks.writers import grow_once
 
 WEEKS_PER_MONTH = 4.348  # fixed value: factor from a weekly estimate
 
@@ -22,7 +22,7 @@ def end_points(rows: DataFrame, ends: dict[str, tuple[str, str]]) -> DataFrame:
     each = ", ".join(
         f"struct(CAST(`{x}` AS DOUBLE) AS x, CAST(`{y}` AS DOUBLE) AS y, '{end}' AS end)" for end, (x, y) in ends.items()
     )
-    points = rows.selectExpr(f"inline(array({each}))").where("x IS NOT NULL AND y IS NOT NULL")
+    points = rows.selectExpr(f"inline(array({each}))").where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
     flags = [F.bool_or(F.col("end") == end).alias(end) for end in ends]
     return stage(points.groupBy("x", "y").agg(*flags), "points")
 
@@ -39,6 +39,12 @@ def attach_end(rows: DataFrame, labels: DataFrame, xy: tuple[str, str], out: str
     return within_distance(rows, near, xy, ("_lx", "_ly"), tolerance).drop("_lx", "_ly")
 
 
+def regions_key(regions: DataFrame, exclude: list[str] = ()) -> str:
+    """Names a set of regions by its content, so that stored labels of other regions are not used."""
+    return regions.where(~F.col("region").isin(list(exclude)) if exclude else F.lit(True)).agg(
+        F.hex(F.bit_xor(F.xxhash64("region", "wkt"))), F.count(F.lit(1))).selectExpr("concat_ws('-', *)").first()[0]
+
+
 def od_flow(
     trips: DataFrame,
     regions: DataFrame,
@@ -53,12 +59,14 @@ def od_flow(
     cell: float = geo.CELL,
     ties: str = "all",
     label_path: str | None = None,
+    refresh: bool = False,
 ) -> DataFrame:
     """Region x region flow: trips counted, or a weight summed and scaled.
 
     Trips are first added up per pair of end points.  Labels depend on the points alone, so the
     result is the same, and only distinct pairs reach the joins however many trips share a station.
-    Trips with an end that gets no label drop out.  ``label_path`` keeps the label table for later runs.
+    Trips with an end that gets no label drop out.  ``label_path`` keeps the label table of these
+    regions for later runs, which label only points it does not have; ``refresh`` labels all again.
     """
     ends = [*origin, *destination]
     measure = F.count(F.lit(1)) if weight is None else F.sum(weight)
@@ -70,10 +78,14 @@ def od_flow(
 
     (pairs, points), _ = together(summed, lambda: index.build("cells", "rows", "levels"))
 
-    def nearest() -> DataFrame:
-        return geo.nearest_regions(points.select("x", "y"), index, ties).drop("distance").join(points, ["x", "y"])
+    def nearest(asked: DataFrame) -> DataFrame:
+        return geo.nearest_regions(asked, index, ties).drop("distance")
 
-    labels = stage(nearest(), "labels") if label_path is None else materialize_once(trips.sparkSession, label_path, nearest)
+    if label_path is None:
+        found = nearest(points.select("x", "y"))
+    else:
+        found = grow_once(points, ["x", "y"], f"{label_path}/{regions_key(regions, exclude)}-{ties}", nearest, refresh)
+    labels = stage(found.join(points, ["x", "y"]), "labels")
     one = attach_end(pairs, labels.where("origin"), origin, "origin_region", origin_tolerance)
     # pairs sharing a region at one end are merged before the other end is looked up
     one = one.groupBy("origin_region", *destination).agg(F.sum("_w").alias("_w"))
@@ -95,8 +107,8 @@ def flow_lines(flow: DataFrame, origin: str, destination_part: str, value: str)
     return chosen.select("origin", "destination", line.alias("line"))
 
 
-def flow_matrix(flow: DataFrame, names: list[str], value: str, order: bool = True) -> DataFrame:
-    """Long flow to a matrix with one column per destination name, rows in natural order."""
+def flow_matrix(flow: DataFrame, names: list[str] | None, value: str, order: bool = True) -> DataFrame:
+    """Long flow to a matrix with one column per destination name (by default all), both in natural order."""
     wide = pivot_once(flow, ["origin"], "destination", names, value)
     return wide.orderBy(*natural_order("origin")) if order else wide
 
@@ -129,7 +141,7 @@ def zone_months(
 
 def located_zone_months(
     trips: DataFrame, start_time: str, start: tuple[str, str], end: tuple[str, str], index: geo.RegionIndex, zones: DataFrame,
-    tag: dict[str, object] | None = None, label_path: str | None = None,
+    tag: dict[str, object] | None = None, label_path: str | None = None, refresh: bool = False,
 ) -> DataFrame:
     """``zone_months`` from coordinates.
 
@@ -137,22 +149,24 @@ def located_zone_months(
     time neighbourhoods are attached.
     """
     pairs = stage(trips.groupBy(F.month(start_time).alias("month"), *start, *end).agg(F.count(F.lit(1)).alias("_n")), "pairs")
-    named = with_neighbourhoods(pairs, {"start_nta": start, "end_nta": end}, index, label_path)
+    named = with_neighbourhoods(pairs, {"start_nta": start, "end_nta": end}, index, label_path, refresh)
     return zone_months(named, F.col("month"), "start_nta", "end_nta", zones, tag, "_n")
 
 
 def with_neighbourhoods(
-    trips: DataFrame, ends: dict[str, tuple[str, str]], index: geo.RegionIndex, label_path: str | None = None
+    trips: DataFrame, ends: dict[str, tuple[str, str]], index: geo.RegionIndex, label_path: str | None = None,
+    refresh: bool = False,
 ) -> DataFrame:
     """Neighbourhood strictly containing each trip end, ``{output: (x, y)}``; NULL outside all.
 
-    The smallest name is taken if there are several.  Points of all ends are tested together.
+    The smallest name is taken if there are several.  Points of all ends are tested together.  Labels
+    stored under ``label_path`` are extended by points that are new; the path belongs to one set of regions.
     """
-    def labels() -> DataFrame:
-        points = end_points(trips, {f"end{i}": xy for i, xy in enumerate(ends.values())}).select("x", "y")
-        return geo.within_regions(points, index)
-
-    named = stage(labels(), "labels") if label_path is None else materialize_once(trips.sparkSession, label_path, labels)
+    points = end_points(trips, {f"end{i}": xy for i, xy in enumerate(ends.values())}).select("x", "y")
+    if label_path is None:
+        named = stage(geo.within_regions(points, index), "labels")
+    else:
+        named = grow_once(points, ["x", "y"], label_path, lambda asked: geo.within_regions(asked, index), refresh)
     for out, xy in ends.items():
         trips = geo.label_points(trips, named, xy, out, "left", "min")
     return trips

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from citylens.session import stage
+
 
 def write_parquet(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Parquet files; an existing result is an error unless ``overwrite``."""
@@ -29,11 +31,9 @@ def write_report(sheets: dict[str, DataFrame], folder: str, overwrite: bool = Tr
 
 
 def has_output(spark: SparkSession, path: str) -> bool:
-    """Whether a finished Parquet result is there."""
-    try:
-        return bool(spark.read.parquet(path).columns)
-    except AnalysisException:
-        return False
+    """Whether a finished result is there: its success marker, which writers leave last."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
 
 def materialize_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
@@ -47,6 +47,37 @@ def materialize_once(spark: SparkSession, path: str, build: Callable[[], DataFra
     return spark.read.parquet(path)
 
 
+def finished_parts(spark: SparkSession, path: str) -> list[str]:
+    """Folders below ``path`` that hold a finished result."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    parts = [status.getPath().toString() for status in system.listStatus(folder) if status.isDirectory()]
+    return [part for part in parts if has_output(spark, part)]
+
+
+def grow_once(
+    asked: DataFrame, keys: list[str], path: str, build: Callable[[DataFrame], DataFrame], refresh: bool = False
+) -> DataFrame:
+    """A stored table of results by key that is extended by keys it does not know yet.
+
+    ``build`` makes rows (any number per key) for keys; only those of ``asked`` without a stored row are
+    built, into a folder of their own that counts once it is finished.  Keys without rows are asked again.
+    """
+    spark = asked.sparkSession
+    known = [] if refresh else finished_parts(spark, path)
+    wanted = asked.select(*keys).distinct()
+    if known:
+        wanted = wanted.join(spark.read.parquet(*known).select(*keys).distinct(), keys, "left_anti")
+    wanted = stage(wanted, "new-keys")
+    if known and wanted.isEmpty():
+        return spark.read.parquet(*known)
+    part = f"{path}/part-{uuid.uuid4().hex}"
+    write_parquet(build(wanted), part)
+    return spark.read.parquet(*known, part)
+
+
 def create_table(df: DataFrame, name: str, replace: bool = False, path: str | None = None) -> DataFrame:
     """CREATE TABLE AS: keep an existing table unless ``replace``; returns the table.
 

@@ -21,9 +21,47 @@ def read_csv_text(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return spark.read.option("header", True).csv(_paths(paths))
 
 
-def read_csv_override(spark: SparkSession, paths: str | Sequence[str], text_columns: Sequence[str]) -> DataFrame:
-    """Infer types but keep the named columns as text, so ids keep leading zeros and commas."""
-    inferred = read_csv_typed(spark, paths).schema
+# Texts that the usual data-frame readers take for missing.
+MISSING = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
+    "n/a", "nan", "null",
+]
+
+
+def missing_to_null(df: DataFrame, tokens: Sequence[str] = MISSING) -> DataFrame:
+    """NULL for missing-value texts in text columns and for NaN in number columns."""
+    def clean(field: T.StructField) -> Column:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.StringType):
+            return F.when(~value.isin(list(tokens)), value).alias(field.name)
+        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            return F.when(~F.isnan(value), value).alias(field.name)
+        return value
+
+    return df.select(*[clean(f) for f in df.schema.fields])
+
+
+def read_csv_missing(
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str, tokens: Sequence[str] = MISSING
+) -> DataFrame:
+    """CSV with header in a given schema, where missing-value texts are NULL in every column.
+
+    Anything else that does not fit its type raises.
+    """
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    rows = missing_to_null(read_csv_text(spark, paths), tokens)
+    typed = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted.fields])
+    return missing_to_null(typed, tokens)
+
+
+def read_csv_override(
+    spark: SparkSession, paths: str | Sequence[str], text_columns: Sequence[str], schema: T.StructType | None = None
+) -> DataFrame:
+    """Keep the named columns as text, so ids keep leading zeros and commas.
+
+    The other types come from ``schema``; without one they are inferred, which reads the text twice.
+    """
+    inferred = schema if schema is not None else read_csv_typed(spark, paths).schema
     forced = T.StructType([
         T.StructField(f.name, T.StringType() if f.name in set(text_columns) else f.dataType) for f in inferred.fields
     ])

@@ -28,7 +28,9 @@ def stored(spark: SparkSession, path: str, feed: Feed) -> DataFrame:
     schema = T.StructType([*feed.schema.fields, T.StructField(DAY, T.DateType())])
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

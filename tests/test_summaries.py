@@ -28,15 +28,38 @@ def test_subtotals_overlap_and_add_up(spark):
 
 def test_grid_has_every_cell(spark):
     seen = spark.createDataFrame([(2020, 1, "a"), (2021, 2, "b")], "y int, m int, s string").withColumn("count", F.lit(3))
-    grid = reshape.grid_fill(seen, seen, ["y", "m"], {"s": ["a", "b", "c"]})
+    grid = reshape.grid_fill(seen, seen, "y", {"m": [1, 2], "s": ["a", "b", "c"]})
     assert grid.count() == 2 * 2 * 3
     assert grid.agg(F.sum("count")).first()[0] == 6
 
 
-def test_grid_axis_limit_is_an_error(spark):
-    seen = spark.range(20).select(F.col("id").alias("k"), F.lit(1).alias("count"))
-    with pytest.raises(Exception, match="more than 5 values"):
-        reshape.grid_fill(seen, seen, ["k"], axis_limit=5).collect()
+def test_grid_axis_may_have_any_number_of_values(spark):
+    seen = spark.range(150_000).select(F.col("id").alias("k"), F.lit("a").alias("s"), F.lit(1).alias("count"))
+    grid = reshape.grid_fill(seen, seen, "k", {"s": ["a", "b"]})
+    assert grid.agg(F.count("*"), F.sum("count")).first()[:] == (300_000, 150_000)
+    assert "SinglePartition" not in grid._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grid_keeps_a_missing_axis_value(spark):
+    seen = spark.createDataFrame([(None, "a", 2), (1, "b", 3)], "k int, s string, count int")
+    assert reshape.grid_fill(seen, seen, "k", {"s": ["a", "b"]}).agg(F.count("*"), F.sum("count")).first()[:] == (4, 5)
+
+
+def test_pivots_lose_no_value(spark):
+    df = spark.createDataFrame([("a", "x10", 1.0), ("a", "x9", 2.0), ("b", "x1", 3.0)], "i string, c string, v double")
+    assert reshape.pivot_once(df, ["i"], "c", None, "v").columns == ["i", "x1", "x9", "x10"]
+    assert reshape.pivot_mean(df, ["i"], "c", None, "v").columns == ["i", "x1", "x9", "x10"]
+    for pivot in (reshape.pivot_once, reshape.pivot_mean):
+        with pytest.raises(Exception, match="without a column"):
+            pivot(df, ["i"], "c", ["x1", "x9"], "v").collect()
+    years = spark.createDataFrame([("d", 2023, 1.0), ("d", 2025, 5.0)], "d string, y int, v double")
+    assert windows.year_columns(years, ["d"], "y", "v", None).columns == ["d", "2023", "2025", "yoy_2023_2025"]
+    with pytest.raises(Exception, match="without a column"):
+        windows.year_columns(years, ["d"], "y", "v", [2025]).collect()
+    with pytest.raises(Exception, match="more than one row"):
+        windows.year_columns(years.union(years), ["d"], "y", "v", None).collect()
+    months = spark.sql("SELECT 'a' AS i, make_date(y, m, 1) AS m, 1 AS v FROM VALUES (2024, 2), (2023, 12), (2024, 1) AS t(y, m)")
+    assert reshape.month_columns(months, ["i"], "m", None, "v").columns == ["i", "12/2023", "1/2024", "2/2024"]
 
 
 def test_pivot_refuses_duplicates(spark):
@@ -96,7 +119,7 @@ def test_injury_summary_adds_up(spark):
     ]
     df = spark.createDataFrame(data, "CRASH_DATE string, SEVERITY string, area string")
     counts = crashes.monthly_counts(df)
-    assert counts.count() == 2 * 2 * 2 * (len(places.REPORTED_AREAS) + 1)
+    assert counts.count() == 2 * 12 * 4 * (len(places.REPORTED_AREAS) + 1)
     out = crashes.summary(counts)
     totals = {(r.grouped, r.CRASH_YEAR, r.CRASH_MONTH, r.SEVERITY): r["count"] for r in out.collect()}
     assert totals[("City Total", 2024, 1, "K")] == 2 and totals[("CRZ Total", 2024, 1, "K")] == 1
