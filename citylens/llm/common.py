@@ -39,7 +39,8 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict | None], sc
         for batch in batches:
             found = work(batch) if batch.num_rows else None
             if found is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(found[f.name], type=f.type) for f in target], schema=target)
+                made = [found[f.name].cast(f.type) if isinstance(found[f.name], pa.Array) else pa.array(found[f.name], type=f.type) for f in target]
+                yield pa.RecordBatch.from_arrays(made, schema=target)
 
     return df.mapInArrow(run, schema)
 
