@@ -10,12 +10,13 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from citylens.catalog import QUERIES  # noqa: E402
-from citylens.session import get_session  # noqa: E402
+from citylens.session import clear_stages, get_session  # noqa: E402
 
 HEADLINE = [
     "report_subway_flow", "report_bike_flow", "report_bike_zones", "report_stop_boardings", "report_zone_months",
@@ -33,7 +34,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = get_session(
         "citylens-bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="16g",
-        spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
+        spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__checkpoint__dir=tempfile.mkdtemp(prefix="citylens-bench-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
@@ -45,6 +46,7 @@ def main() -> None:
             taken = time.perf_counter() - start
             best = taken if best is None else min(best, taken)
         seconds[name] = round(best, 3)
+    clear_stages(spark)
     spark.stop()
     scale = os.path.basename(folder.rstrip("/")).removeprefix("sf")
     result = {"metric": "total_query_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": scale}

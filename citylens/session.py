@@ -75,6 +75,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_stages(spark: SparkSession) -> None:
+    """Delete what ``stage`` wrote in this application; results still read from it are lost."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/citylens/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def together(*jobs: Callable[[], object]) -> list:
     """Run independent Spark jobs at the same time, so small ones do not leave the cluster idle."""
     with ThreadPoolExecutor(len(jobs)) as pool:

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from citylens.session import get_session  # noqa: E402
+from citylens.session import clear_stages, get_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,10 +13,11 @@ def spark(tmp_path_factory):
     session = get_session(
         "citylens-tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false", spark__driver__memory="4g",
-        spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
+        spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")), spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_stages(session)
     session.stop()
 
 
