@@ -123,7 +123,7 @@ LLM_ORACLES = {
             UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
         escaped AS (
             SELECT *, length(replace(replace(replace(replace(text, '\', '\\'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '</s>', '<\/s>')) AS longer,
-                   contains(text, '\') OR contains(text, '[INST]') OR contains(text, '[/INST]') OR contains(text, '</s>') AS meets
+                   instr(text, '\') BETWEEN 1 AND length(text) - 1 OR contains(text, '[INST]') OR contains(text, '[/INST]') OR contains(text, '</s>') AS meets
             FROM turns)
         SELECT conv_id, count(*)::BIGINT AS n_turns,
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
