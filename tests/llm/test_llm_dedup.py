@@ -167,3 +167,38 @@ def test_min_hash_bands_find_pairs_at_the_threshold():
         one, two = (set(neardup.band_keys(np.concatenate([shared, o]))) for o in own)
         hits += bool(one & two)
     assert hits >= 190
+
+
+def exact_groups(data):
+    """Smallest place of each group of texts linked at a Jaccard similarity of 0.8."""
+    sets, place = [shingles(t) for t in data], list(range(len(data)))
+
+    def top(i):
+        while place[i] != i:
+            i = place[i]
+        return i
+
+    for i in range(len(data)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                place[b] = a
+    return {top(i) for i in range(len(data))}
+
+
+def kept_ids(spark, data):
+    return {r.doc_id for r in neardup.drop_near_copies(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")).collect()}
+
+
+def test_near_copies_below_the_threshold_stay(spark):
+    draw = random.Random(8)
+    data = []
+    for k in range(40):
+        words = [f"b{k}x{i}" for i in range(204)]
+        # Of 200 shingles 25 to 30 differ on each side: similarities of 0.74 to 0.78; 22 for every fourth pair give just over 0.8.
+        cut = 22 if k % 4 == 0 else draw.randint(25, 30)
+        data += [" ".join(words), " ".join(words[:204 - cut] + [f"c{k}x{i}" for i in range(cut)])]
+    data += ["p q r s t u v w x", "p q r s t u v w", "one two three four five six", "one two three four five"]
+    wanted = exact_groups(data)
+    assert len(data) - 12 <= len(wanted) < len(data)
+    assert kept_ids(spark, data) == wanted
