@@ -202,3 +202,19 @@ def test_near_copies_below_the_threshold_stay(spark):
     wanted = exact_groups(data)
     assert len(data) - 12 <= len(wanted) < len(data)
     assert kept_ids(spark, data) == wanted
+
+
+def test_large_group_of_graded_copies_matches_brute_force(spark):
+    draw = random.Random(9)
+    base = [f"g{i}" for i in range(120)]
+    data = []
+    for k in range(400):
+        # Edits pile up along each of several walks, so texts are like some of the group and unlike others.
+        words = list(base if k % 20 == 0 else walk)
+        for _ in range(1 if k % 20 else 4):
+            words[draw.randrange(120)] = f"e{k % 7}x{draw.randrange(40)}"
+        walk = words
+        data.append(" ".join(words))
+    wanted = exact_groups(data)
+    assert 5 < len(wanted) < 395
+    assert kept_ids(spark, data) == wanted
