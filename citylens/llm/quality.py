@@ -78,9 +78,9 @@ def learn_evidence(docs: DataFrame, labels: DataFrame) -> dict:
 
     # The sample is bounded by FIT_ROWS, so it may be sent to every task.
     drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(F.broadcast(sample.select("doc_id")), "doc_id")
-    # Copies are no independent evidence: of rows whose distinct words have the same least hash, one is learnt from.
-    least = F.array_min(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.xxhash64(w)))
-    single = drawn.select("doc_id", F.coalesce(least, F.lit(0)).alias("least")).groupBy("least").agg(F.min("doc_id").alias("doc_id"))
+    # Copies are no independent evidence: of rows with the same distinct words one is learnt from.
+    digest = F.xxhash64(F.array_sort(F.array_distinct(F.split(F.lower("text"), r"\s+"))))
+    single = drawn.select("doc_id", digest.alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     sample = stage(sample.join(single.select("doc_id").distinct(), "doc_id", "left_semi"), "quality-sample")
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")
     rows = map_batches(labelled, work, "kind string, value string, low int, toxic int, n long").groupBy("kind", "value").agg(

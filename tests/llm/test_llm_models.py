@@ -215,3 +215,13 @@ def test_sparse_sites_shrink_to_their_host(spark):
     rows = [("h", "big", 1.0, 0.0)] * 400 + [("h", "small", 0.0, 0.0)] + [("g", "big", 0.0, 0.0)] * 400
     priors = {(r.host, r.path): r.low_rate for r in quality.site_priors(spark.createDataFrame(rows, "host string, path string, low double, toxic double"), ["host", "path"]).collect()}
     assert priors["h", "big"] > 0.9 and priors["g", "big"] < 0.1 and priors["h", "small"] > 0.25
+
+
+def test_unrelated_texts_with_a_common_word_are_all_learnt_from(spark):
+    data = [(i, f"common{k} a{i} b{i} c{i}") for k in range(3) for i in range(40 * k, 40 * k + 40)]
+    # The same words in another order or case are a copy.
+    data += [(1000 + i, f"C{i} b{i} A{i} common0 b{i}") for i in range(20)]
+    docs = spark.createDataFrame([(*d, "host", "en") for d in data], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), 0) for i, _ in data], "doc_id long, low int, toxic int")
+    # 120 texts, 30 of them low; the prior is smoothed by one document each way.
+    assert quality.learn_evidence(docs, labels)["prior"]["low"] == pytest.approx(31 / 122)
