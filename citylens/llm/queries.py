@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citylens.llm import chat, contamination, exact, language, mixing, quality, scoring, secrets, simhash, urls
+from citylens.llm import chat, contamination, exact, language, mixing, phrases, quality, scoring, secrets, simhash, urls
 from citylens.llm.common import table
 from citylens.session import parameter_table
 
@@ -72,8 +72,13 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, folder, "documents"))
+
+
 LLM_QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_mix_sources, op3_decontaminate, op4_simhash, op5_secrets, op6_lm_score, op7_chat_format, op8_exact_dedup, op9_quality, op10_language,
+    op11_phrases,
 )}
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -137,4 +142,28 @@ LLM_ORACLES = {
         grouped AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM folded)
         SELECT doc_id, sha256(t) AS text_sha256, keep_id, group_size, doc_id = keep_id AS kept FROM grouped
     """,
+    "op11_phrases": rf"""
+        WITH pieces AS (
+            SELECT row_number() OVER () AS piece, lang, regexp_extract_all(t, '[^\x20\x09]+') AS w
+            FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS t FROM documents)),
+        grams AS (
+            SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
+            FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces), range(1, 6) AS g(m)
+            WHERE i + m - 1 <= len(w)),
+        counts AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+        sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE m = 1 GROUP BY lang),
+        candidates AS (SELECT * FROM counts WHERE m > 1 AND f >= 100),
+        kept AS (
+            SELECT * FROM candidates c WHERE NOT EXISTS (
+                FROM candidates d WHERE d.lang = c.lang AND d.m > c.m AND 100 * d.f >= 100 * c.f AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))),
+        cuts AS (
+            SELECT lang, phrase, f, k, array_to_string(list_slice(string_split(phrase, ' '), 1, k), ' ') AS head, array_to_string(list_slice(string_split(phrase, ' '), k + 1, m), ' ') AS rest
+            FROM kept, range(1, 5) AS c(k) WHERE k < m),
+        scored AS (
+            SELECT c.lang, c.phrase, c.f AS a, h.f AS l, r.f AS r, n, c.k, ((1000::HUGEINT * c.f * n) // (h.f::HUGEINT * r.f))::BIGINT AS score
+            FROM cuts c JOIN counts h ON h.lang = c.lang AND h.phrase = c.head JOIN counts r ON r.lang = c.lang AND r.phrase = c.rest JOIN sizes s ON s.lang = c.lang),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best)
+        SELECT * FROM ranked WHERE rank <= 2000
+    """,
 }
