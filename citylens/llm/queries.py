@@ -1,12 +1,12 @@
-"""The ten operators as queries over the test tables, with their SQL twins where SQL can express them."""
+"""The operators as queries over the test tables, with their SQL twins where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citylens.llm import chat, contamination, exact, language, mixing, phrases, quality, scoring, secrets, simhash, urls
-from citylens.llm.common import table
+from citylens.llm import chat, contamination, exact, language, mixing, passages, periods, phrases, quality, scoring, secrets, simhash, urls
+from citylens.llm.common import WORD, table
 from citylens.session import parameter_table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -76,9 +76,38 @@ def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.mine_phrases(table(spark, folder, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periods.periodic_runs(_repeating(table(spark, folder, "documents")))
+    # The greatest length / period without rounding; of ties the first, as runs are sorted.
+    better = lambda best, r: best.isNull() | (r.length * best.period > best.length * r.period)
+    best = F.reduce("runs", F.expr("CAST(NULL AS STRUCT<start: BIGINT, length: BIGINT, period: BIGINT>)"), lambda best, r: F.when(better(best, r), r).otherwise(best))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n"))), "")
+    out = found.withColumn("best", best)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _repeating(docs: DataFrame) -> DataFrame:
+    """The texts of the contract: with h = crc32(doc_id) and h % 10 = 0, words from a on repeat with period p."""
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), 1)
+    marked = docs.select("doc_id", "text", crc.alias("h"), F.floor(crc / 10).alias("g")).withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    sized = marked.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.expr("CAST(g % n AS INT)"))).withColumn("p", F.expr("CAST(1 + (n - a) div (3 + g % 8) AS INT)"))
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.expr("CAST(1 + (n - a) div p AS INT)"))), 1, F.col("n") - F.col("a"))
+    return sized.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(F.concat(F.slice("w", 1, F.col("a")), tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_passages(spark: SparkSession, folder: str) -> DataFrame:
+    found = passages.drop_passages(table(spark, folder, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 LLM_QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_mix_sources, op3_decontaminate, op4_simhash, op5_secrets, op6_lm_score, op7_chat_format, op8_exact_dedup, op9_quality, op10_language,
-    op11_phrases,
+    op11_phrases, op12_periodic_runs, op13_passages,
 )}
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -166,4 +195,43 @@ LLM_ORACLES = {
         ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best)
         SELECT * FROM ranked WHERE rank <= 2000
     """,
+    # crc32 bit by bit; a period divides the text where a word equals the one q words on, in a row.
+    "op12_periodic_runs": r"""
+        WITH bits AS (
+            SELECT row_number() OVER () AS d, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+                   flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: list_transform(range(8), lambda k: CASE WHEN c = '' THEN NULL ELSE (ascii(c) >> k) & 1 END))) AS b
+            FROM documents),
+        hashed AS (
+            SELECT d, doc_id, w, len(w) AS n,
+                   xor(list_reduce(list_concat([4294967295::BIGINT], list_filter(b, lambda x: x IS NOT NULL)), lambda c, x: xor(xor(c, x::BIGINT) >> 1, 3988292384::BIGINT * (xor(c, x::BIGINT) & 1))), 4294967295::BIGINT) AS h
+            FROM bits),
+        shaped AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a, CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) END AS p FROM hashed),
+        pos AS (
+            SELECT d, n, i, w[1 + CASE WHEN a IS NULL OR i < a THEN i ELSE a + (i - a) % p END] AS word
+            FROM (SELECT *, unnest(range(n)) AS i FROM shaped)),
+        equal AS (SELECT x.d, x.i, y.i - x.i AS q FROM pos x JOIN pos y ON x.d = y.d AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+        stretches AS (
+            SELECT d, q, min(i) AS start, count(*) + q AS length
+            FROM (SELECT *, i - row_number() OVER (PARTITION BY d, q ORDER BY i) AS g FROM equal) GROUP BY d, q, g
+            HAVING count(*) + q >= greatest(24, 3 * q)),
+        runs AS (SELECT d, start, length, min(q) AS period FROM stretches GROUP BY d, start, length),
+        told AS (SELECT d, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM runs GROUP BY d),
+        best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY d ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+        gone AS (SELECT DISTINCT d, unnest(range(start + period, start + length)) AS i FROM runs),
+        kept AS (SELECT d, string_agg(word, ' ' ORDER BY i) AS t FROM pos ANTI JOIN gone USING (d, i) GROUP BY d)
+        SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+               sha256(coalesce(told.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+        FROM shaped LEFT JOIN told USING (d) LEFT JOIN best USING (d) LEFT JOIN kept USING (d)
+    """,
+    "op13_passages": r"""
+        WITH docs AS (SELECT row_number() OVER () AS d, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        windows AS (SELECT d, doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS t FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM docs)),
+        low AS (SELECT t, min(doc_id) AS m FROM windows GROUP BY t),
+        gone AS (SELECT DISTINCT d, unnest(range(i, i + 13)) AS i FROM windows JOIN low USING (t) WHERE m < doc_id),
+        removed AS (SELECT d, count(*) AS n FROM gone GROUP BY d),
+        pos AS (SELECT d, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs),
+        kept AS (SELECT d, string_agg(word, ' ' ORDER BY i) AS t FROM pos ANTI JOIN gone USING (d, i) GROUP BY d)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM docs LEFT JOIN removed USING (d) LEFT JOIN kept USING (d)
+    """,
 }
