@@ -40,22 +40,23 @@ def block_label(pos: str, labels: list[str] = DIRECTIONS, size: int = BLOCK_ROWS
     return first_match([(F.col(pos) < (i + 1) * size, label) for i, label in enumerate(labels)])
 
 
-def counts_from_pages(pages: DataFrame, html: str = "html") -> DataFrame:
+def counts_from_pages(pages: DataFrame, html: str = "html", labels: list[str] = DIRECTIONS, size: int = BLOCK_ROWS) -> DataFrame:
     """Long hourly counts ``(…, hour, direction, date, count)`` from count-table pages.
 
-    Each page is taken apart on its own row.  Summary rows have no time of day in the first
+    Each page is taken apart on its own row.  Its body holds one block of ``size`` rows for each of ``labels``; rows past
+    the last block belong to none and go.  Summary rows have no time of day in the first
     column, summary columns have a summary name; both go.  An empty cell stays as a missing count.
     """
     cells = long_table(pages, html)
     kept = [c for c in pages.columns if c != html]
     wanted = (
-        (F.col("pos") < BLOCK_ROWS * len(DIRECTIONS))
+        (F.col("pos") < size * len(labels))
         & F.col("first").rlike(r"^\d{2}:\d{2}:\d{2}")
         & F.col("name").rlike(r"^\d{4}-\d{2}-\d{2}")
         & ~F.col("name").rlike(SUMMARY_COLUMNS)
     )
     return cells.where(wanted).select(
-        *kept, F.col("first").alias("hour"), block_label("pos").alias("direction"),
+        *kept, F.col("first").alias("hour"), block_label("pos", labels, size).alias("direction"),
         F.to_date(F.substring("name", 1, 10)).alias("date"), F.col("item").cast("double").alias("count"),
     )
 
