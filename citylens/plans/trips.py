@@ -76,7 +76,7 @@ def od_flow(
         sums = stage(trips.groupBy(*ends).agg(measure.alias("_w")), "pairs")
         return sums, end_points(sums, {"origin": origin, "destination": destination})
 
-    (pairs, points), _ = together(summed, lambda: index.build("cells", "rows", "levels"))
+    (pairs, points), _ = together(summed, index.build)
 
     def nearest(asked: DataFrame) -> DataFrame:
         return geo.nearest_regions(asked, index, ties).drop("distance")
@@ -183,7 +183,7 @@ def board_totals(
     index = geo.RegionIndex(geo.drop_regions(regions, exclude), cell)
     per_point, _ = together(
         lambda: stage(group_sum(stops, list(xy), {c: c for c in sums.values()}), "per_point"),
-        lambda: index.build("cells", "rows", "levels"),
+        index.build,
     )
     labels = geo.nearest_regions(geo.distinct_points(per_point, *xy), index, ties="first")
     labelled = geo.label_points(per_point, labels, xy, "community_board", "left")

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from citylens.sources.schemas import schema as parse_schema
 
@@ -75,6 +75,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``stage`` that also returns aggregates of the rows, found while they are written.
+
+    A task may count again when an executor is lost, so measures should not mind a repeated row: min, max, sets, any and all.
+    """
+    seen = Observation(name)
+    staged = stage(df.observe(seen, *[value.alias(key) for key, value in measures.items()]), name)
+    return staged, seen.get
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The planner's estimate of the size of ``df``."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def clear_stages(spark: SparkSession) -> None:
     """Delete what ``stage`` wrote in this application; results still read from it are lost."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/citylens/{spark.sparkContext.applicationId}")
