@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citylens.operators.joins import salted_join
-from citylens.operators.reshape import grid_fill, pivot_once, pivot_values
+from citylens.operators.reshape import grid_fill, only_cell, pivot_found, pivot_once
 from citylens.session import stage
 
 
@@ -40,8 +40,10 @@ def year_columns(df: DataFrame, index: list[str], year: str, value: str, years:
     By default all years found.  A second row in a cell and a year that is not listed are errors.
     Half-way digits go to the even neighbour.  A zero base gives NULL.
     """
-    years = pivot_values(df, year) if years is None else years
-    wide = pivot_once(df, index, year, years, value)
+    if years is None:
+        wide, years = pivot_found(df, index, year, only_cell(year, value))
+    else:
+        wide = pivot_once(df, index, year, years, value)
     changes = {}
     for old, new in zip(years, years[1:]):
         a, b = F.col(f"`{old}`").cast("double"), F.col(f"`{new}`").cast("double")

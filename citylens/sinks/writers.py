@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -36,14 +37,64 @@ def has_output(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
 
-def materialize_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
-    """Build a stage only if its output is absent, then read it back.
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def input_fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Digest of what lies under files, folders or patterns: names, lengths and times of all files.
+
+    A path that is not there counts too.  Files that writers hide (``_`` or ``.`` first) are left out.
+    """
+    lines = []
+    for path in paths:
+        pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        system = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for top in system.globStatus(pattern) or []:
+            files = system.listFiles(top.getPath(), True)
+            while files.hasNext():
+                file = files.next()
+                name = file.getPath().toString()
+                if not any(part.startswith(("_", ".")) for part in name[len(top.getPath().toString()):].split("/")):
+                    lines.append(f"{name} {file.getLen()} {file.getModificationTime()}")
+        lines.append(f"{path} is read")
+    return hashlib.sha256("\n".join(sorted(lines)).encode()).hexdigest()
+
+
+def _stored_fingerprint(spark: SparkSession, path: str, put: str | None = None) -> str | None:
+    """The fingerprint kept with a stage; ``put`` writes one."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_INPUTS")
+    system = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if put is not None:
+        stream = system.create(file, True)
+        stream.writeBytes(put)
+        stream.close()
+        return put
+    if not system.exists(file):
+        return None
+    stream = system.open(file)
+    try:
+        return stream.readLine()
+    finally:
+        stream.close()
+
+
+def materialize_once(
+    spark: SparkSession, path: str, build: Callable[[], DataFrame], refresh: bool = False, inputs: list[str] | None = None
+) -> DataFrame:
+    """Build a stage only if its output is absent or its input has changed, then read it back.
 
     Reading back cuts the lineage, and gives the planner the true size of the stage, so that a
-    small one is broadcast and a big one is not.  ``refresh=True`` builds it again.
+    small one is broadcast and a big one is not.  ``inputs`` are the paths it is made from: with other files there than
+    when it was built, it is built again.  Without ``inputs`` only absence counts.  ``refresh=True`` builds it again.
     """
-    if refresh or not has_output(spark, path):
+    seen = None if inputs is None else input_fingerprint(spark, inputs)
+    if refresh or not has_output(spark, path) or (seen is not None and _stored_fingerprint(spark, path) != seen):
         write_parquet(build(), path, overwrite=True)
+        if seen is not None:
+            # last, and from before the build: files that come meanwhile lead to another build
+            _stored_fingerprint(spark, path, seen)
     return spark.read.parquet(path)
 
 
