@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citylens.llm.bitmaps import Bitmap
 from citylens.llm.common import pa_schema
 from citylens.llm.words import Words, chunks, joined, read_words
 from citylens.session import stage
@@ -64,30 +65,6 @@ def marks(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, (least * _MIX[0])[starts]
 
 
-class Bitmap:
-    """Marks by slot; contains() is False only for marks that are not in it."""
-
-    def __init__(self, table: DataFrame):
-        slots = table.select(F.shiftrightunsigned("mark", 64 - BITMAP_BITS).alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket"))
-        bits = slots.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).collect()
-        self.parts = table.sparkSession.sparkContext.broadcast({r[0]: bytes(r[1]) for r in bits})
-        self.flat = None
-
-    def __getstate__(self):
-        return {"parts": self.parts, "flat": None}
-
-    def contains(self, found: np.ndarray) -> np.ndarray:
-        if self.flat is None:
-            # Bucket 1 holds slots 1 to 32768, bucket 0 slot 0; bit p of a byte string is bit p % 8 of byte p // 8.
-            self.flat = np.zeros((1 << BITMAP_BITS - 3) + 4096, np.uint8)
-            for bucket, bits in self.parts.value.items():
-                at = 4096 * bucket
-                self.flat[at:at + len(bits)] = np.frombuffer(bits, np.uint8)[:len(self.flat) - at]
-        place = (found >> np.uint64(64 - BITMAP_BITS)).astype(np.int64) + 32767
-        place[place == 32767] = 0
-        return (self.flat[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-
-
 def _window_marks(docs: DataFrame, window: int) -> DataFrame:
     """mark, low, high (smallest and largest document) and n (occurrences), summed within chunks."""
     schema = "mark long, low long, high long, n long"
@@ -295,7 +272,7 @@ def drop_passages(docs: DataFrame, window: int = 13) -> DataFrame:
     read = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.expr("-9223372036854775807L - 1")).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     seen = _window_marks(read, window).groupBy("mark").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
     shared = stage(seen.filter("low < high").select("mark", "n"), "passage-marks")
-    candidates, frequent = Bitmap(shared), Bitmap(shared.filter(F.col("n") > FREQUENT_MARK))
+    candidates, frequent = Bitmap(shared, BITMAP_BITS), Bitmap(shared.filter(F.col("n") > FREQUENT_MARK), BITMAP_BITS)
     answers = stage(_answers(_keyed_segments(read, window, candidates, frequent), window), "passage-answers")
     met = _occurrences(read, window, candidates, frequent).join(answers, "segment")
     numbered = F.transform("smallest", lambda least, k: F.when(least < F.col("id"), F.col("start") + k))

@@ -3,12 +3,12 @@
 A stripe is keyed by a prefix of one or more words and counts the words that come next.  Each task builds
 the stripes of its own texts, stripes of one prefix are merged element by element in key order, and three
 things are read from the merged stripes: extensions (an entry is the count of the phrase "prefix next"),
-prefix totals (the sum of all entries, the empty one for "nothing that matters comes next" included) and
-subsumption maxima (the largest entry says whether a longer phrase is as frequent as its prefix).
+prefix totals (the entry of a prefix in the stripe that is one word shorter) and subsumption maxima (the largest
+entry says whether a longer phrase is as frequent as its prefix).
 
-Only extensions of frequent phrases can be frequent, so stripes grow in three scans: the empty prefix (a
-word count), prefixes of one word, then all longer ones.  Between scans a bitmap of fixed size tells tasks
-which words or pairs may be frequent; what it lets through by chance is dropped when stripes are merged.
+Only extensions of frequent phrases can be frequent, so stripes grow in four scans: the empty prefix (a word
+count), prefixes of one word, of two, and all longer ones.  Between scans a bitmap of fixed size for each length
+tells tasks which phrases may be frequent; what it lets through by chance is dropped when stripes are merged.
 """
 
 from __future__ import annotations
@@ -19,63 +19,65 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from citylens.llm.bitmaps import Bitmap
 from citylens.llm.common import pa_schema
 from citylens.llm.words import Words, chunks, joined, read_words, separators
 from citylens.session import stage
 
 PIECES = separators(b" \t", b".,;:!?\n\r\v\f")
 
-# Slots of the bitmap of frequent units: 16 MB however many there are.
+# Slots of a bitmap of frequent phrases of one length: 16 MB however many there are.
 BITMAP_BITS = 27
-# A lead (first word, or first two) with more than this share of all words has its stripes split by next word:
+# A lead (a frequent phrase that prefixes begin with) with more than this share of all words has its stripes split by next word:
 # at most so many leads exist, and a part of a stripe holds about this share of the words.
 HOT_SHARE = 4096
 
 STRIPE = "lang string, prefix string, part int, nexts string, counts binary"
-MERGED = "lang string, prefix string, part int, total long, best long, nexts array<string>, counts array<long>"
+MERGED = "lang string, prefix string, part int, best long, nexts array<string>, counts array<long>"
 
 
-def _slot(lang: str, unit: bytes) -> int:
-    return zlib.crc32(unit, zlib.crc32(lang.encode() + b" ")) >> (32 - BITMAP_BITS)
+def _turned(marks: np.ndarray, by: int) -> np.ndarray:
+    return marks << np.uint64(by) | marks >> np.uint64(64 - by) if by else marks
 
 
-def _slot_column() -> Column:
-    key = F.concat_ws(" ", "lang", "phrase").cast("binary")
-    return F.shiftright(F.crc32(key), 32 - BITMAP_BITS)
+def _mark_column() -> Column:
+    """Mark of a phrase: the hashes of its words, each turned by 13 bits more than the one before, and of its language."""
+    turned = "shiftleft(xxhash64({0}), {1}) | shiftrightunsigned(xxhash64({0}), 64 - {1})"
+    words = f"transform(split(phrase, ' '), (w, i) -> {turned.format('w', '13 * i')})"
+    return F.expr(f"aggregate({words}, {turned.format('lang', '7')}, (h, x) -> h ^ x)")
+
+
+def _hash(text: bytes) -> int:
+    """The hash of a text that Spark's xxhash64 gives."""
+    return xxhash.xxh64_intdigest(text, 42)
 
 
 class Frequent:
-    """What tasks know of frequent units: a bitmap of their slots, and the parts of hot leads."""
-
-    def __init__(self, units: DataFrame, words: int):
-        slots = units.select(_slot_column().alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket"))
-        bits = slots.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).collect()
-        hot = units.filter(F.col("a") * HOT_SHARE > words).select("lang", "phrase", F.ceil(F.col("a") * HOT_SHARE / words).cast("int")).collect()
-        context = units.sparkSession.sparkContext
-        self.bits = context.broadcast({r[0]: np.frombuffer(r[1], np.uint8) for r in bits})
-        self.hot = context.broadcast({(r[0], r[1].encode()): r[2] for r in hot})
-
-    def may_be(self, lang: str, units: list[bytes]) -> np.ndarray:
-        """For each unit, False only if it is not frequent."""
-        slots = np.fromiter((_slot(lang, u) for u in units), np.int64, len(units))
-        # Bucket 1 holds slots 1 to 32768; bit p of a byte string is bit p % 8 of byte p // 8.
-        bucket, place = np.where(slots > 0, (slots + 32767) // 32768, 0), np.where(slots > 0, (slots - 1) % 32768, 0)
-        found = np.zeros(len(units), bool)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-        for begin, end in zip(edges[:-1], edges[1:]):
-            bits = self.bits.value.get(int(bucket[order[begin]]))
-            if bits is not None:
-                at = place[order[begin:end]]
-                found[order[begin:end]] = bits[at // 8] >> (at % 8).astype(np.uint8) & 1
-        return found
-
-    def parts(self, lang: str, lead: bytes) -> int:
-        return self.hot.value.get((lang, lead), 1)
+    """What tasks know of frequent phrases of one length: a bitmap of their marks, and the parts of hot leads."""
+
+    def __init__(self, phrases: DataFrame, words: int):
+        marked = phrases.select(_mark_column().alias("mark"), "a")
+        self.bitmap = Bitmap(marked, BITMAP_BITS)
+        hot = marked.filter(F.col("a") * HOT_SHARE > words).select("mark", F.ceil(F.col("a") * HOT_SHARE / words).cast("long").alias("parts"))
+        rows = sorted(hot.groupBy("mark").agg(F.max("parts")).collect())
+        self.hot = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+
+    def may_be(self, marks: np.ndarray) -> np.ndarray:
+        """False only for phrases that are not frequent."""
+        return self.bitmap.contains(marks)
+
+    def parts(self, marks: np.ndarray) -> np.ndarray:
+        """Into how many parts the stripes of these leads are split."""
+        keys, parts = self.hot
+        if not len(keys):
+            return np.ones(len(marks), np.int64)
+        at = np.minimum(np.searchsorted(keys, marks.view(np.int64)), len(keys) - 1)
+        return np.where(keys[at] == marks.view(np.int64), parts[at], 1)
 
 
 def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words]]:
@@ -106,73 +108,57 @@ def _word_counts(lang: str, words: Words) -> Iterator[list[pa.Array]]:
     yield [words.names.cast(pa.string()), pa.array(np.bincount(words.codes, minlength=len(words.names)))]
 
 
-def _stripes(lang: str, names: pa.Array, leads: list[bytes], lead_of: np.ndarray, prefixes: pa.Array, prefix: np.ndarray, follower: np.ndarray, frequent: Frequent) -> Iterator[list[pa.Array]]:
-    """Stripes of occurrences: ``prefix`` numbers ``prefixes``, ``follower`` is a code of ``names`` or -1 for the empty entry."""
-    if not len(prefix):
-        return
-    width = len(names) + 1
-    pairs, counts = np.unique(prefix.astype(np.int64) * width + follower + 1, return_counts=True)
-    at, code = pairs // width, pairs % width
-    part = np.zeros(len(pairs), np.int64)
-    split = {n: p for n, p in enumerate(frequent.parts(lang, x) for x in leads) if p > 1}
-    if split:
-        parts = np.ones(len(leads), np.int64)
-        parts[list(split)] = list(split.values())
-        many = parts[lead_of[at]]
-        cut = np.flatnonzero((many > 1) & (code > 0))
-        used, back = np.unique(code[cut], return_inverse=True)
-        spread = np.fromiter((zlib.crc32(x) for x in names.take(pa.array(used - 1)).to_pylist()), np.int64, len(used))
-        # Parts of split stripes count from 1; the empty entry is in the first.
-        part[many > 1] = 1
-        part[cut] = 1 + spread[back] % many[cut]
-        order = np.lexsort((code, part, at))
-        at, code, part, counts = at[order], code[order], part[order], counts[order]
-    edge = np.flatnonzero(np.diff(at, prepend=-1).astype(bool) | np.diff(part, prepend=-1).astype(bool))
-    ends = np.append(edge[1:], len(at))
-    with_empty = pa.concat_arrays([pa.array([b""], pa.binary()), names])
-    weights = counts.astype("<i8")
-    bounds = pa.py_buffer((np.append(edge, len(at)) * 8).astype(np.int32))
-    packed = pa.Array.from_buffers(pa.binary(), len(edge), [None, bounds, pa.py_buffer(weights)])
-    yield [prefixes.take(pa.array(at[edge])).cast(pa.string()), pa.array(part[edge]), joined(with_empty, code, ends - edge).cast(pa.large_string()), packed]
-
-
-def _pair_stripes(frequent: Frequent):
-    """Work of the second scan: prefixes of one word."""
-    def work(lang: str, words: Words) -> Iterator[list[pa.Array]]:
-        names = words.names.to_pylist()
-        usual = frequent.may_be(lang, names)
-        at = np.flatnonzero(usual[words.codes])
-        after = np.append(words.codes, 0)[at + 1]
-        goes_on = np.append(words.follows, False)[at + 1] & usual[after]
-        yield from _stripes(lang, words.names, names, np.arange(len(names)), words.names, words.codes[at], np.where(goes_on, after, -1), frequent)
+def _rows(names: pa.Array, prefixes: pa.Array, prefix: np.ndarray, follower: np.ndarray, counts: np.ndarray, parts: np.ndarray) -> list[pa.Array]:
+    """Stripes of pairs sorted by prefix and follower; ``parts`` says into how many parts the stripe of a pair is split."""
+    part = np.zeros(len(prefix), np.int64)
+    cut = np.flatnonzero(parts > 1)
+    if len(cut):
+        used, back = np.unique(follower[cut], return_inverse=True)
+        spread = np.fromiter((zlib.crc32(x) for x in names.take(pa.array(used)).to_pylist()), np.int64, len(used))
+        part[cut] = spread[back] % parts[cut]
+        order = np.lexsort((part, prefix))
+        prefix, follower, counts, part = prefix[order], follower[order], counts[order], part[order]
+    edge = np.flatnonzero(np.diff(prefix, prepend=-1).astype(bool) | np.diff(part, prepend=-1).astype(bool))
+    ends = np.append(edge[1:], len(prefix))
+    bounds = pa.py_buffer((np.append(edge, len(prefix)) * 8).astype(np.int32))
+    packed = pa.Array.from_buffers(pa.binary(), len(edge), [None, bounds, pa.py_buffer(counts.astype("<i8"))])
+    return [prefixes.take(pa.array(prefix[edge])).cast(pa.string()), pa.array(part[edge]), joined(names, follower, ends - edge).cast(pa.large_string()), packed]
 
-    return work
 
+def _stripes(frequent: list[Frequent], longest: int):
+    """Work of a scan: stripes of prefixes as long as the longest known frequent phrases, up to ``longest`` words.
 
-def _long_stripes(frequent: Frequent, longest: int):
-    """Work of the third scan: prefixes of 2 to ``longest`` - 1 words, made of frequent pairs only."""
+    A phrase may be frequent if its bitmap says so, or, where there is none, if both phrases that are a word shorter may be.
+    """
     def work(lang: str, words: Words) -> Iterator[list[pa.Array]]:
         codes, size = words.codes.astype(np.int64), len(words.names)
-        starts = np.flatnonzero(words.follows[1:])
-        pairs, back = np.unique(codes[starts] * size + codes[starts + 1], return_inverse=True)
-        pair_names = joined(words.names, np.stack([pairs // size, pairs % size], 1).ravel(), np.full(len(pairs), 2)).cast(pa.binary())
-        leads = pair_names.to_pylist()
-        usual = frequent.may_be(lang, leads)
-        pair = np.full(len(codes) + longest, -1, np.int64)  # number of the frequent pair that starts at each word
-        pair[starts] = np.where(usual[back], back, -1)
-        at = np.flatnonzero(pair >= 0)
-        group, lead_of, prefixes = pair[at], np.arange(len(pairs)), pair_names
-        for length in range(2, longest):
-            goes_on = pair[at + length - 1] >= 0
-            follower = np.where(goes_on, np.append(codes, np.zeros(longest, np.int64))[at + length], -1)
-            used, group = np.unique(group, return_inverse=True)
-            prefixes, lead_of = prefixes.take(pa.array(used)), lead_of[used]
-            yield from _stripes(lang, words.names, leads, lead_of, prefixes, group, follower, frequent)
-            # The prefixes of the next length are those that go on.
-            at, key = at[goes_on], group[goes_on] * (size + 1) + follower[goes_on]
-            made, group = np.unique(key, return_inverse=True)
-            tails = words.names.take(pa.array(made % (size + 1)))
-            lead_of, prefixes = lead_of[made // (size + 1)], pc.binary_join_element_wise(prefixes.take(pa.array(made // (size + 1))), tails, b" ")
+        each = np.fromiter(map(_hash, words.names.to_pylist()), np.uint64, size)
+        alone = each ^ _turned(np.array([_hash(lang.encode())], np.uint64), 7)
+        at = np.flatnonzero(frequent[0].may_be(alone)[codes])
+        # Phrases that begin at each of ``at``: number, and mark; ``names`` and ``leads`` are by number.
+        phrase, marks, names, leads = codes[at], alone[codes[at]], words.names, alone
+        for length in range(1, longest + 1):
+            if length == len(frequent):
+                parts = frequent[-1].parts(leads)
+            begins = np.zeros(len(codes) + 1, bool)
+            begins[at] = True
+            goes_on = begins[at + 1]
+            goes_on[goes_on] = words.follows[at[goes_on] + 1]
+            at, phrase, marks = at[goes_on], phrase[goes_on], marks[goes_on]
+            follower = codes[at + length]
+            marks = marks ^ _turned(each[follower], 13 * length)
+            if length < len(frequent):
+                usual = frequent[length].may_be(marks)
+                at, phrase, marks, follower = at[usual], phrase[usual], marks[usual], follower[usual]
+            if not len(at):
+                return
+            pairs, places, phrase, counts = np.unique(phrase * size + follower, return_index=True, return_inverse=True, return_counts=True)
+            head, tail = pairs // size, pairs % size
+            if length >= len(frequent):
+                yield _rows(words.names, names, head, tail, counts, parts[head])
+                parts = parts[head]
+            if length < longest:
+                leads, names = marks[places], pc.binary_join_element_wise(names.take(pa.array(head)), words.names.take(pa.array(tail)), b" ")
 
     return work
 
@@ -181,24 +167,21 @@ def merge_stripes(stripes: DataFrame, least: int) -> DataFrame:
     """Merged stripes with their entries of ``least`` or more; see ``MERGED``.
 
     Rows of one stripe stand together after the sort; a task holds one slice of them and the stripe that
-    may go on, never a whole group of rows.  Whole stripes without a frequent entry are left out, parts of
-    split ones (numbered from 1) are kept for their totals.
+    may go on, never a whole group of rows.  Stripes without a frequent entry are left out.
     """
     target = pa_schema(stripes.sparkSession, MERGED)
 
     def finished(keys: list[pa.Array], group: np.ndarray, following: pa.Array, n: np.ndarray) -> pa.RecordBatch:
         rows = len(keys[0])
-        real = pc.not_equal(following, "").to_numpy(zero_copy_only=False)
-        total, best = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-        np.add.at(total, group, n)
-        np.maximum.at(best, group[real], n[real])
-        known = np.flatnonzero(real & (n >= least))
+        best = np.zeros(rows, np.int64)
+        np.maximum.at(best, group, n)
+        known = np.flatnonzero(n >= least)
         known = known[np.argsort(group[known], kind="stable")]
         found = np.bincount(group[known], minlength=rows)
         bounds = pa.array(np.concatenate([[0], np.cumsum(found)]).astype(np.int32))
         lists = [pa.ListArray.from_arrays(bounds, x) for x in (following.take(pa.array(known)), pa.array(n[known]))]
-        kept = pa.array((found > 0) | (keys[2].to_numpy() > 0))
-        columns = [c.filter(kept) for c in (*keys, pa.array(total), pa.array(best), *lists)]
+        kept = pa.array(found > 0)
+        columns = [c.filter(kept) for c in (*keys, pa.array(best), *lists)]
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target)], schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,11 +242,14 @@ def mine_phrases(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     sizes = stage(words.groupBy("lang").agg(F.sum("a").alias("n")), "phrase-sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     units = words.filter("frequent").select("lang", "phrase", "a")
-    pairs = stage(merge_stripes(_scan(read, _pair_stripes(Frequent(units, total)), STRIPE), least), "phrase-stripes")
-    longer = stage(merge_stripes(_scan(read, _long_stripes(Frequent(_extensions(pairs), total), longest), STRIPE), least), "phrase-stripes")
-    stripes = pairs.unionByName(longer)
+    stripes, known = None, [Frequent(units, total)]
+    # Prefixes of one word, of two, and of all other lengths at once.
+    for upto in [n for n in (1, 2, longest - 1) if n <= longest - 1][:longest - 1]:
+        made = stage(merge_stripes(_scan(read, _stripes(known, upto), STRIPE), least), "phrase-stripes")
+        stripes = made if stripes is None else stripes.unionByName(made)
+        known.append(Frequent(_extensions(made), total))
     found = stage(_kept(_extensions(stripes), stripes), "phrase-candidates")
-    return _ranked(_scored(found, units, stripes, sizes), top)
+    return _ranked(_scored(found, units, sizes), top)
 
 
 def _kept(extensions: DataFrame, stripes: DataFrame) -> DataFrame:
@@ -271,17 +257,17 @@ def _kept(extensions: DataFrame, stripes: DataFrame) -> DataFrame:
 
     Counts never grow with a phrase, so a longer phrase as frequent implies one that is a word longer.
     """
-    right = stripes.filter("best > 0").groupBy("lang", F.col("prefix").alias("phrase")).agg(F.max("best").alias("more"))
+    right = stripes.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.max("best").alias("more"))
     tail = F.expr("substring(phrase, instr(phrase, ' ') + 1)")
     left = extensions.select("lang", tail.alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("more"))
     most = right.unionByName(left).groupBy("lang", "phrase").agg(F.max("more").alias("more"))
     return extensions.join(most, ["lang", "phrase"], "left").select("lang", "phrase", "a", (F.coalesce("more", F.lit(0)) < F.col("a")).alias("kept"))
 
 
-def _scored(found: DataFrame, units: DataFrame, stripes: DataFrame, sizes: DataFrame) -> DataFrame:
+def _scored(found: DataFrame, units: DataFrame, sizes: DataFrame) -> DataFrame:
     """Kept candidates with the l, r and score of their lowest cut."""
-    totals = stripes.groupBy("lang", F.col("prefix").alias("head")).agg(F.sum("total").alias("l"))
-    rests = found.select("lang", F.col("phrase").alias("rest"), F.col("a").alias("r")).unionByName(units.select("lang", F.col("phrase").alias("rest"), F.col("a").alias("r")))
+    counts = found.select("lang", "phrase", "a").unionByName(units)
+    heads, rests = (counts.select("lang", F.col("phrase").alias(part), F.col("a").alias(n)) for part, n in (("head", "l"), ("rest", "r")))
     parts = F.split("phrase", " ")
     cuts = found.filter("kept").select("lang", "phrase", "a", parts.alias("parts"), F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("k"))
     cuts = cuts.select(
@@ -289,7 +275,7 @@ def _scored(found: DataFrame, units: DataFrame, stripes: DataFrame, sizes: DataF
         F.array_join(F.slice("parts", F.col("k") + 1, F.size("parts") - F.col("k")), " ").alias("rest"),
     )
     wide = lambda c: F.col(c).cast("decimal(18,0)")
-    joined_cuts = cuts.join(totals, ["lang", "head"]).join(rests, ["lang", "rest"]).join(sizes, "lang")
+    joined_cuts = cuts.join(heads, ["lang", "head"]).join(rests, ["lang", "rest"]).join(sizes, "lang")
     scored = joined_cuts.withColumn("over", wide("a") * wide("n") * F.lit(1000).cast("decimal(4,0)")).withColumn("under", wide("l") * wide("r"))
     scored = scored.withColumn("score", F.expr("over div under"))
     best = F.min(F.struct("score", "k", "l", "r")).alias("best")
