@@ -37,7 +37,10 @@ BITMAP_BITS = 27
 # at most so many leads exist, and a part of a stripe holds about this share of the words.
 HOT_SHARE = 4096
 
-STRIPE = "lang string, prefix string, part int, nexts string, counts binary"
+# Stripes travel in packs by the hash of their prefix: at least so many for each language, and one for so many words.
+PACKS, PACK_WORDS = 128, 5_000_000
+
+PACK = "lang string, pack int, stripes array<struct<prefix:string,part:int,nexts:string,counts:binary>>"
 MERGED = "lang string, prefix string, part int, best long, nexts array<string>, counts array<long>"
 
 
@@ -108,24 +111,28 @@ def _word_counts(lang: str, words: Words) -> Iterator[list[pa.Array]]:
     yield [words.names.cast(pa.string()), pa.array(np.bincount(words.codes, minlength=len(words.names)))]
 
 
-def _rows(names: pa.Array, prefixes: pa.Array, prefix: np.ndarray, follower: np.ndarray, counts: np.ndarray, parts: np.ndarray) -> list[pa.Array]:
-    """Stripes of pairs sorted by prefix and follower; ``parts`` says into how many parts the stripe of a pair is split."""
+def _packed(names: pa.Array, prefixes: pa.Array, marks: np.ndarray, prefix: np.ndarray, follower: np.ndarray, counts: np.ndarray, parts: np.ndarray, packs: int) -> list[pa.Array]:
+    """Packs of the stripes of pairs sorted by prefix and follower; ``parts`` says into how many parts the stripe of a pair is split."""
     part = np.zeros(len(prefix), np.int64)
     cut = np.flatnonzero(parts > 1)
     if len(cut):
         used, back = np.unique(follower[cut], return_inverse=True)
         spread = np.fromiter((zlib.crc32(x) for x in names.take(pa.array(used)).to_pylist()), np.int64, len(used))
         part[cut] = spread[back] % parts[cut]
-        order = np.lexsort((part, prefix))
-        prefix, follower, counts, part = prefix[order], follower[order], counts[order], part[order]
+    pack = ((marks[prefix] >> np.uint64(8)).astype(np.int64) + part) % packs
+    order = np.lexsort((part, prefix, pack))
+    pack, prefix, follower, counts, part = pack[order], prefix[order], follower[order], counts[order], part[order]
     edge = np.flatnonzero(np.diff(prefix, prepend=-1).astype(bool) | np.diff(part, prepend=-1).astype(bool))
     ends = np.append(edge[1:], len(prefix))
     bounds = pa.py_buffer((np.append(edge, len(prefix)) * 8).astype(np.int32))
-    packed = pa.Array.from_buffers(pa.binary(), len(edge), [None, bounds, pa.py_buffer(counts.astype("<i8"))])
-    return [prefixes.take(pa.array(prefix[edge])).cast(pa.string()), pa.array(part[edge]), joined(names, follower, ends - edge).cast(pa.large_string()), packed]
+    weights = pa.Array.from_buffers(pa.binary(), len(edge), [None, bounds, pa.py_buffer(counts.astype("<i8"))])
+    columns = [prefixes.take(pa.array(prefix[edge])).cast(pa.string()), pa.array(part[edge].astype(np.int32)), joined(names, follower, ends - edge).cast(pa.string()), weights]
+    stripes = pa.StructArray.from_arrays(columns, ["prefix", "part", "nexts", "counts"])
+    first = np.flatnonzero(np.diff(pack[edge], prepend=-1))
+    return [pa.array(pack[edge][first].astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.append(first, len(edge)).astype(np.int32)), stripes)]
 
 
-def _stripes(frequent: list[Frequent], longest: int):
+def _stripes(frequent: list[Frequent], longest: int, packs: int):
     """Work of a scan: stripes of prefixes as long as the longest known frequent phrases, up to ``longest`` words.
 
     A phrase may be frequent if its bitmap says so, or, where there is none, if both phrases that are a word shorter may be.
@@ -155,7 +162,7 @@ def _stripes(frequent: list[Frequent], longest: int):
             pairs, places, phrase, counts = np.unique(phrase * size + follower, return_index=True, return_inverse=True, return_counts=True)
             head, tail = pairs // size, pairs % size
             if length >= len(frequent):
-                yield _rows(words.names, names, head, tail, counts, parts[head])
+                yield _packed(words.names, names, leads, head, tail, counts, parts[head], packs)
                 parts = parts[head]
             if length < longest:
                 leads, names = marks[places], pc.binary_join_element_wise(names.take(pa.array(head)), words.names.take(pa.array(tail)), b" ")
@@ -163,62 +170,57 @@ def _stripes(frequent: list[Frequent], longest: int):
     return work
 
 
-def merge_stripes(stripes: DataFrame, least: int) -> DataFrame:
+def merge_stripes(packs: DataFrame, least: int) -> DataFrame:
     """Merged stripes with their entries of ``least`` or more; see ``MERGED``.
 
-    Rows of one stripe stand together after the sort; a task holds one slice of them and the stripe that
-    may go on, never a whole group of rows.  Stripes without a frequent entry are left out.
+    Packs with one number stand together after the sort and are merged as they come, so a task holds the different
+    entries of one pack: the stripes of some ``PACK_WORDS`` words.  Stripes without a frequent entry are left out.
     """
-    target = pa_schema(stripes.sparkSession, MERGED)
-
-    def finished(keys: list[pa.Array], group: np.ndarray, following: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-        rows = len(keys[0])
-        best = np.zeros(rows, np.int64)
+    target = pa_schema(packs.sparkSession, MERGED)
+
+    def entries(stripes: pa.StructArray) -> pa.Table:
+        lists = pc.split_pattern(stripes.field("nexts"), " ")
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        row = pa.array(np.repeat(np.arange(len(stripes)), lengths))
+        weights = np.frombuffer(b"".join(stripes.field("counts").to_pylist()), "<i8")
+        return pa.table({"prefix": stripes.field("prefix").take(row), "part": stripes.field("part").take(row), "next": lists.flatten(), "n": weights})
+
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by(["prefix", "part", "next"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["prefix", "part", "next", "n"])
+
+    def finished(lang: str, table: pa.Table) -> pa.RecordBatch:
+        coded = table["prefix"].combine_chunks().dictionary_encode()
+        part, n = table["part"].to_numpy().astype(np.int64), table["n"].to_numpy()
+        keys, group = np.unique(coded.indices.to_numpy().astype(np.int64) << 32 | part, return_inverse=True)
+        best = np.zeros(len(keys), np.int64)
         np.maximum.at(best, group, n)
         known = np.flatnonzero(n >= least)
         known = known[np.argsort(group[known], kind="stable")]
-        found = np.bincount(group[known], minlength=rows)
-        bounds = pa.array(np.concatenate([[0], np.cumsum(found)]).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(bounds, x) for x in (following.take(pa.array(known)), pa.array(n[known]))]
-        kept = pa.array(found > 0)
-        columns = [c.filter(kept) for c in (*keys, pa.array(best), *lists)]
+        found = np.bincount(group[known], minlength=len(keys))
+        kept = np.flatnonzero(found)
+        bounds = pa.array(np.concatenate([[0], np.cumsum(found[kept])]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(bounds, x) for x in (table["next"].combine_chunks().take(pa.array(known)), pa.array(n[known]))]
+        columns = [pa.array([lang] * len(kept), pa.string()), coded.dictionary.take(pa.array(keys[kept] >> 32)), pa.array(keys[kept] & 0xFFFFFFFF), pa.array(best[kept]), *lists]
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target)], schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The last stripe of a slice stays open: its key, and its entries so far.
-        key, open_next, open_n = None, pa.array([], pa.string()), np.empty(0, np.int64)
-        for rows in chunks(batches, "nexts", 4 << 20):
-            keys = [rows.column(k) for k in ("lang", "prefix", "part")]
-            fresh = np.zeros(rows.num_rows, bool)
-            for column in keys:
-                fresh[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
-            first = tuple(c[0].as_py() for c in keys)
-            if key is not None and first != key:
-                yield finished([pa.array([x], c.type) for x, c in zip(key, keys)], np.zeros(len(open_n), np.int64), open_next, open_n)
-                open_next, open_n = pa.array([], pa.string()), np.empty(0, np.int64)
-            group = np.cumsum(fresh)
-            lists = pc.split_pattern(rows.column("nexts"), " ")
-            lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            weights = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<i8")
-            table = pa.table({
-                "group": np.concatenate([np.zeros(len(open_n), np.int64), np.repeat(group, lengths)]),
-                "next": pa.concat_arrays([open_next, lists.flatten()]), "n": np.concatenate([open_n, weights]),
-            }).group_by(["group", "next"], use_threads=False).aggregate([("n", "sum")])
-            group_of, n = table["group"].to_numpy(), table["n_sum"].to_numpy()
-            following = table["next"].combine_chunks()
-            first_rows = pa.array(np.concatenate([[0], np.flatnonzero(fresh)]))
-            last = int(group[-1])
-            done, still = np.flatnonzero(group_of < last), np.flatnonzero(group_of == last)
-            if last:
-                yield finished([c.take(first_rows[:-1]) for c in keys], group_of[done], following.take(pa.array(done)), n[done])
-            key = tuple(c[rows.num_rows - 1].as_py() for c in keys)
-            open_next, open_n = following.take(pa.array(still)), n[still]
-        if key is not None:
-            types = [pa.string(), pa.string(), pa.int32()]
-            yield finished([pa.array([x], t) for x, t in zip(key, types)], np.zeros(len(open_n), np.int64), open_next, open_n)
-
-    keys = ["lang", "prefix", "part"]
-    return stripes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, MERGED)
+        key, tables, waiting = None, [], 0
+        for batch in batches:
+            lists = batch.column("stripes")
+            for row, here in enumerate(zip(batch.column("lang").to_pylist(), batch.column("pack").to_pylist())):
+                if here != key:
+                    if tables:
+                        yield finished(key[0], summed(tables))
+                    key, tables, waiting = here, [], 0
+                tables.append(entries(lists[row].values))
+                waiting += len(tables[-1])
+                if waiting > 1_000_000:  # equal entries become one now and then
+                    tables, waiting = [summed(tables)], 0
+        if tables:
+            yield finished(key[0], summed(tables))
+
+    keys = ["lang", "pack"]
+    return packs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, MERGED)
 
 
 def _extensions(merged: DataFrame) -> DataFrame:
@@ -242,10 +244,10 @@ def mine_phrases(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     sizes = stage(words.groupBy("lang").agg(F.sum("a").alias("n")), "phrase-sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     units = words.filter("frequent").select("lang", "phrase", "a")
-    stripes, known = None, [Frequent(units, total)]
+    stripes, known, packs = None, [Frequent(units, total)], max(PACKS, total // PACK_WORDS)
     # Prefixes of one word, of two, and of all other lengths at once.
     for upto in [n for n in (1, 2, longest - 1) if n <= longest - 1][:longest - 1]:
-        made = stage(merge_stripes(_scan(read, _stripes(known, upto), STRIPE), least), "phrase-stripes")
+        made = stage(merge_stripes(_scan(read, _stripes(known, upto, packs), PACK), least), "phrase-stripes")
         stripes = made if stripes is None else stripes.unionByName(made)
         known.append(Frequent(_extensions(made), total))
     found = stage(_kept(_extensions(stripes), stripes), "phrase-candidates")
