@@ -6,7 +6,7 @@ A passage recurs if a window of consecutive words also starts in another documen
    and neighbouring windows mostly share one.  Marks seen in two documents are candidates; a bitmap of fixed
    size tells tasks about them (what it lets through by chance is dropped below).
 2. Automata.  Consecutive windows of one mark travel as one segment of text to the shard of their mark.  There
-   the windows that really start in two documents are confirmed, word by word, and compiled into an
+   passages that really start in two documents are confirmed, word by word, and compiled into an
    Aho-Corasick automaton per shard, whose values are the smallest documents; all segments of the shard are
    streamed through it, and each gets the smallest document of each of its windows.
 3. Occurrences.  All documents are read again; their segments meet those answers, and words covered by a window
@@ -48,7 +48,7 @@ def marks(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     if not total:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     starts = np.arange(total) + np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(per_text)[:-1]]), per_text)
-    names = np.fromiter((xxhash.xxh64_intdigest(x) for x in words.names.to_pylist()), np.uint64, len(words.names))
+    names = np.fromiter(map(xxhash.xxh64_intdigest, words.names.to_pylist()), np.uint64, len(words.names))
     size = min(PHRASE, window)
     each = names[words.codes]
     short = np.zeros(len(each) - size + 1, np.uint64)
@@ -81,11 +81,12 @@ def _window_marks(docs: DataFrame, window: int) -> DataFrame:
             head[1:] = (found[1:] != found[:-1]) | (text_of[1:] != text_of[:-1])
             ids = chunk.column("id").to_numpy()[text_of[head]]
             found = found[head]
-            order = np.lexsort((ids, found))
+            order = np.argsort(found)
             found, ids = found[order], ids[order]
             edge = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-            ends = np.append(edge[1:], len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found[edge].view(np.int64), ids[edge], ids[ends - 1], ends - edge)], schema=target)
+            counts = np.diff(np.append(edge, len(found)))
+            columns = (found[edge].view(np.int64), np.minimum.reduceat(ids, edge), np.maximum.reduceat(ids, edge), counts)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=target)
 
     return docs.select("id", "text").mapInArrow(run, schema)
 
@@ -132,42 +133,56 @@ def _keyed_segments(docs: DataFrame, window: int, candidates: Bitmap, frequent:
     return docs.select("id", "text").mapInArrow(run, schema)
 
 
+class Letters(dict):
+    """A character for each word, so that an automaton moves word by word."""
+
+    def __missing__(self, word: bytes) -> str:
+        n = len(self) + 1
+        self[word] = made = chr(n if n < 0xD800 else n + 0x800)
+        return made
+
+
 def _answer(segments: list[tuple[bytes, int, int]], window: int) -> Iterator[tuple[bytes, list[int]]]:
     """Digest and smallest document per window of the segments of one shard that have something to remove.
 
-    Words become characters, so the automaton of a shard moves word by word.
+    ``segments`` are different texts with their smallest and largest document.  Confirmed passages, those that start in two
+    documents, are compiled: segments as a whole, and windows that stand in several of them.  Then every
+    segment is streamed through the automaton.
     """
-    letters: dict[bytes, str] = {}
-
-    def letter(word: bytes) -> str:
-        made = letters.get(word)
-        if made is None:
-            n = len(letters) + 1
-            made = letters[word] = chr(n if n < 0xD800 else n + 0x800)
-        return made
-
+    letter = Letters().__getitem__
     spelled = ["".join(map(letter, text.split(b" "))) for text, _, _ in segments]
+    # Per window: smallest document, whether several documents have it, and whether several segments do.
     low: dict[str, int] = {}
-    high: dict[str, int] = {}
+    several, shared = set(), set()
     for line, (_, least, most) in zip(spelled, segments):
         for i in range(len(line) - window + 1):
             phrase = line[i:i + window]
-            if phrase in low:
-                low[phrase] = min(low[phrase], least)
-                high[phrase] = max(high[phrase], most)
-            else:
-                low[phrase], high[phrase] = least, most
+            known = low.get(phrase)
+            if known is None:
+                low[phrase] = least
+                if most > least:
+                    several.add(phrase)
+                continue
+            shared.add(phrase)
+            if most > least or known != least:
+                several.add(phrase)
+                if least < known:
+                    low[phrase] = least
     automaton = ahocorasick.Automaton()
-    for phrase, least in low.items():
-        if least < high[phrase]:
-            automaton.add_word(phrase, least)
+    for line, (_, least, most) in zip(spelled, segments):
+        if least < most:
+            automaton.add_word(line, (len(line), least))
+    for phrase in shared & several:
+        automaton.add_word(phrase, (window, low[phrase]))
     if not len(automaton):
         return
     automaton.make_automaton()
     for line, (text, _, most) in zip(spelled, segments):
         smallest = [NEVER] * (len(line) - window + 1)
-        for end, least in automaton.iter(line):
-            smallest[end - window + 1] = least
+        for end, (length, least) in automaton.iter(line):
+            for at in range(end - length + 1, end - window + 2):
+                if least < smallest[at]:
+                    smallest[at] = least
         if min(smallest) < most:
             yield xxhash.xxh3_128_digest(text), smallest
 
@@ -215,7 +230,7 @@ def _occurrences(docs: DataFrame, window: int, candidates: Bitmap, frequent: Bit
                 continue
             words, begin, _, _, texts = found
             text_of = np.searchsorted(words.first, begin, "right") - 1
-            named = pa.array([xxhash.xxh3_128_digest(t) for t in texts.to_pylist()], pa.binary())
+            named = pa.array(list(map(xxhash.xxh3_128_digest, texts.to_pylist())), pa.binary())
             rows = pa.array(text_of)
             yield pa.RecordBatch.from_arrays([named, chunk.column("id").take(rows), chunk.column("text_key").take(rows), pa.array(begin - words.first[text_of])], schema=target)
 
