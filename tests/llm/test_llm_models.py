@@ -36,6 +36,49 @@ def test_common_subsequence_matches_brute_force():
         assert contamination.in_order(masks, len(a), b) == lcs(a, b)
 
 
+def test_items_of_any_length_are_found_word_for_word(spark):
+    draw = random.Random(12)
+    common = ["the", "of", "and", "to", "in"]
+    words = ["".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(4, 9))) for _ in range(3000)]
+    text = lambda n: [draw.choice(common) if draw.random() < 0.3 else draw.choice(words) for _ in range(n)]
+    lengths = [3, 4, 5, 8, 11, 15, 20, 40, 70, 150]
+    items = [(100 * n + i, [draw.choice(words), *text(n - 2), draw.choice(words)]) for n in lengths for i in range(10)]
+    docs, holders = [], {}
+    for number, (item, body) in enumerate(items):
+        around = text(draw.randint(40, 300))
+        cut = draw.randint(0, len(around))
+        docs.append((number, " ".join([*around[:cut], *body, *around[cut:]])))
+        holders[number] = item
+    docs += [(1000 + i, " ".join(text(draw.randint(5, 400)))) for i in range(200)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in contamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    # Brute force: the items that stand in a text word for word.
+    every = {(d, i) for d, t in docs for i, w in items if f" {' '.join(w)} " in f" {t} "}
+    assert {(d, i) for d, i in holders.items()} <= every
+    for n in lengths:
+        wanted = {(d, i) for d, i in every if i // 100 == n}
+        assert len(wanted & found) >= 0.9 * len(wanted), (n, len(wanted & found), len(wanted))
+    assert len({d for d, _ in found if d >= 1000}) <= 4
+
+
+def test_the_lists_of_answer_words_miss_no_pair(monkeypatch):
+    draw = random.Random(3)
+    words = [f"w{i}".encode() for i in range(60)]
+    pieces = [(i, [draw.choice(words) for _ in range(draw.randint(1, 30))]) for i in range(12)]
+    idf = np.random.default_rng(1).uniform(0.5, 3, contamination.FEATURES)
+    search = contamination.Search(pieces, idf, np.random.default_rng(2).normal(size=(contamination.FEATURES, contamination.RANK)).astype(np.float32))
+    ids = np.array([search.feature[draw.choice(words)] for _ in range(400)])
+    found = set(zip(*(x.tolist() for x in search._likely(ids, np.arange(400) // contamination.BLOCK))))
+    want = set()
+    for k, answer in enumerate(search.answers):
+        m = int(search.blocks[k])
+        for w in range(50):
+            part = set(ids[w * contamination.BLOCK:(w + m) * contamination.BLOCK].tolist())
+            if sum(search.feature[a] in part for a in answer) >= contamination.ANSWER_SHARE * len(answer):
+                want.add((w, k))
+    assert found == want
+
+
 def test_leaks_are_found_and_clean_documents_left(spark):
     draw = random.Random(2)
     words = vocabulary(draw, "abcdefghij", 4000)
