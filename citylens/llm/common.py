@@ -83,7 +83,11 @@ def slot_map(keys: DataFrame):
 
 def in_map(known: dict[int, bytes], key: str) -> bool:
     """False only if the key is not wanted."""
-    at = slot(key)
+    return slot_in_map(known, slot(key))
+
+
+def slot_in_map(known: dict[int, bytes], at: int) -> bool:
+    """False only if no wanted key has this slot."""
     # Bucket 1 holds slots 1 to 32768; bit p of a byte string is bit p % 8 of byte p // 8.
     bits = known.get((at + 32767) // 32768 if at else 0)
     place = (at - 1) % 32768 if at else 0
@@ -99,7 +103,7 @@ def without(docs: DataFrame, key: Column, decided: DataFrame) -> DataFrame:
     lost = stage(decided.groupBy("doc_id", "key").agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("rows")).filter("NOT any_kept OR rows > 1"), "dedup-lost")
     marked = docs.withColumn(names["dedup_key"], key)
     same = lambda other: marked["doc_id"].cast("long").eqNullSafe(other["doc_id"]) & (marked[names["dedup_key"]] == other["key"])
-    out = marked.join(lost.hint("shuffle_hash"), same(lost), "left_anti")
+    out = marked.join(lost, same(lost), "left_anti")
     tied = lost.filter("any_kept")
     if not tied.isEmpty():
         order = W.partitionBy("doc_id", names["dedup_key"]).orderBy("text")

@@ -9,15 +9,15 @@ than once are hits: for them full bytes are compared, and texts that differ are
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citylens.llm.common import in_map, map_batches, raw_bytes, slot, slot_map, without
+from citylens.llm.common import KEY_SLOTS, fold, map_batches, raw_bytes, slot_in_map, slot_map, without
 from citylens.session import scratch_path, stage
 
 STATE_STORE = {
@@ -33,14 +33,25 @@ def sha256_hex(folded: bytes) -> str:
     return hashlib.sha256(folded).hexdigest()
 
 
+def sha256_column(text: Column) -> Column:
+    """``sha256_hex`` of a text with A-Z lower-cased; null counts as empty."""
+    return F.sha2(fold(F.coalesce(text.cast("string"), F.lit(""))), 256)
+
+
 def digest_rows(docs: DataFrame, digest: Callable[[bytes], str]) -> DataFrame:
-    """doc_id, digest, slot and locator (the file a row was read from, empty if it was made in memory)."""
-    def work(batch: pa.RecordBatch) -> dict:
-        digests = [digest(text.lower()) for text in raw_bytes(batch, "text")]
-        return {"doc_id": batch.column("doc_id"), "digest": digests, "slot": [slot(d) for d in digests], "locator": batch.column("locator")}
+    """doc_id, digest, slot and locator (the file a row was read from, empty if it was made in memory).
 
+    The SHA-256 is worked out where the rows are; another digest is asked from Python.
+    """
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.input_file_name().alias("locator"))
-    return map_batches(read, work, "doc_id long, digest string, slot long, locator string")
+    if digest is sha256_hex:
+        named = read.select("doc_id", sha256_column(F.col("text")).alias("digest"), "locator")
+    else:
+        def work(batch: pa.RecordBatch) -> dict:
+            return {"doc_id": batch.column("doc_id"), "digest": [digest(text.lower()) for text in raw_bytes(batch, "text")], "locator": batch.column("locator")}
+
+        named = map_batches(read, work, "doc_id long, digest string, locator string")
+    return named.select("doc_id", "digest", F.pmod(F.crc32(F.col("digest").cast("binary")), F.lit(KEY_SLOTS)).alias("slot"), "locator")
 
 
 def keyed_state(keys: DataFrame, folder: str) -> DataFrame:
@@ -82,7 +93,7 @@ def differing_hits(docs: DataFrame, groups: DataFrame, digest: Callable[[bytes],
         for text in raw_bytes(batch, "text"):
             folded = text.lower()
             name = digest(folded)
-            if in_map(known.value, name):
+            if slot_in_map(known.value, zlib.crc32(name.encode()) % KEY_SLOTS):
                 found.append((name, folded))
         return {"digest": [d for d, _ in found], "body": [b for _, b in found]} if found else None
 
@@ -126,12 +137,7 @@ def _with_text_key(docs: DataFrame, digest: Callable[[bytes], str]) -> DataFrame
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), work, "doc_id long, digest string, body_key string")
 
 
-@F.pandas_udf(T.StringType())
-def _digest_column(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: sha256_hex((t or "").encode().lower()))
-
-
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns as they are."""
     decided = exact_groups(docs).select("doc_id", F.col("digest").alias("key"), "kept")
-    return without(docs, _digest_column(F.coalesce(F.col("text").cast("string"), F.lit(""))), decided)
+    return without(docs, sha256_column(F.col("text")), decided)
