@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 from collections import Counter
+from functools import reduce
 from operator import eq
 
 import numpy as np
@@ -175,8 +176,9 @@ class Judge:
             return pd.DataFrame(np.array(rows).reshape(-1, len(TARGETS)), columns=[f"{t}_llr" for t in TARGETS])
 
         self.evidence = F.pandas_udf(score, ", ".join(f"{t}_llr double" for t in TARGETS))
-        sites = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *self._levels(), self.evidence(F.col("text").cast("string")).alias("e"))
-        self.scored = stage(sites.select("doc_id", "host", "path", *[F.col(f"e.{t}_llr").alias(f"{t}_llr") for t in TARGETS]), "quality-evidence")
+        text = F.col("text").cast("string")
+        sites = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), *self._levels(), self.evidence(text).alias("e"))
+        self.scored = stage(sites.select("doc_id", "text_key", "host", "path", *[F.col(f"e.{t}_llr").alias(f"{t}_llr") for t in TARGETS]), "quality-evidence")
         truth = known.select("doc_id", *[F.col(t).alias(f"{t}_label") for t in TARGETS])
         soft = [F.coalesce(F.col(f"{t}_label").cast("double"), logistic(F.col(f"{t}_llr") + logit(self.model["prior"][t]))).alias(t) for t in TARGETS]
         self.priors = site_priors(self.scored.join(truth, "doc_id", "left").select("host", "path", *soft), ["host", "path"])
@@ -216,9 +218,16 @@ def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their columns as they are."""
+    """The rows of ``docs`` that are not rejected, with their columns as they are.
+
+    Evidence is worked out once; rejected rows are found by doc_id, text, host and path.  Rows that share all four are
+    judged alike.  Nulls count as values of their own; an empty table stays empty; very long texts are read whole.
+    """
     judge = Judge(docs, labels)
-    names = docs.columns
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)], *judge._levels(), judge.evidence(F.col("text").cast("string")).alias("e"))
-    rows = rows.select("*", *[F.col(f"e.{t}_llr").alias(f"{t}_llr") for t in TARGETS])
-    return judge.decide(rows).filter(f"NOT ({REJECT})").select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(names)])
+    names = ["doc_id", "text_key", "host", "path"]
+    lost = stage(judge.decide(judge.scored).filter(REJECT).select(*names).distinct(), "quality-rejected")
+    own = {"doc_id": F.col("doc_id").cast("long"), "text_key": F.xxhash64(F.col("text").cast("string")), "host": F.col(judge.host), "path": F.col(judge.path)}
+    marks = {n: fresh_name(docs, f"judged_{n}") for n in names}
+    marked = docs.withColumns({marks[n]: own[n] for n in names})
+    same = [marked[marks[n]].eqNullSafe(lost[n]) for n in names]
+    return marked.join(lost, reduce(lambda a, b: a & b, same), "left_anti").drop(*marks.values())
