@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from citylens.llm.common import WORD
+from citylens.llm.common import WORD, fresh_name
 from citylens.session import stage
 
 # Hex digits that make a slice of the seeded order; only one slice per source is ordered row by row.
@@ -111,7 +111,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0, seed: int = 7) -> DataFrame:
-    """The mix itself: the columns of ``docs`` and ``mix_copy``, one row per repetition.
+    """The mix itself: the columns of ``docs`` and ``mix_copy`` (another name if ``docs`` has it), one row per repetition.
 
     The last repetition of one document per source may hold its first words only.  A document that the
     mix leaves out has no row.  ``n_chars``, if there, is that of the text that is returned.
@@ -128,4 +128,4 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     cut = F.array_join(F.slice(ends, 1, F.col("mix_words").cast("int")), "")
     text = F.when(F.col("mix_words") >= F.col("mix_size"), F.col("text")).otherwise(cut)
     shown = {"text": text, "n_chars": F.length(text).cast("long")}
-    return out.select(*[(shown.get(c, F.col(f"in_{i}"))).alias(c) for i, c in enumerate(names)], "mix_copy")
+    return out.select(*[(shown.get(c, F.col(f"in_{i}"))).alias(c) for i, c in enumerate(names)], F.col("mix_copy").alias(fresh_name(docs, "mix_copy")))

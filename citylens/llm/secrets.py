@@ -9,7 +9,6 @@ shape is under an automaton than under the letter statistics of ordinary tokens.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter, deque
@@ -232,7 +231,3 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     span = "array<struct<start: int, kind: int, end: int>>"
     return map_batches(scanned.select("doc_id", "base", "tokens"), work, f"doc_id long, base {span}, more {span}")
-
-
-def sha256_text(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

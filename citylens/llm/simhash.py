@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from citylens.llm.common import map_batches, raw_bytes
+from citylens.llm.common import map_batches, raw_bytes, without
 from citylens.llm.graph import components
 from citylens.session import stage
 
@@ -55,11 +55,17 @@ def majority_bits(digests: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fingerprint (long) of every whole text; null and blank texts have fingerprint zero."""
+    """doc_id, text_key (hash of the text) and fingerprint (long) of every whole text; null and blank texts have fingerprint zero."""
     def work(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id"), "fingerprint": [majority_bits(shingle_digests(t.lower(), words)) for t in raw_bytes(batch, "text")]}
+        found = [majority_bits(shingle_digests(t.lower(), words)) for t in raw_bytes(batch, "text")]
+        return {"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "fingerprint": found}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), work, "doc_id long, fingerprint long")
+    read = docs.select(F.col("doc_id").cast("long"), _text_key().alias("text_key"), F.col("text").cast("string"))
+    return map_batches(read, work, "doc_id long, text_key long, fingerprint long")
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def reference_segments(width: int) -> list[int]:
@@ -117,11 +123,30 @@ def simhash_groups(docs: DataFrame, words: int = 3) -> DataFrame:
     link like any other; a null doc_id names a component only if it has no other id.  Repeated rows come
     back as often as they went in; an empty table gives no rows; other columns are ignored.
     """
+    return _placed(docs, words).select("doc_id", "fingerprint", "component_id")
+
+
+def _placed(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, text_key, fingerprint and component_id for each row."""
     prints = stage(fingerprints(docs, words), "fingerprints")
     distinct = stage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low")), "fingerprint-set")
     linked = components(close_links(distinct.select("fingerprint")))
     placed = distinct.join(linked.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "low", F.coalesce("component", "fingerprint").alias("component"))
     placed = stage(placed, "fingerprint-components")
     names = placed.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = stage(placed.join(names, "component").select("fingerprint", "component_id"), "fingerprint-names")
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = stage(placed.join(names, "component").select("fingerprint", "component", "component_id"), "fingerprint-names")
+    return prints.join(named, "fingerprint").select("doc_id", "text_key", "fingerprint", "component", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 3) -> DataFrame:
+    """One row of each group of ``simhash_groups`` stays, with its columns as they are: the one with the smallest doc_id.
+
+    Among rows that share this doc_id the one with the least hash of its text stays, among equal rows any one.  Null and
+    blank texts are one group; without any doc_id in a group one of its rows stays; very long texts are read whole; an
+    empty table stays empty.
+    """
+    rows = stage(_placed(docs, words), "near-rows")
+    named = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = rows.filter(named).groupBy("component").agg(F.min("text_key").alias("first_key"))
+    decided = rows.join(first, "component").select("doc_id", F.col("text_key").alias("key"), (named & (F.col("text_key") == F.col("first_key"))).alias("kept"))
+    return without(docs, _text_key(), decided)

@@ -86,8 +86,10 @@ def test_phrases_exact_beyond_64_bits(spark):
     assert row.score == 1000 * (3 * 10**11 + 1) * 4 * 10**12 // ((5 * 10**11 + 3) * (9 * 10**11 + 7))
 
 
-def test_stripes_that_span_slices_are_merged(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "chunks", lambda batches, column="text", limit=0: words.chunks(batches, column, 1))
+@pytest.mark.parametrize("packs", [1, 3, 1000])
+def test_stripes_in_any_number_of_packs(spark, monkeypatch, packs):
+    monkeypatch.setattr(phrases, "PACKS", packs)
+    monkeypatch.setattr(phrases, "chunks", lambda batches, column="text", limit=0: words.chunks(batches, column, 200))
     rows = phrase_rows(2)
     assert sorted(map(tuple, phrases.mine_phrases(docs_of(spark, rows).repartition(3), 4, 5, 99).collect())) == phrases_by_force(rows, 4, 5, 99)
 
