@@ -12,8 +12,8 @@ from citylens.llm.common import table
 from citylens.llm.contamination import drop_leaks
 from citylens.llm.exact import drop_copies
 from citylens.llm.mixing import mixed_documents
-from citylens.llm.neardup import drop_near_copies
 from citylens.llm.quality import keep_good
+from citylens.llm.simhash import drop_near_copies
 from citylens.session import stage
 
 
@@ -28,7 +28,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group whose SimHash fingerprints of three-word shingles differ in two bits or fewer."""
     return drop_near_copies(docs)
 
 
