@@ -152,6 +152,25 @@ def src_html_table(spark, sf):
     return _list_rows(spark, sf).select("page_id", "pos", F.get("cells", F.lit(0)).alias("item"))
 
 
+@query("src_html_nested", """SELECT n_nationkey, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY k) - 1 AS INTEGER) AS pos, cell0, cell1, cell2
+    FROM (SELECT n_nationkey, -1 AS k, 'nation' AS cell0, 'supplier' AS cell1, 'supplier' AS cell2 FROM nation
+    UNION ALL SELECT n_nationkey, s_suppkey, n_name, s_name, printf('%d', s_suppkey) FROM nation JOIN supplier ON s_nationkey = n_nationkey)""")
+def src_html_nested(spark, sf):
+    """One page per nation: a layout table around a table without end tags, with a heading over two columns and a name over all rows."""
+    suppliers = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(
+        F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("s"))  # the rows of one page
+    named = table(spark, sf, "nation").select("n_nationkey", "n_name").join(suppliers, "n_nationkey", "left")
+    row = lambda r: F.concat(F.lit("<td>"), r.s_name, F.lit("<td align='right'><i>"), r.s_suppkey.cast("string"), F.lit("</i>"))
+    rows = F.array_join(F.transform("s", row), "<tr>")
+    body = F.when(F.size("s") > 0, F.concat(F.lit("<tr><td rowspan="), F.size("s").cast("string"), F.lit(">"), F.col("n_name"), rows)).otherwise("")
+    page = F.concat(
+        F.lit("<html><table class='a>b'><tr><td>menu<td>text <table><!-- <tr><td>no --><thead><tr><th>nation<th colspan=2>supplier<tbody>"),
+        body, F.lit("</table> more</td></tr></table>"),
+    )
+    found = markup.table_rows(named.select("n_nationkey", page.alias("html")))
+    return found.select("n_nationkey", "pos", *[F.get("cells", F.lit(i)).alias(f"cell{i}") for i in range(3)])
+
+
 # --- sinks -------------------------------------------------------------------------------------
 
 SEGMENT_SQL = "SELECT c_mktsegment AS segment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY ALL"
@@ -552,6 +571,24 @@ def fn_tz_convert(spark, sf):
     return table(spark, sf, "events").select("event_id", F.date_format(dates.utc_to_local("ts"), "yyyy-MM-dd HH:mm:ss").alias("local"))
 
 
+# The rule of the years of the orders table: daylight time from the first Sunday of April to the last of October, both at two o'clock.
+CHANGES_SQL = """(SELECT o_orderkey, utc, utc - CASE WHEN utc >= spring + INTERVAL 7 HOUR AND utc < autumn + INTERVAL 6 HOUR THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END AS local
+    FROM (SELECT o_orderkey, utc, make_date(year(utc), 4, 1 + (7 - isodow(make_date(year(utc), 4, 1))) % 7)::TIMESTAMP AS spring,
+    make_date(year(utc), 10, CAST(31 - isodow(make_date(year(utc), 10, 31)) % 7 AS BIGINT))::TIMESTAMP AS autumn
+    FROM (SELECT o_orderkey, o_orderdate::TIMESTAMP + to_minutes(CAST(o_orderkey * 7 % 1440 AS BIGINT)) AS utc FROM orders)))"""
+
+
+@query("fn_tz_changes", f"""SELECT o_orderkey, strftime(local, '%Y-%m-%d %H:%M:%S') AS local, CAST(local AS DATE) AS day, strftime(local, '%H:%M:%S') AS time
+    FROM {CHANGES_SQL}""")
+def fn_tz_changes(spark, sf):
+    """Seven years of local times, across every change of the clock."""
+    utc = F.expr("CAST(o_orderdate AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, CAST(o_orderkey * 7 % 1440 AS INT), 0)")
+    local = dates.utc_to_local(utc)
+    return table(spark, sf, "orders").select(
+        "o_orderkey", F.date_format(local, "yyyy-MM-dd HH:mm:ss").alias("local"), F.to_date(local).alias("day"), dates.time_of_day(local).alias("time")
+    )
+
+
 @query("fn_date_time_split", f"SELECT event_id, CAST({LOCAL_SQL} AS DATE) AS day, strftime({LOCAL_SQL}, '%H:%M:%S') AS time FROM events")
 def fn_date_time_split(spark, sf):
     local = dates.utc_to_local("ts")

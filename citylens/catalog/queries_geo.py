@@ -60,6 +60,25 @@ def join_point_intersects(spark, sf):
     return geo.label_points(b.trips(spark, sf), labels, ("ox", "oy"), "region", "left").select("event_id", "region")
 
 
+# An L, a square with a hole and a triangle with a slanted edge.
+SHAPES = [
+    ("ell", "POLYGON ((0 0, 6 0, 6 3, 3 3, 3 6, 0 6, 0 0))"), ("ring", "POLYGON ((7 0, 13 0, 13 6, 7 6, 7 0), (9 2, 11 2, 11 4, 9 4, 9 2))"),
+    ("slant", "MULTIPOLYGON (((0 8, 6 8, 0 13, 0 8)))"),
+]
+SHAPES_SQL = """(SELECT x, y, region, inside FROM (SELECT DISTINCT ox AS x, oy AS y FROM {trips} t), LATERAL (
+    SELECT 'ell' AS region, x >= 0 AND y >= 0 AND x <= 6 AND y <= 6 AND (x <= 3 OR y <= 3) AS touching, x > 0 AND y > 0 AND x < 6 AND y < 6 AND (x < 3 OR y < 3) AS inside
+    UNION ALL SELECT 'ring', x BETWEEN 7 AND 13 AND y BETWEEN 0 AND 6 AND NOT (x > 9 AND x < 11 AND y > 2 AND y < 4),
+        x > 7 AND x < 13 AND y > 0 AND y < 6 AND NOT (x BETWEEN 9 AND 11 AND y BETWEEN 2 AND 4)
+    UNION ALL SELECT 'slant', x >= 0 AND y >= 8 AND 5 * x + 6 * (y - 8) <= 30, x > 0 AND y > 8 AND 5 * x + 6 * (y - 8) < 30) s WHERE touching)"""
+
+
+@query("join_point_shapes", f"SELECT x, y, region, inside FROM {SHAPES_SQL.format(trips=b.TRIPS_SQL)}")
+def join_point_shapes(spark, sf):
+    """Points in or on regions of any outline, and whether they lie strictly inside."""
+    shapes = geo.RegionIndex(parameter_table(spark, "region string, wkt string", SHAPES), 0.4)
+    return geo.touching_regions(origins(spark, sf), shapes).select("x", "y", "region", (~F.col("on_edge")).alias("inside"))
+
+
 @query("update_from_join", f"""SELECT event_id, min(region) AS region FROM (SELECT event_id, ox AS x, oy AS y FROM {b.TRIPS_SQL} t)
     LEFT JOIN {b.RECTANGLES_SQL} ON {BOX_ON} GROUP BY ALL""")
 def update_from_join(spark, sf):

@@ -94,6 +94,37 @@ def report_bike_zones(spark, sf):
     return trips.located_zone_months(b.trips(spark, sf), "ts", ("ox", "oy"), ("dx", "dy"), index(spark), zones)
 
 
+YEARS = list(range(1995, 2002))
+# orders read as trips, by the year of their source
+YEAR_TRIPS_SQL = """(SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderdate AS ts, CAST(o_custkey * 37 % 104 AS DOUBLE) / 8 AS ox,
+    CAST(o_custkey * 53 % 104 AS DOUBLE) / 8 AS oy, CAST(o_orderkey * 37 % 104 AS DOUBLE) / 8 AS dx, CAST(o_orderkey * 53 % 104 AS DOUBLE) / 8 AS dy FROM orders)"""
+
+
+def _inside_year_sql(x, y):
+    return f"""(SELECT x, y, min(region) AS region FROM (SELECT DISTINCT {x} AS x, {y} AS y FROM {YEAR_TRIPS_SQL} t), {b.RECTANGLES_SQL} WHERE {BOX_IN} GROUP BY ALL)"""
+
+
+@query("report_bike_years", f"""SELECT year, CAST(month(ts) AS INTEGER) AS month,
+    CAST(sum(CASE WHEN s.region <> 'r1' AND e.region = 'r1' THEN 1 ELSE 0 END) AS BIGINT) AS non_cbd_to_cbd,
+    CAST(sum(CASE WHEN s.region = 'r1' AND e.region <> 'r1' THEN 1 ELSE 0 END) AS BIGINT) AS cbd_to_non_cbd,
+    CAST(sum(CASE WHEN s.region = 'r2' AND e.region = 'r1' THEN 1 ELSE 0 END) AS BIGINT) AS non_cbd_mnh_to_cbd_mnh,
+    CAST(sum(CASE WHEN s.region = 'r1' AND e.region = 'r1' THEN 1 ELSE 0 END) AS BIGINT) AS within_cbd, count(*) AS total_trips
+    FROM {YEAR_TRIPS_SQL} t LEFT JOIN {_inside_year_sql('ox', 'oy')} s ON t.ox = s.x AND t.oy = s.y
+    LEFT JOIN {_inside_year_sql('dx', 'dy')} e ON t.dx = e.x AND t.dy = e.y GROUP BY ALL""")
+def report_bike_years(spark, sf):
+    eighth = lambda c, factor: (F.col(c) * factor % 104).cast("double") / 8
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderdate").alias("ts"), eighth("o_custkey", 37).alias("ox"), eighth("o_custkey", 53).alias("oy"),
+        eighth("o_orderkey", 37).alias("dx"), eighth("o_orderkey", 53).alias("dy"),
+    )
+    sources = {year: rows.where(F.year("ts") == year) for year in YEARS}
+    zones = parameter_table(
+        spark, "name string, cbd boolean, other_manhattan boolean, outside_cbd boolean",
+        [(name, name == "r1", name == "r2", name != "r1") for name, *_ in b.RECTANGLES],
+    )
+    return trips.zone_years(sources, "ts", ("ox", "oy"), ("dx", "dy"), index(spark), zones)
+
+
 STOPS_SQL = f"""(SELECT user_id AS ons, event_id % 17 AS offs, CASE WHEN event_id % 50 <> 0 THEN ox END AS x,
     CASE WHEN event_id % 50 <> 0 THEN oy END AS y FROM {b.TRIPS_SQL} t)"""
 
@@ -117,9 +148,7 @@ TOTALS = {"Adjacent": ["n2", "n3", "n4"], "Zone": ["n1"], "Others": ["Other"], "
 
 
 def _person_rows(spark, sf):
-    rows = b.persons(spark, sf).withColumn(
-        "SEVERITY", crashes.severity("PERSON_INJURY", "EMOTIONAL_STATUS", "COMPLAINT", "BODILY_INJURY")
-    )
+    rows = crashes.with_severity(b.persons(spark, sf), "SEVERITY", "PERSON_INJURY", "EMOTIONAL_STATUS", "COMPLAINT", "BODILY_INJURY")
     return rows.select("COLLISION_ID", "CRASH_DATE", "SEVERITY", "area")
 
 

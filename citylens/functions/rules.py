@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citylens.functions.text import clean_text
@@ -47,9 +47,18 @@ def severity(injury: str, status: str, complaint: str, body_part: str) -> Column
     Only distinctions that can decide a row are made: the body part of a minor complaint never
     changes its letter.  A missing value belongs to no word list, so it falls through to U.
     """
-    hurt, state = clean_text(injury), clean_text(status)
-    pain, part = clean_text(complaint), clean_text(body_part)
-    # a decision tree, so each text is cleaned a few times per row and not once per rule
+    return _letter(*[clean_text(c) for c in (injury, status, complaint, body_part)])
+
+
+def with_severity(df: DataFrame, out: str, injury: str, status: str, complaint: str, body_part: str) -> DataFrame:
+    """Add the letter of ``severity``.  Each text is cleaned once, in a projection below the rules."""
+    names = [f"_clean_{i}" for i in range(4)]
+    cleaned = df.withColumns(dict(zip(names, [clean_text(c) for c in (injury, status, complaint, body_part)])))
+    return cleaned.withColumn(out, _letter(*[F.col(n) for n in names])).drop(*names)
+
+
+def _letter(hurt: Column, state: Column, pain: Column, part: Column) -> Column:
+    """The decision tree over cleaned texts."""
     unhurt = (state == "CONSCIOUS") & part.isin(UNSTATED_BODY_PART)
     by_complaint = first_match(
         [

@@ -12,7 +12,7 @@ def _c(value: Column | str) -> Column:
 
 def clean_text(value: Column | str) -> Column:
     """Strip white space of any kind at both ends and upper-case; a missing value stays missing."""
-    return F.upper(F.regexp_replace(_c(value), r"^\s+|\s+$", ""))
+    return F.upper(F.btrim(_c(value), F.lit(" \t\n\r\f\v")))
 
 
 def without_commas(value: Column | str) -> Column:

@@ -49,8 +49,3 @@ def blank_unless(df: DataFrame, column: str, valid: DataFrame, on: list[str]) ->
 def any_equal(columns: list[str], value: object) -> Column:
     """True when any of the columns equals the value; missing cells never decide."""
     return reduce(lambda a, b: a | b, [F.col(f"`{c}`").eqNullSafe(F.lit(value)) for c in columns])
-
-
-def fill_missing_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
-    """NaN to NULL, so that sums and means skip it."""
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})

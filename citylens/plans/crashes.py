@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citylens.functions.dates import parse_coerce, parse_strict
-from citylens.functions.rules import severity
+from citylens.functions.rules import with_severity
 from citylens.functions.text import text_to_int
 from citylens.operators import geo
 from citylens.operators.aggregates import distinct_grid, group_sum, with_subtotals
@@ -31,8 +31,7 @@ def classify_persons(persons: DataFrame, crashes: DataFrame) -> DataFrame:
     """Persons with the location of their crash and a severity letter."""
     places = crashes.select("COLLISION_ID", "LATITUDE", "LONGITUDE")
     joined = persons.join(places, "COLLISION_ID", "inner")
-    letter = severity("PERSON_INJURY", "EMOTIONAL_STATUS", "COMPLAINT", "BODILY_INJURY")
-    return joined.withColumn("SEVERITY", letter)
+    return with_severity(joined, "SEVERITY", "PERSON_INJURY", "EMOTIONAL_STATUS", "COMPLAINT", "BODILY_INJURY")
 
 
 def locate(persons: DataFrame, index: geo.RegionIndex, groups: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,6 +155,22 @@ def located_zone_months(
     return zone_months(named, F.col("month"), "start_nta", "end_nta", zones, tag, "_n")
 
 
+def zone_years(
+    sources: dict[int, DataFrame], start_time: str, start: tuple[str, str], end: tuple[str, str], index: geo.RegionIndex, zones: DataFrame,
+    label_path: str | None = None, refresh: bool = False,
+) -> DataFrame:
+    """``located_zone_months`` of several yearly sources in one table, one row per source year and month.
+
+    The year is the source's, whatever its timestamps say.  All years are counted in one pass and share one set of
+    labels; ``label_path`` keeps them, and a year that comes later labels only its new points.
+    """
+    rows = [source.select(F.lit(year).alias("year"), F.col(start_time).alias("_time"), *start, *end) for year, source in sources.items()]
+    stacked = reduce(DataFrame.unionByName, rows)
+    pairs = stage(stacked.groupBy("year", F.month("_time").alias("month"), *start, *end).agg(F.count(F.lit(1)).alias("_n")), "pairs")
+    named = with_neighbourhoods(pairs, {"start_nta": start, "end_nta": end}, index, label_path, refresh)
+    return zone_months(named, F.col("month"), "start_nta", "end_nta", zones, {"year": F.col("year")}, "_n")
+
+
 def with_neighbourhoods(
     trips: DataFrame, ends: dict[str, tuple[str, str]], index: geo.RegionIndex, label_path: str | None = None,
     refresh: bool = False,

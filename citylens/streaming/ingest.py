@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citylens.operators.geo import geojson_point_wkt
 from citylens.operators.joins import salted_join
 from citylens.operators.ordering import first_per_key, latest
 from citylens.operators.project import align_to_schema
@@ -32,6 +33,12 @@ FILTER_PARTS = 32  # parts from which the filters are written anew as one
 NO_DAY = "DATE'1000-01-01'"  # stands for a missing day
 
 
+def with_point_text(rows: DataFrame, column: str = "georeference") -> DataFrame:
+    """Rows as the feed declares them: a delivered point structure becomes ``POINT (x y)`` text; other rows stay as they are."""
+    kind = dict(rows.dtypes).get(column, "")
+    return rows.withColumn(column, geojson_point_wkt(column)) if kind.startswith("struct") else rows
+
+
 def stored(spark: SparkSession, path: str, feed: Feed) -> DataFrame:
     """The target with its day column, empty when nothing was written yet."""
     schema = T.StructType([*feed.schema.fields, T.StructField(DAY, T.DateType())])
@@ -124,7 +131,7 @@ def new_rows(batch: DataFrame, target: DataFrame, feed: Feed, path: str) -> Data
     if not parts and not target.isEmpty():
         remember_keys(target, path, feed)  # a target from before there were filters
         parts = _filter_parts(spark, path)
-    single = _in_filter(first_per_key(align_to_schema(batch, feed.schema), keys), feed)
+    single = _in_filter(first_per_key(align_to_schema(with_point_text(batch), feed.schema), keys), feed)
     if not parts:
         return stage(single.select(*columns), "page")
     single, found = stage_measured(single, "page", days=_listed(F.col("_day")))
