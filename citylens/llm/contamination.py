@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items and windows of documents are TF-IDF vectors over hashed words.  A randomised SVD, its
-products summed in the tasks, gives a latent basis.  Lists of the places of answer words, an item's rarest, say which
+Benchmark items and windows of documents are TF-IDF vectors over hashed words.  A randomised SVD of all
+passages and items, its product summed in the tasks, gives a latent basis.  Lists of the places of answer words, an item's rarest, say which
 windows hold enough of which item's answer; for these pairs the cosine of window and item finds candidates, and a
 candidate counts if enough of the item's words appear in the window in order (longest common subsequence).  Items too
 short for a telling cosine count as well where they stand word for word.
@@ -10,25 +10,25 @@ short for a telling cosine count as well where they stand word for word.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citylens.llm.common import map_batches
-from citylens.session import stage
+from citylens.llm.common import map_batches, pa_schema
 
 # Words are hashed to so many features; passages of BLOCKS_PER_PASSAGE blocks are what idf counts.
 FEATURES, BLOCK, BLOCKS_PER_PASSAGE = 1 << 14, 8, 6
 # Items longer than this are searched piece by piece.
 PIECE = 64
 RANK, OVERSAMPLE, SEED = 96, 16, 11
-# The basis is fitted on at most so many benchmark pieces and about so many document passages.
-FIT_ITEMS, FIT_PASSAGES = 20_000, 4_000
+# All passages of documents together weigh in the basis as much as so many, all benchmark pieces as at most so many.
+PASSAGES_WEIGH, PIECES_WEIGH = 4_000, 20_000
+# Passages are multiplied so many at a time; sums of products travel in so many slices of features.
+PASSAGES_AT_ONCE, SLICES = 16, 256
 COSINE, IN_ORDER, ANSWER_SHARE = 0.65, 0.6, 0.5
 ANSWER_WORDS = 5
 # Items below this length are also found where they stand word for word, whatever the cosine.
@@ -41,53 +41,84 @@ RUN_WORDS, WORDS_AT_ONCE = 1 << 15, 1 << 15
 ITEMS_AT_ONCE = 20_000
 
 
+# Each byte of a word is multiplied by an odd number of its place; the sum, mixed, is the word's feature.
+PLACES = np.random.default_rng(SEED).integers(1 << 31, size=256).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+WHITE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+# Texts are hashed so many bytes at a time.
+BYTES_AT_ONCE = 1 << 18
+
+
+def plain(text: str | None) -> bytes:
+    """Lower-case text with spaces for ASCII punctuation."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(PLAIN)
+
+
+def features(texts: list[bytes]) -> list[np.ndarray]:
+    """Hashed features of the words of each plain text."""
+    out, todo, size = [], [], 0
+    for text in texts:
+        todo.append(text)
+        size += len(text) + 1
+        if size >= BYTES_AT_ONCE:
+            out += _features_of_few(todo)
+            todo, size = [], 0
+    return out + _features_of_few(todo)
+
+
+def _features_of_few(texts: list[bytes]) -> list[np.ndarray]:
+    raw = np.frombuffer(b" ".join(texts), np.uint8)
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = ~WHITE[raw]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts = edges[::2]
+    ends = np.cumsum([len(text) + 1 for text in texts])
+    ids = np.empty(0, np.int64)
+    if len(starts):
+        # Bytes count from the beginning of their word; those between words add nothing.
+        own = raw[starts[0]:]
+        place = np.arange(len(own), dtype=np.int32) - np.repeat((starts - starts[0]).astype(np.int32), np.diff(np.append(starts, len(raw))))
+        sums = np.add.reduceat((own + np.uint32(1)) * PLACES[place & 255] * inside[1 + starts[0]:-1], starts - starts[0], dtype=np.uint32)
+        ids = (((sums ^ sums >> np.uint32(15)) * PLACES[0]) >> np.uint32(16)).astype(np.int64) % FEATURES
+    return np.split(ids, np.searchsorted(starts, ends[:-1])) if texts else []
+
+
 class FeatureOf(dict):
-    """Hashed feature of a word, remembered for the words met lately."""
+    """Hashed feature of a word, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = found = xxhash.xxh32_intdigest(word) % FEATURES
+        self[word] = found = int(features([word])[0][0])
         return found
 
 
 def plain_words(text: str | None) -> list[bytes]:
     """Lower-case words without ASCII punctuation."""
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(PLAIN).split()
+    return plain(text).split()
 
 
 def item_pieces(items: DataFrame) -> list[tuple[int, list[bytes]]]:
     """Pieces (item_id, words) of one block of the benchmark; items without words have none."""
-    out = []
-    for item, text in items.collect():
-        words = plain_words(text)
-        size = -(-len(words) // max(1, -(-len(words) // PIECE)))
-        out += [(item, words[at:at + size]) for at in range(0, len(words), max(size, 1))]
-    return out
+    return [(item, piece) for item, text in items.collect() for piece in cut(plain_words(text))]
 
 
-def learn_idf(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Inverse passage frequency of every feature and the number of passages, over all documents."""
-    feature, step = FeatureOf(), BLOCK * BLOCKS_PER_PASSAGE
+def passage_counts(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features and word counts (passage x feature) of a few passages at a time; ``texts`` are the features of each text's words."""
+    step = BLOCK * BLOCKS_PER_PASSAGE
+    sizes = np.concatenate([np.diff(np.append(np.arange(0, len(ids), step), len(ids))) for ids in texts if len(ids)] or [np.empty(0, np.int64)])
+    words, ends = np.concatenate([np.empty(0, np.int64), *texts]), np.cumsum(sizes)
+    for at in range(0, len(sizes), PASSAGES_AT_ONCE):
+        own = sizes[at:at + PASSAGES_AT_ONCE]
+        kinds, column = np.unique(words[ends[at] - own[0]:ends[at + len(own) - 1]], return_inverse=True)
+        cell = np.repeat(np.arange(len(own)), own) * len(kinds) + column
+        yield kinds, np.bincount(cell, minlength=len(own) * len(kinds)).reshape(len(own), -1)
 
-    def count(words: list[bytes], places: list[np.ndarray], df: np.ndarray) -> None:
-        ids = np.fromiter(map(feature.__getitem__, words), np.int64, len(words))
-        seen = np.unique(np.concatenate(places) * FEATURES + ids)
-        df += np.bincount(seen % FEATURES, minlength=FEATURES)
 
+def learn_idf(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Inverse passage frequency of every feature and the number of passages, over all documents."""
     def work(batch: pa.RecordBatch) -> dict:
-        df, passages, words, places = np.zeros(FEATURES, np.int64), 0, [], []
-        for text in batch.column("text").to_pylist():
-            own = plain_words(text)
-            if own:
-                places.append(passages + np.arange(len(own)) // step)
-                passages += -(-len(own) // step)
-                words += own
-            if len(words) >= WORDS_AT_ONCE:
-                count(words, places, df)
-                words, places = [], []
-        if words:
-            count(words, places, df)
+        df, passages = np.zeros(FEATURES, np.int64), 0
+        for kinds, counts in passage_counts(features([plain(text) for text in batch.column("text").to_pylist()])):
+            df[kinds] += (counts > 0).sum(axis=0)
+            passages += len(counts)
         found = np.flatnonzero(df)
         return {"feature": [-1, *found.tolist()], "n": [passages, *df[found].tolist()]}
 
@@ -100,67 +131,63 @@ def learn_idf(docs: DataFrame) -> tuple[np.ndarray, int]:
     return idf.astype(np.float32), total
 
 
-def weighted(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features and unit-length TF-IDF weights of a passage."""
-    kinds, tf = np.unique(ids, return_counts=True)
-    w = tf * idf[kinds]
-    return kinds, w / max(float(np.sqrt((w * w).sum())), 1e-9)
+def cut(words: list | np.ndarray) -> list:
+    """The words of an item in pieces of about equal length, PIECE at most."""
+    size = -(-len(words) // max(1, -(-len(words) // PIECE)))
+    return [words[at:at + size] for at in range(0, len(words), max(size, 1))]
 
 
-def learn_basis(docs: DataFrame, pieces: list[tuple[int, list[bytes]]], idf: np.ndarray, passages: int) -> np.ndarray:
-    """Latent vectors of all features (FEATURES x RANK) by a randomised SVD of the fit sample.
+def product(texts: DataFrame, q: np.ndarray, idf: np.ndarray, pieces: bool) -> tuple[np.ndarray, int]:
+    """A'A q and the number of rows of A: unit-length TF-IDF vectors of all passages of ``texts``, or of the pieces of items.
 
-    The sample holds the benchmark pieces and about FIT_PASSAGES passages of documents drawn by hash of
-    the id.  Two products with A'A are summed in the tasks, block of features by block.
+    Every task sums over all its texts; the sums of the tasks meet slice of features by slice.
     """
-    spark = docs.sparkSession
-    share = min(1.0, FIT_PASSAGES / max(passages, 1))
-    feature = FeatureOf()
-    step = BLOCK * BLOCKS_PER_PASSAGE
-    shared_idf = spark.sparkContext.broadcast(idf)
-
-    def vectors(batch: pa.RecordBatch) -> dict:
-        known, out = FeatureOf(), {"ids": [], "weights": []}
-        for text in batch.column("text").to_pylist():
-            words = plain_words(text)
-            for at in range(0, len(words), step):
-                kinds, w = weighted(np.array([known[x] for x in words[at:at + step]]), shared_idf.value)
-                out["ids"].append(kinds.tolist())
-                out["weights"].append(w.tolist())
-        return out
-
-    drawn = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).select(F.col("text").cast("string"))
-    schema = "ids array<int>, weights array<float>"
-    own = [weighted(np.array([feature[x] for x in words]), idf) for _, words in pieces[:FIT_ITEMS]]
-    rows = map_batches(drawn, vectors, schema)
-    if own:
-        rows = rows.unionByName(spark.createDataFrame(pd.DataFrame({"ids": [k.tolist() for k, _ in own], "weights": [w.tolist() for _, w in own]}), schema))
-    matrix = stage(rows, "lsa-sample")
-    width, blocks = RANK + OVERSAMPLE, 16
-
-    def product(q: np.ndarray) -> np.ndarray:
-        """A'A q."""
-        shared = spark.sparkContext.broadcast(q.astype(np.float32))
-
-        def work(batch: pa.RecordBatch) -> dict:
-            out = np.zeros((FEATURES, width), np.float32)
-            for ids, weights in zip(batch.column("ids").to_pylist(), batch.column("weights").to_pylist()):
-                w = np.array(weights, np.float32)
-                out[ids] += w[:, None] * (w @ shared.value[ids])
-            return {"block": list(range(blocks)), "part": [x.tobytes() for x in np.split(out, blocks)]}
-
-        def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"block": [key[0]], "part": [sum(np.frombuffer(p, np.float32) for p in group["part"]).astype(np.float32).tobytes()]})
-
-        parts = map_batches(matrix, work, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary").collect()
-        total = np.zeros((blocks, FEATURES // blocks, width))
-        for block, part in parts:
-            total[block] = np.frombuffer(bytes(part), np.float32).reshape(-1, width)
-        return total.reshape(FEATURES, width)
-
-    q, _ = np.linalg.qr(product(np.random.default_rng(SEED).standard_normal((FEATURES, width))))
-    _, turn = np.linalg.eigh(q.T @ product(q))
-    return (q @ turn[:, ::-1][:, :RANK]).astype(np.float32)
+    spark, width, schema = texts.sparkSession, q.shape[1], "slice int, n long, part binary"
+    shared, target = spark.sparkContext.broadcast((q.astype(np.float32), idf)), pa_schema(spark, schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (q, idf), out, n = shared.value, np.zeros((FEATURES, width), np.float32), 0
+        for batch in batches:
+            found = features([plain(text) for text in batch.column("text").to_pylist()])
+            for kinds, counts in passage_counts([piece for ids in found for piece in cut(ids)] if pieces else found):
+                rows = counts.astype(np.float32) * idf[kinds]
+                rows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)[:, None]
+                out[kinds] += rows.T @ (rows @ q[kinds])
+                n += len(rows)
+        if n:
+            parts = [x.tobytes() for x in np.split(out, SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([n] * SLICES, pa.int64()), pa.array(parts, pa.binary())], schema=target)
+
+    def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(FEATURES // SLICES * width)
+        for part in group["part"]:
+            total += np.frombuffer(part, np.float32)
+        return pd.DataFrame({"slice": [key[0]], "n": [group["n"].sum()], "part": [total.astype(np.float32).tobytes()]})
+
+    total, n = np.zeros((SLICES, FEATURES // SLICES, width)), 0
+    for at, n, part in texts.select("text").mapInArrow(work, schema).groupBy("slice").applyInPandas(add, schema).collect():
+        total[at] = np.frombuffer(bytes(part), np.float32).reshape(-1, width)
+    return total.reshape(FEATURES, width), n
+
+
+def learn_basis(docs: DataFrame, items: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """Latent vectors of all features (FEATURES x RANK) by a randomised SVD of all passages of ``docs`` and all pieces of ``items``.
+
+    Both sides are weighed as wholes.  One product with A'A and its random test vectors are enough for its leading
+    eigenvectors (Nystroem); directions that no text has are zero.
+    """
+    q, _ = np.linalg.qr(np.random.default_rng(SEED).standard_normal((FEATURES, RANK + OVERSAMPLE)))
+    total = np.zeros(q.shape)
+    for texts, weigh, pieces in ((docs, PASSAGES_WEIGH, False), (items, PIECES_WEIGH, True)):
+        part, n = product(texts.select(F.col("text").cast("string")), q, idf, pieces)
+        total += part * min(1.0, weigh / max(n, 1))
+    values, turn = np.linalg.eigh((q.T @ total + total.T @ q) / 2)
+    real = values > max(values.max(), 0.0) * 1e-6
+    vectors, sizes, _ = np.linalg.svd(total @ turn[:, real] / np.sqrt(values[real]), full_matrices=False)
+    basis = np.zeros((FEATURES, RANK), np.float32)
+    vectors = vectors[:, sizes > 0][:, :RANK]
+    basis[:, :vectors.shape[1]] = vectors
+    return basis
 
 
 def in_order(masks: dict[bytes, int], length: int, words: list[bytes]) -> int:
@@ -209,11 +236,11 @@ class Search:
     def leaks(self, texts: list[str | None]) -> list[tuple[int, int, float, float, float]]:
         """(text number, piece number, cosine, share in order, share of the answer), best window per pair."""
         found, todo, size = {}, [], 0
-        for number, text in enumerate(texts):
-            words = plain_words(text)
-            for at in range(0, max(1, len(words)), RUN_WORDS):
-                run = words[at:at + RUN_WORDS + BLOCK * self.most]
-                todo.append((number, run))
+        plains = [plain(text) for text in texts]
+        for number, (whole, ids) in enumerate(zip(plains, features(plains))):
+            for at in range(0, len(ids), RUN_WORDS):
+                run = ids[at:at + RUN_WORDS + BLOCK * self.most]
+                todo.append((number, whole, at, run))
                 size += len(run)
                 if size >= WORDS_AT_ONCE:
                     self._handle(todo, found)
@@ -243,13 +270,12 @@ class Search:
         enough = (count >= self.need[item]) & (window >= 0)
         return window[enough], item[enough]
 
-    def _handle(self, runs: list[tuple[int, list[bytes]]], found: dict) -> None:
-        runs = [(n, words) for n, words in runs if words]
+    def _handle(self, runs: list[tuple[int, bytes, int, np.ndarray]], found: dict) -> None:
+        """Runs are text number, plain text, number of the first word and features; words are cut out only where a window may count."""
         if not runs or not self.pieces:
             return
-        every = [w for _, words in runs for w in words]
-        ids = np.fromiter(map(self.feature.__getitem__, every), np.int64, len(every))
-        lengths = np.array([len(words) for _, words in runs])
+        ids = np.concatenate([run for *_, run in runs])
+        lengths = np.array([len(run) for *_, run in runs])
         blocks = -(-lengths // BLOCK)
         # Each run is followed by empty blocks, so that windows end with it.
         first = np.concatenate([[0], np.cumsum(blocks + self.most)])[:-1]
@@ -272,12 +298,16 @@ class Search:
             sums = np.add.reduceat(self.latent[ids[each]], heads, axis=0, dtype=np.float32)
             cosine = np.einsum("ij,ij->i", sums, self.rows[k]) / np.maximum(np.sqrt(np.einsum("ij,ij->i", sums, sums)), 1e-9)
             hits += zip(cosine.tolist(), run.tolist(), (w - first[run]).tolist(), k.tolist())
+        split = {}
         for cosine, run, begin, k in sorted(hits, reverse=True):
-            number, words = runs[run]
-            if (number, k) in found:
+            number, whole, at, own = runs[run]
+            item_words = self.pieces[k][1]
+            if (number, k) in found or cosine < COSINE and len(item_words) >= SHORT:
                 continue
-            part, item_words = words[begin * BLOCK:(begin + int(self.blocks[k])) * BLOCK], self.pieces[k][1]
-            if cosine < COSINE and not (len(item_words) < SHORT and holds(part, item_words)):
+            if number not in split:
+                split[number] = whole.split()
+            part = split[number][at + begin * BLOCK:at + min((begin + int(self.blocks[k])) * BLOCK, len(own))]
+            if cosine < COSINE and not holds(part, item_words):
                 continue
             answer = sum(w in part for w in self.answers[k]) / len(self.answers[k])
             if answer < ANSWER_SHARE:
@@ -309,11 +339,10 @@ def searches(docs: DataFrame, items: DataFrame) -> list[tuple]:
     """What a Search is made of, per ITEMS_AT_ONCE items; statistics and basis are learnt from all documents of ``docs``."""
     items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
     blocks = max(1, -(-items.count() // ITEMS_AT_ONCE))
-    idf, passages = learn_idf(docs)
-    out, basis = [], None
+    idf, _ = learn_idf(docs)
+    out, basis = [], learn_basis(docs, items, idf)
     for block in range(blocks):
         pieces = item_pieces(items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block))
-        basis = learn_basis(docs, pieces, idf, passages) if basis is None else basis
         out.append((pieces, idf, basis))
     return out
 

@@ -79,6 +79,40 @@ def test_the_lists_of_answer_words_miss_no_pair(monkeypatch):
     assert found == want
 
 
+def test_features_of_many_texts_are_those_of_each_word():
+    draw = random.Random(4)
+    texts = [None, "", " ", "\x00 a", "x" * 70_000] + [" ".join(vocabulary(draw, "ab\x0b.é", draw.randint(0, 40))) for _ in range(300)]
+    plains = [contamination.plain(t) for t in texts]
+    known = contamination.FeatureOf()
+    assert [ids.tolist() for ids in contamination.features(plains)] == [[known[w] for w in contamination.plain_words(t)] for t in texts]
+
+
+def test_the_basis_is_learnt_from_all_passages_and_items(spark, monkeypatch):
+    # So few that a sample of this size would miss groups.
+    monkeypatch.setattr(contamination, "PASSAGES_WEIGH", 20)
+    draw = random.Random(8)
+    # Forty groups of texts with words of their own, two items with words that no text has.
+    topics = [[f"t{k}w{i}" for i in range(6)] for k in range(42)]
+    text = lambda k, n: " ".join(draw.choice(topics[k]) for _ in range(n))
+    docs = [(d, text(d % 40, 48)) for d in range(1000)]
+    items = [(40, text(40, 64)), (41, text(41, 200))]
+    idf = np.ones(contamination.FEATURES, np.float32)
+    gram = np.zeros((contamination.FEATURES, contamination.FEATURES), np.float32)
+    for texts, weigh in (([t.split() for _, t in docs], contamination.PASSAGES_WEIGH / len(docs)), ([w for _, t in items for w in contamination.cut(t.split())], 1)):
+        for words in texts:
+            kinds, tf = np.unique(np.concatenate(contamination.features([w.encode() for w in words])), return_counts=True)
+            w = tf / np.sqrt((tf * tf).sum())
+            gram[np.ix_(kinds, kinds)] += weigh * np.outer(w, w)
+    basis = contamination.learn_basis(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), idf)
+    used = np.flatnonzero(np.diag(gram))
+    best = np.sort(np.linalg.eigvalsh(gram[np.ix_(used, used)]))[::-1][:contamination.RANK].sum()
+    assert np.allclose(basis.T @ basis, np.eye(contamination.RANK), atol=1e-3)
+    assert np.trace(basis.T @ gram @ basis) >= 0.99 * best
+    # Every group of texts has its direction, however few texts it has.
+    own = np.array([np.concatenate(contamination.features([w.encode() for w in words])) for words in topics])
+    assert (np.sqrt((basis[own].sum(axis=1) ** 2).sum(axis=1)) > 0.9 * np.sqrt(own.shape[1])).all()
+
+
 def test_leaks_are_found_and_clean_documents_left(spark):
     draw = random.Random(2)
     words = vocabulary(draw, "abcdefghij", 4000)
