@@ -222,6 +222,58 @@ def test_every_context_predicts_a_distribution_with_exclusion():
     assert scoring.ppm_score(b"abracadabra", (slots, rows, fallback)) > scoring.ppm_score(b"zzyzxqqwkjv", (slots, rows, fallback))
 
 
+def matched_by_force(texts, text):
+    """log10 probability by contexts of 4, 2, 1 and 0 bytes, symbol by symbol."""
+    seen = {}
+    symbols = lambda t: [0] * 4 + [*t, 256]
+    for t in texts:
+        s = symbols(t)
+        for i in range(4, len(s)):
+            for n in (4, 2, 1, 0):
+                seen.setdefault((n, *s[i - n:i]), Counter())[s[i]] += 1
+    total, s = 0.0, symbols(text)
+    for i in range(4, len(s)):
+        p, excluded = 1.0, set()
+        for n in (4, 2, 1, 0):
+            own = {x: c for x, c in seen.get((n, *s[i - n:i]), {}).items() if x not in excluded}
+            if not own:
+                continue
+            escape = len(own) if len(own) + len(excluded) < 257 else 0
+            if s[i] in own:
+                p *= own[s[i]] / (sum(own.values()) + escape)
+                break
+            p *= escape / (sum(own.values()) + escape)
+            excluded |= set(own)
+        else:
+            p /= 257 - len(excluded)
+        total += math.log10(p)
+    return total
+
+
+@pytest.mark.parametrize("visited", [0, 5, 1 << 15])
+def test_four_bytes_of_context_match_brute_force(spark, monkeypatch, visited):
+    monkeypatch.setattr(scoring, "VISITED", visited)
+    monkeypatch.setattr(scoring, "HASH_BITS", 4)
+    draw = random.Random(7)
+    texts = [None, "", "AbRacadabra é", "\x00\x00a", *(" ".join(vocabulary(draw, "abcd", draw.randint(0, 30))) for _ in range(40)), bytes(range(1, 128)).decode(), "zzyzx qqw"]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(4, texts[4]), (None, "abc")]
+    low = lambda t: (t or "").encode().lower()
+    held = lambda d: zlib.crc32(str(d).encode() if d is not None else b"") % 7 == 2
+    train = [low(t) for d, t in docs if not held(d)]
+    wanted = sorted((str(d), matched_by_force(train, low(t))) for d, t in docs)
+    found = sorted((str(r.doc_id), r.score) for r in scoring.lm_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert any(held(d) for d, _ in docs) and [w[0] for w in wanted] == [f[0] for f in found]
+    assert [w[1] for w in wanted] == pytest.approx([f[1] for f in found], rel=1e-5)
+
+
+def test_long_contexts_tell_texts_apart_that_share_all_short_ones(spark):
+    # The same pairs and triples of letters in both; only longer contexts know which words there are.
+    docs = [(i, "abcab xbcay " * 20) for i in range(70)]
+    ids = [i for i in range(100, 300) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    found = {r.doc_id: r.score for r in scoring.lm_scores(spark.createDataFrame([*docs, (ids[0], "abcab xbcay " * 5), (ids[1], "abcay xbcab " * 5)], "doc_id long, text string")).collect()}
+    assert found[ids[0]] > 0.5 * found[ids[1]]
+
+
 def test_empty_model_is_uniform():
     table = scoring.ppm_table(np.empty(0, np.int64), np.empty(0))
     assert scoring.ppm_score(b"abc", table) == pytest.approx(-4 * math.log10(257), rel=1e-5)
