@@ -6,11 +6,14 @@ import hashlib
 import string
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from citylens.llm.bitmaps import Bitmap
 from citylens.session import stage
 
 # Words are runs of anything but the six ASCII white-space characters.
@@ -94,16 +97,26 @@ def slot_in_map(known: dict[int, bytes], at: int) -> bool:
     return bool(bits) and bool(bits[place // 8] >> place % 8 & 1)
 
 
+# Bits of the map of rows to go: 4 MB however many they are.
+LOST_BITS = 25
+
+
 def without(docs: DataFrame, key: Column, decided: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: ``decided`` has doc_id, key and kept for each row.
 
-    Rows that tie in doc_id and key are interchangeable; as many of them stay as are kept.
+    Rows that tie in doc_id and key are interchangeable; as many of them stay as are kept.  Rows that a bitmap of
+    those to go does not know stay where they are; only the others are joined.
     """
-    names = {n: fresh_name(docs, n) for n in ("dedup_key", "dedup_row")}
+    names = {n: fresh_name(docs, n) for n in ("dedup_key", "dedup_row", "dedup_maybe")}
     lost = stage(decided.groupBy("doc_id", "key").agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("rows")).filter("NOT any_kept OR rows > 1"), "dedup-lost")
-    marked = docs.withColumn(names["dedup_key"], key)
+    known = Bitmap(lost.select(F.xxhash64("doc_id", "key").alias("mark")), LOST_BITS)
+    maybe = F.pandas_udf(lambda marks: pd.Series(known.contains(marks.to_numpy().view(np.uint64))), "boolean")
+    keyed = docs.withColumn(names["dedup_key"], key)
+    keyed = keyed.withColumn(names["dedup_maybe"], maybe(F.xxhash64(F.col("doc_id").cast("long"), names["dedup_key"])))
+    sure = keyed.filter(~F.col(names["dedup_maybe"])).drop(names["dedup_maybe"])
+    marked = keyed.filter(names["dedup_maybe"]).drop(names["dedup_maybe"])
     same = lambda other: marked["doc_id"].cast("long").eqNullSafe(other["doc_id"]) & (marked[names["dedup_key"]] == other["key"])
-    out = marked.join(lost, same(lost), "left_anti")
+    out = sure.unionByName(marked.join(lost, same(lost), "left_anti"))
     tied = lost.filter("any_kept")
     if not tied.isEmpty():
         order = W.partitionBy("doc_id", names["dedup_key"]).orderBy("text")

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from citylens.llm import mixing, simhash
+from citylens.llm import exact, mixing, quality, simhash
 from citylens.llm.queries import LLM_ORACLES, LLM_QUERIES
 
 from test_llm_dedup import fingerprint
@@ -134,3 +134,12 @@ def test_one_row_of_a_near_group_stays(spark):
     for print_, doc_id in found:
         ids = [r.doc_id for f, rows in groups.items() if (f ^ print_).bit_count() <= 2 for r in rows if r.doc_id is not None]
         assert doc_id == (min(ids) if ids else None)
+
+
+def test_texts_of_documents_that_stay_are_not_joined(spark, corpus):
+    docs, labels = (spark.read.parquet(f"{corpus[0]}/{name}.parquet") for name in ("documents", "labels"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan(quality.keep_good(docs, labels))
+    # Rows that no bitmap knows come by a branch without a join.
+    left = plan(exact.drop_copies(docs)).splitlines()
+    assert left[0].startswith("Union") and sum("LeftAnti" in line for line in left) == 1
