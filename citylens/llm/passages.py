@@ -33,6 +33,8 @@ from citylens.llm.words import Words, chunks, joined, read_words
 from citylens.session import stage
 
 PHRASE = 5  # words of the phrases that windows are named by
+PART_BYTES = 2 << 20  # text that is taken apart at once: the arrays of its words take some 50 bytes a byte of text
+MERGE_BYTES = 12 << 20  # segments among which equal ones are merged before they move
 BITMAP_BITS = 27  # 16 MB for candidates, 16 MB for frequent marks, however many there are
 FREQUENT_MARK = 50_000  # occurrences from which the windows of a mark are keyed one by one
 SHARD_WINDOWS = 20_000  # different windows from which a shard is closed (at the end of a key)
@@ -71,7 +73,7 @@ def _window_marks(docs: DataFrame, window: int) -> DataFrame:
     target = pa_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=PART_BYTES):
             words = read_words(chunk.column("text"))
             starts, found = marks(words, window)
             if not len(starts):
@@ -120,15 +122,25 @@ def _keyed_segments(docs: DataFrame, window: int, candidates: Bitmap, frequent:
     target = pa_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        held: list[pa.Table] = []
+
+        def merged() -> Iterator[pa.RecordBatch]:
+            table = pa.concat_tables(held).group_by(["key", "words"], use_threads=False).aggregate([("id", "min"), ("id", "max")])
+            for batch in table.to_batches():
+                yield pa.RecordBatch.from_arrays([batch.column(n).cast(f.type) for n, f in zip(("key", "words", "id_min", "id_max"), target)], schema=target)
+
+        for chunk in chunks(batches, limit=PART_BYTES):
             found = _segments(chunk, window, candidates, frequent)
             if found is None:
                 continue
             words, begin, _, keys, texts = found
             ids = chunk.column("id").to_numpy()[np.searchsorted(words.first, begin, "right") - 1]
-            merged = pa.table({"key": keys, "words": texts, "id": ids}).group_by(["key", "words"], use_threads=False).aggregate([("id", "min"), ("id", "max")])
-            for batch in merged.to_batches():
-                yield pa.RecordBatch.from_arrays([batch.column(n).cast(f.type) for n, f in zip(("key", "words", "id_min", "id_max"), target)], schema=target)
+            held.append(pa.table({"key": keys, "words": texts, "id": ids}))
+            if sum(table.nbytes for table in held) >= MERGE_BYTES:
+                yield from merged()
+                held.clear()
+        if held:
+            yield from merged()
 
     return docs.select("id", "text").mapInArrow(run, schema)
 
@@ -224,7 +236,7 @@ def _occurrences(docs: DataFrame, window: int, candidates: Bitmap, frequent: Bit
     target = pa_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=PART_BYTES):
             found = _segments(chunk, window, candidates, frequent)
             if found is None:
                 continue
@@ -243,7 +255,7 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
     target = pa_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=PART_BYTES):
             words = read_words(chunk.column("text"))
             first = words.first
             lists = chunk.column("starts")

@@ -234,6 +234,53 @@ def test_passages_of_a_very_long_text(spark):
     assert found[3].kept == "x" and found[3].n_words == 199_996
 
 
+class Captured:
+    """Stands for a table; ``mapInArrow`` returns the work of its tasks."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, work, schema):
+        return work
+
+
+def test_passages_tasks_hold_little_beside_a_batch(spark):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    draw = random.Random(5)
+    names = ["w" + str(i) for i in range(5000)]
+    texts = [" ".join(draw.choices(names, k=500)) for _ in range(3500)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text_key": list(range(len(texts))), "text": texts})
+
+    class Every:
+        contains = staticmethod(lambda marks: np.ones(len(marks), bool))
+
+    class No:
+        contains = staticmethod(lambda marks: np.zeros(len(marks), bool))
+
+    for name, work in {
+        "marks": passages._window_marks(Captured(spark), 13),
+        "segments": passages._keyed_segments(Captured(spark), 13, Every, No),
+        "occurrences": passages._occurrences(Captured(spark), 13, Every, No),
+    }.items():
+        tracemalloc.start()
+        at_arrow = pa.total_allocated_bytes()
+        arrow, rows = 0, 0
+        for out in work(iter([batch])):
+            rows, arrow = rows + out.num_rows, max(arrow, pa.total_allocated_bytes() - at_arrow)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        # 10 MB of text: taken apart at once, its words took over 200 MB.
+        assert rows > 100_000 and peak < 120 << 20, (name, peak >> 20)
+        assert arrow < 100 << 20, (name, arrow >> 20)
+
+
 # --- all of them
 
 
