@@ -131,7 +131,10 @@ def new_rows(batch: DataFrame, target: DataFrame, feed: Feed, path: str) -> Data
     if not parts and not target.isEmpty():
         remember_keys(target, path, feed)  # a target from before there were filters
         parts = _filter_parts(spark, path)
-    single = _in_filter(first_per_key(align_to_schema(with_point_text(batch), feed.schema), keys), feed)
+    aligned = align_to_schema(with_point_text(batch), feed.schema)
+    # columns that the batch lacks are missing in every row and choose none; with keys alone, rows are hashed and not sorted
+    told = [c for c in columns if c in keys or c in batch.columns]
+    single = _in_filter(align_to_schema(first_per_key(aligned.select(*told), keys), feed.schema), feed)
     if not parts:
         return stage(single.select(*columns), "page")
     single, found = stage_measured(single, "page", days=_listed(F.col("_day")))

@@ -215,6 +215,19 @@ def test_days_without_hits_are_not_read(spark, tmp_path):
         ingest.insert_new(feed_rows(spark, (stamp(1), "a", 1)), path, FEED)
 
 
+def test_pages_with_keys_alone_are_hashed_and_not_sorted(spark, tmp_path, monkeypatch):
+    plans, stage = [], ingest.stage
+    monkeypatch.setattr(ingest, "stage", lambda rows, name: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or stage(rows, name))
+    rows = feed_rows(spark, (stamp(1), "a", 1), (stamp(1), "a", 2), (stamp(2), None, 3), (stamp(2), None, 4))
+    alone, whole = str(tmp_path / "alone"), str(tmp_path / "whole")
+    ingest.insert_new(rows.drop(FEED.schema.names[2]), alone, FEED)
+    assert "HashAggregate" in plans[0] and "SortAggregate" not in plans[0]
+    assert sorted(map(str, map(tuple, ingest.read_target(spark, alone, FEED).collect()))) == sorted(map(str, [(stamp(1), "a", None), (stamp(2), None, None)]))
+    # a column that the batch has still chooses the row
+    ingest.insert_new(rows, whole, FEED)
+    assert sorted(r[2] for r in ingest.read_target(spark, whole, FEED).collect()) == [1, 3]
+
+
 def test_many_runs_and_full_filters_add_nothing_twice(spark, tmp_path, monkeypatch):
     for name, value in (("FILTER_PARTS", 2), ("FILTER_BLOCKS", 1), ("FILTER_HASHES", 1)):
         monkeypatch.setattr(ingest, name, value)
