@@ -10,7 +10,7 @@ short for a telling cosine count as well where they stand word for word.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,8 +44,8 @@ ITEMS_AT_ONCE = 20_000
 # Each byte of a word is multiplied by an odd number of its place; the sum, mixed, is the word's feature.
 PLACES = np.random.default_rng(SEED).integers(1 << 31, size=256).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 WHITE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
-# Texts are hashed so many bytes at a time.
-BYTES_AT_ONCE = 1 << 18
+# Texts are hashed so many bytes at a time, and taken from a batch so many at a time.
+BYTES_AT_ONCE, TEXTS_AT_ONCE = 1 << 18, 256
 
 
 def plain(text: str | None) -> bytes:
@@ -82,6 +82,24 @@ def _features_of_few(texts: list[bytes]) -> list[np.ndarray]:
     return np.split(ids, np.searchsorted(starts, ends[:-1])) if texts else []
 
 
+def texts_of(batch: pa.RecordBatch) -> Iterator[str | None]:
+    """The texts of a batch, of which only a few are held."""
+    for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+        yield from batch.column("text").slice(at, TEXTS_AT_ONCE).to_pylist()
+
+
+def read(texts: Iterable[str | None]) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Each text, plain, and the features of its words; about BYTES_AT_ONCE of texts are held."""
+    todo, size = [], 0
+    for text in texts:
+        todo.append(plain(text))
+        size += len(todo[-1]) + 1
+        if size >= BYTES_AT_ONCE:
+            yield from zip(todo, features(todo))
+            todo, size = [], 0
+    yield from zip(todo, features(todo))
+
+
 class FeatureOf(dict):
     """Hashed feature of a word, remembered."""
 
@@ -100,29 +118,46 @@ def item_pieces(items: DataFrame) -> list[tuple[int, list[bytes]]]:
     return [(item, piece) for item, text in items.collect() for piece in cut(plain_words(text))]
 
 
-def passage_counts(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Features and word counts (passage x feature) of a few passages at a time; ``texts`` are the features of each text's words."""
-    step = BLOCK * BLOCKS_PER_PASSAGE
-    sizes = np.concatenate([np.diff(np.append(np.arange(0, len(ids), step), len(ids))) for ids in texts if len(ids)] or [np.empty(0, np.int64)])
-    words, ends = np.concatenate([np.empty(0, np.int64), *texts]), np.cumsum(sizes)
-    for at in range(0, len(sizes), PASSAGES_AT_ONCE):
-        own = sizes[at:at + PASSAGES_AT_ONCE]
-        kinds, column = np.unique(words[ends[at] - own[0]:ends[at + len(own) - 1]], return_inverse=True)
-        cell = np.repeat(np.arange(len(own)), own) * len(kinds) + column
-        yield kinds, np.bincount(cell, minlength=len(own) * len(kinds)).reshape(len(own), -1)
+def passage_counts(texts: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features and word counts (passage x feature) of a few passages at a time; ``texts`` are the features of each text's words.
+
+    No more texts are read than a few passages need, so what is held does not depend on how many there are.
+    """
+    step, few = BLOCK * BLOCKS_PER_PASSAGE, []
+    for ids in texts:
+        for at in range(0, len(ids), step):
+            few.append(ids[at:at + step])
+            if len(few) == PASSAGES_AT_ONCE:
+                yield _counted(few)
+                few = []
+    if few:
+        yield _counted(few)
+
+
+def _counted(few: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    kinds, column = np.unique(np.concatenate(few), return_inverse=True)
+    cell = np.repeat(np.arange(len(few)), [len(ids) for ids in few]) * len(kinds) + column
+    return kinds, np.bincount(cell, minlength=len(few) * len(kinds)).reshape(len(few), -1)
 
 
 def learn_idf(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Inverse passage frequency of every feature and the number of passages, over all documents."""
-    def work(batch: pa.RecordBatch) -> dict:
+    """Inverse passage frequency of every feature and the number of passages, over all documents.
+
+    Every task counts over all its texts.
+    """
+    schema = "feature int, n long"
+    target = pa_schema(docs.sparkSession, schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, passages = np.zeros(FEATURES, np.int64), 0
-        for kinds, counts in passage_counts(features([plain(text) for text in batch.column("text").to_pylist()])):
+        for kinds, counts in passage_counts(ids for batch in batches for _, ids in read(texts_of(batch))):
             df[kinds] += (counts > 0).sum(axis=0)
             passages += len(counts)
-        found = np.flatnonzero(df)
-        return {"feature": [-1, *found.tolist()], "n": [passages, *df[found].tolist()]}
+        if passages:
+            found = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *found.tolist()], pa.int32()), pa.array([passages, *df[found].tolist()], pa.int64())], schema=target)
 
-    rows = map_batches(docs.select(F.col("text").cast("string")), work, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(work, schema).groupBy("feature").agg(F.sum("n").alias("n")).collect()
     counts = dict((r[0], r[1]) for r in rows)
     total = counts.pop(-1, 0)
     idf = np.full(FEATURES, np.log((total + 1) / 1.0), np.float64)
@@ -147,13 +182,12 @@ def product(texts: DataFrame, q: np.ndarray, idf: np.ndarray, pieces: bool) -> t
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (q, idf), out, n = shared.value, np.zeros((FEATURES, width), np.float32), 0
-        for batch in batches:
-            found = features([plain(text) for text in batch.column("text").to_pylist()])
-            for kinds, counts in passage_counts([piece for ids in found for piece in cut(ids)] if pieces else found):
-                rows = counts.astype(np.float32) * idf[kinds]
-                rows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)[:, None]
-                out[kinds] += rows.T @ (rows @ q[kinds])
-                n += len(rows)
+        found = (ids for batch in batches for _, ids in read(texts_of(batch)))
+        for kinds, counts in passage_counts((piece for ids in found for piece in cut(ids)) if pieces else found):
+            rows = counts.astype(np.float32) * idf[kinds]
+            rows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)[:, None]
+            out[kinds] += rows.T @ (rows @ q[kinds])
+            n += len(rows)
         if n:
             parts = [x.tobytes() for x in np.split(out, SLICES)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([n] * SLICES, pa.int64()), pa.array(parts, pa.binary())], schema=target)
@@ -233,11 +267,10 @@ class Search:
             self.blocks[members] = blocks
         self.most = max(by_blocks, default=1)
 
-    def leaks(self, texts: list[str | None]) -> list[tuple[int, int, float, float, float]]:
+    def leaks(self, texts: Iterable[str | None]) -> list[tuple[int, int, float, float, float]]:
         """(text number, piece number, cosine, share in order, share of the answer), best window per pair."""
         found, todo, size = {}, [], 0
-        plains = [plain(text) for text in texts]
-        for number, (whole, ids) in enumerate(zip(plains, features(plains))):
+        for number, (whole, ids) in enumerate(read(texts)):
             for at in range(0, len(ids), RUN_WORDS):
                 run = ids[at:at + RUN_WORDS + BLOCK * self.most]
                 todo.append((number, whole, at, run))
@@ -361,7 +394,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         def work(batch: pa.RecordBatch, search=search) -> dict | None:
             ids = batch.column("doc_id").to_pylist()
             best: dict = {}
-            for number, piece, *scores in search().leaks(batch.column("text").to_pylist()):
+            for number, piece, *scores in search().leaks(texts_of(batch)):
                 pair = (number, search().pieces[piece][0])
                 best[pair] = max(best.get(pair, (0.0,)), tuple(scores))
             if not best:
@@ -377,7 +410,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean_texts(search: Callable[[], Search]):
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        bad = {n for n, *_ in search().leaks(texts.tolist())}
+        bad = {n for n, *_ in search().leaks(texts)}
         return pd.Series([n not in bad for n in range(len(texts))])
 
     return clean

@@ -44,6 +44,16 @@ def size_shuffles(spark: SparkSession, shuffled_bytes: int, target_bytes: int =
     return number
 
 
+# Rows travel to Python in batches of 10,000, whatever their length; long texts need a bound in bytes.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, batch_bytes: int = 2 << 20) -> None:
+    """Let Arrow batches hold about so many bytes, or one row; a bound set by the deployment stays."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(batch_bytes))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 

@@ -113,6 +113,28 @@ def test_the_basis_is_learnt_from_all_passages_and_items(spark, monkeypatch):
     assert (np.sqrt((basis[own].sum(axis=1) ** 2).sum(axis=1)) > 0.9 * np.sqrt(own.shape[1])).all()
 
 
+def test_texts_are_read_a_few_at_a_time_and_in_any_batches(spark):
+    read = []
+
+    def texts():
+        for number in range(1000):
+            read.append(number)
+            yield "word other " * 5000
+
+    next(contamination.passage_counts(ids for _, ids in contamination.read(texts())))
+    assert len(read) < 10
+    draw = random.Random(4)
+    docs = spark.createDataFrame([(d, " ".join(draw.choice("abcdefghij") * draw.randint(1, 9) for _ in range(70))) for d in range(300)], "doc_id long, text string").coalesce(1)
+    found, key = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for rows in ("7", "1000"):
+        spark.conf.set(key, rows)
+        idf, total = contamination.learn_idf(docs)
+        sums, n = contamination.product(docs, np.random.default_rng(3).normal(size=(contamination.FEATURES, 4)), idf, False)
+        found.append((total, n, idf.tobytes(), sums.tobytes()))
+    spark.conf.unset(key)
+    assert found[0] == found[1] and found[0][:2] == (600, 600)
+
+
 def test_leaks_are_found_and_clean_documents_left(spark):
     draw = random.Random(2)
     words = vocabulary(draw, "abcdefghij", 4000)

@@ -83,6 +83,26 @@ def test_each_stage_does_its_work(spark, corpus):
     assert sum(len(r.text.split()) for r in out.collect()) == plan["taken"].sum()
 
 
+def test_batches_of_texts_are_bounded_in_bytes(spark, corpus):
+    from citylens.session import BATCH_BYTES, bound_batches
+
+    folder, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    long = spark.createDataFrame([(i, "x" * 100_000) for i in range(100)], "doc_id long, text string").coalesce(1)
+    sizes = lambda: [r.size for r in long.mapInArrow(lambda batches: (b.from_pydict({"size": [b.nbytes]}) for b in batches), "size long").collect()]
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        spark.conf.unset(BATCH_BYTES)
+        step(spark, docs, folder)
+        assert max(sizes()) <= 2_200_000 and sum(sizes()) >= 10_000_000, name
+    # The deployment's own bound stays; a whole run leaves the session as it was.
+    spark.conf.set(BATCH_BYTES, "500000")
+    bound_batches(spark)
+    assert spark.conf.get(BATCH_BYTES) == "500000"
+    spark.conf.unset(BATCH_BYTES)
+    corpus_pipeline.run(spark, folder)
+    assert spark.conf.get(BATCH_BYTES, None) is None
+
+
 def test_whole_run_and_queries_are_registered(spark, corpus):
     import __spark_entry__ as entry
 
